@@ -273,6 +273,7 @@ auc AS (
 PR_GROUPS = """
 both_views AS (
   SELECT 'churn' AS class, operational_score AS score, churn AS y FROM test
+  UNION ALL SELECT 'churn_calibrated', calibrated_prob, churn FROM test
   UNION ALL SELECT 'active', 1.0::DOUBLE - operational_score, 1 - churn FROM test),
 pr_groups AS (
   SELECT class, score, sum(y) AS pos, count(*) - sum(y) AS neg FROM both_views GROUP BY class, score),
@@ -303,7 +304,8 @@ roc_points AS (
 CURVES = """
 all_points AS (
   SELECT 'roc' AS curve, point_no, fpr AS x, tpr AS y FROM roc_points
-  UNION ALL SELECT 'pr_' || class, point_no, recall, precision FROM pr_points),
+  UNION ALL SELECT 'pr_' || class, point_no, recall, precision FROM pr_points
+            WHERE class IN ('churn', 'active')),
 sized AS (SELECT *, count(*) OVER (PARTITION BY curve) AS len FROM all_points),
 kept AS (
   SELECT curve, point_no, x, y FROM sized
@@ -359,10 +361,15 @@ SELECT section, metric, {r('value')} AS value FROM (
   FROM (UNPIVOT (SELECT count(*) AS total_test, count(*) FILTER (WHERE churn = 1) AS churn_count,
                         count(*) FILTER (WHERE churn = 0) AS active_count FROM test)
         ON total_test, churn_count, active_count INTO NAME metric VALUE value)
-  UNION ALL SELECT 'discrimination', score_name || '.roc_auc', roc_auc FROM auc
+  UNION ALL SELECT 'ranking', 'churn.roc_auc', roc_auc FROM auc
+            WHERE score_name = 'operational_score'
+  UNION ALL SELECT 'ranking', 'churn_calibrated.roc_auc', roc_auc FROM auc
+            WHERE score_name = 'calibrated_prob'
+  UNION ALL SELECT 'ranking', 'active.roc_auc', roc_auc FROM auc
+            WHERE score_name = 'operational_score'
   UNION ALL SELECT 'calibration', score_name || '.' || m, v
   FROM (UNPIVOT calibration ON brier_score, ece, mean_score INTO NAME m VALUE v)
-  UNION ALL SELECT 'dual_pr_auc', class || '.' || m, v
+  UNION ALL SELECT 'ranking', class || '.' || m, v
   FROM (UNPIVOT (SELECT *, average_precision / (prevalence + 1e-9) AS relative_lift FROM ap)
         ON average_precision, prevalence, relative_lift INTO NAME m VALUE v)
   UNION ALL SELECT 'classification_report', class || '.' || m, v
@@ -496,7 +503,8 @@ UNION ALL SELECT 'Churn (1)', fn, tp FROM matrix""",
     "average_precision": on_scores(
         f"""SELECT class, {r('average_precision')} AS average_precision,
   {r('prevalence')} AS prevalence,
-  {r('average_precision / (prevalence + 1e-9)')} AS relative_lift FROM ap""",
+  {r('average_precision / (prevalence + 1e-9)')} AS relative_lift FROM ap
+WHERE class IN ('churn', 'active')""",
         PR_GROUPS,
     ),
     "calibration": on_scores(

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from checks.scorecards import CALIBRATED, OPERATIONAL, SCORE_DIGITS
 from tidemark.functions.columns import round_half_even
-from tidemark.operators import calibration, classification, deciles, features, labels, ranking
+from tidemark.operators import calibration, classification, deciles, features, labels
 from tidemark.operators import preprocess, tiers
 from tidemark.operators.orders import validated_orders
 from tidemark.operators.scorecard import score
@@ -70,7 +70,26 @@ def test_scores(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def stored_test_scores(spark: SparkSession, sf: str) -> DataFrame:
-    return stored(test_scores(spark, sf), work_folder(spark), "test_scores")
+    """The same hold-out as a stored table, for metrics that read it several times.
+
+    The split reads the stored scores, so orders and items are scanned once.
+    """
+    return stored_scores_with_split(spark, sf).where("is_test").drop("is_test")
+
+
+def stored_scores_with_split(spark: SparkSession, sf: str) -> DataFrame:
+    """Label, both scores and is_test of every customer, as a stored table."""
+    folder = work_folder(spark)
+    columns = (KEY, "churn", "operational_score", "calibrated_prob")
+    scored = stored(scored_dataset(spark, sf).select(*columns), folder, "scores")
+    return stored(stratified_split(scored, scored.select(KEY, "churn"), CFG), folder, "split")
+
+
+def stored_split(spark: SparkSession, sf: str) -> DataFrame:
+    """The labelled features with is_test, as a stored table."""
+    folder = work_folder(spark)
+    df = stored(dataset(spark, sf), folder, "dataset")
+    return stored(stratified_split(df, df.select(KEY, "churn"), CFG), folder, "split")
 
 
 def scored_table(spark: SparkSession, sf: str) -> DataFrame:
@@ -95,8 +114,7 @@ def q_scaler_moments(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_state_levels(spark: SparkSession, sf: str) -> DataFrame:
-    train = stored(train_set(spark, sf).select("customer_state"), work_folder(spark), "states")
-    return preprocess.state_levels(train)
+    return preprocess.state_levels(stored_split(spark, sf).where(~F.col("is_test")))
 
 
 def q_one_hot_state(spark: SparkSession, sf: str) -> DataFrame:
@@ -107,8 +125,7 @@ def q_one_hot_state(spark: SparkSession, sf: str) -> DataFrame:
 
 def q_standardized(spark: SparkSession, sf: str) -> DataFrame:
     """The dataset's model inputs on the scale of the training split."""
-    folder = work_folder(spark)
-    df = stored(split_dataset(spark, sf), folder, "split")
+    df = stored_split(spark, sf)
     moments = preprocess.scaler_moments(df.where(~F.col("is_test"))).collect()  # 21 rows
     scaled = [
         round_half_even((F.col(m["feature"]) - m["mean"]) / (m["std"] or 1.0), 6).alias(m["feature"])
@@ -124,19 +141,19 @@ def q_fixed_scores(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_model_coefficients(spark: SparkSession, sf: str) -> DataFrame:
-    train = stored(train_set(spark, sf), work_folder(spark), "train")
+    train = stored_split(spark, sf).where(~F.col("is_test"))
     return training.model_coefficients(spark, training.train_models(train))
 
 
 def q_feature_importance(spark: SparkSession, sf: str) -> DataFrame:
-    train = stored(train_set(spark, sf), work_folder(spark), "train")
+    train = stored_split(spark, sf).where(~F.col("is_test"))
     models = training.train_models(train)
     return training.feature_importance(spark, models.operational, models.preprocessor)
 
 
 def q_trained_scores(spark: SparkSession, sf: str) -> DataFrame:
     """Every customer scored by both fitted models."""
-    split = stored(split_dataset(spark, sf), work_folder(spark), "split")
+    split = stored_split(spark, sf)
     models = training.train_models(split.where(~F.col("is_test")))
     return score(split, *models.scorecards()).select(
         KEY, "churn", "is_test", "operational_score", "calibrated_prob"
@@ -212,8 +229,7 @@ def q_tier_profile(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_kpi_overview(spark: SparkSession, sf: str) -> DataFrame:
-    folder = work_folder(spark)
-    raw = stored(with_scores(split_dataset(spark, sf)), folder, "split_scores")
+    raw = stored_scores_with_split(spark, sf)
     scored = raw.withColumn("actual_churn", F.col("churn"))
     return rounded(
         reports.kpi_overview(scored, raw.where("is_test")),
@@ -302,7 +318,7 @@ QUERIES: dict[str, Query] = {
         "support",
     ),
     "roc_auc": lambda s, d: rounded(
-        evaluation.roc_auc_both(stored_test_scores(s, d)), "roc_auc"
+        evaluation.roc_auc(stored_test_scores(s, d)), "roc_auc"
     ),
     "average_precision": q_average_precision,
     "calibration": q_calibration,

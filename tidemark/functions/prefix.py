@@ -17,83 +17,108 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 CELLS = 4096
+CELL_COLUMNS = ("_coarse", "_fine")
 
 
 def ordered_prefix(
     groups: DataFrame,
     value: str,
     measures: Sequence[str],
+    by: Sequence[str] = (),
     low: float = 0.0,
     high: float = 1.0,
-    descending: bool = False,
 ) -> DataFrame:
-    """Add, per measure ``m``, its total before this value and over all values.
+    """Add, per measure ``m``, its total over smaller values and over all values.
 
     ``groups`` holds one row per distinct, non-null ``value`` (aggregate first:
-    that folds any heavily repeated value into a single row). ``low``/``high``
-    only spread the cells; values outside fall in the end cells and stay exact.
-    Adds ``m_before`` (values strictly ahead in the order) and ``m_total``.
+    that folds any heavily repeated value into a single row). Adds ``m_before``
+    and ``m_total``. ``by`` runs separate orders side by side; it must have few
+    distinct values.
     """
-    placed = _with_cells(groups, value, low, high, descending).repartition("_fine")
-    offsets = _cell_offsets(placed, measures)
-    within = (
-        Window.partitionBy("_fine")
-        .orderBy(_order(value, descending))
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    local = placed.select(
-        *groups.columns,
-        "_fine",
-        *[F.coalesce(F.sum(m).over(within), F.lit(0)).alias(f"_local_{m}") for m in measures],
-    )
-    joined = local.join(offsets, "_fine")
-    return joined.select(
-        *groups.columns,
-        *[(F.col(f"_local_{m}") + F.col(f"_offset_{m}")).alias(f"{m}_before") for m in measures],
-        *[F.col(f"_total_{m}").alias(f"{m}_total") for m in measures],
-    )
+    placed = in_cells(groups, value, by, low, high)
+    return prefix_totals(placed, value, measures, by).drop(*CELL_COLUMNS)
 
 
-def with_next(
+def in_cells(
     groups: DataFrame,
     value: str,
-    fields: Sequence[str],
+    by: Sequence[str] = (),
     low: float = 0.0,
     high: float = 1.0,
-    descending: bool = False,
 ) -> DataFrame:
-    """Add ``next_<f>``: the fields of the next value in the global order.
+    """Place every value in its cells and bring each fine cell together.
 
-    The last value of a fine cell looks at the first value of the next occupied
-    fine cell; the last fine cell of a coarse cell looks one coarse cell on.
+    ``low`` and ``high`` only spread the cells; values outside fall in the end
+    cells and stay exact.
+    """
+    cells = CELLS * CELLS
+    share = f"({value} - {low!r}D) / {high - low!r}D"
+    # coalesce marks the cells as never null: joins on them then add no filter of
+    # their own, and every branch over the same groups can reuse one exchange.
+    fine = f"coalesce(int(greatest(least(floor({share} * {cells}), {cells - 1}), 0)), 0)"
+    placed = groups.withColumn("_fine", F.expr(fine)).repartition(*by, "_fine")
+    return placed.withColumn("_coarse", F.expr(f"shiftright(_fine, {CELLS.bit_length() - 1})"))
+
+
+def prefix_totals(
+    placed: DataFrame, value: str, measures: Sequence[str], by: Sequence[str] = ()
+) -> DataFrame:
+    """``ordered_prefix`` over rows that ``in_cells`` has placed."""
+    offsets = _cell_offsets(placed, measures, by)
+    ahead = _ahead(Window.partitionBy(*by, "_fine").orderBy(value))
+    local = placed.select(
+        "*", *[_sum(m, ahead).alias(f"_local_{m}") for m in measures]
+    )
+    kept = [c for c in placed.columns if c not in by and c != "_fine"]
+    return local.join(offsets, [*by, "_fine"]).select(
+        *by,
+        "_fine",
+        *kept,
+        *[F.expr(f"_local_{m} + _offset_{m} AS {m}_before") for m in measures],
+        *[F.col(f"_total_{m}").alias(f"{m}_total") for m in measures],
+    )
+
+
+def previous_fields(
+    placed: DataFrame, value: str, fields: Sequence[str], by: Sequence[str] = ()
+) -> DataFrame:
+    """Add ``previous_<f>``: the fields of the next smaller value, null for the smallest.
+
+    The first value of a fine cell looks at the last value of the occupied fine
+    cell before it; the first fine cell of a coarse cell looks one coarse cell back.
     """
-    placed = _with_cells(groups, value, low, high, descending).repartition("_fine")
-    order = _order(value, descending)
     record = F.struct(*fields)
-    first = F.min_by if not descending else F.max_by
-    heads = placed.groupBy("_coarse", "_fine").agg(first(record, F.col(value)).alias("_head"))
-    by_fine = Window.partitionBy("_coarse").orderBy("_fine")
-    fine = heads.withColumn("_next_head", F.lead("_head").over(by_fine))
+    tails = placed.groupBy(*by, "_coarse", "_fine").agg(F.max_by(record, F.col(value)).alias("_tail"))
+    fine = tails.withColumn(
+        "_near", F.lag("_tail").over(Window.partitionBy(*by, "_coarse").orderBy("_fine"))
+    )
     coarse = (
-        heads.groupBy("_coarse")
-        .agg(F.min_by("_head", "_fine").alias("_first"))
-        .withColumn("_next_first", F.lead("_first").over(Window.orderBy("_coarse")))
-        .select("_coarse", "_next_first")
+        tails.groupBy(*by, "_coarse")
+        .agg(F.max_by("_tail", "_fine").alias("_last"))
+        .select(
+            *by,
+            "_coarse",
+            F.lag("_last").over(Window.partitionBy(*by).orderBy("_coarse")).alias("_far"),
+        )
     )
-    follow = fine.join(F.broadcast(coarse), "_coarse").select(
-        "_fine", F.coalesce("_next_head", "_next_first").alias("_follow")
+    # At most CELLS rows per order are broadcast.
+    back = fine.join(F.broadcast(coarse), [*by, "_coarse"]).select(
+        *by, "_fine", F.coalesce("_near", "_far").alias("_back")
     )
-    local = placed.select(
-        *groups.columns,
+    local = placed.withColumn(
+        "_lag", F.lag(record).over(Window.partitionBy(*by, "_fine").orderBy(value))
+    )
+    kept = [c for c in placed.columns if c not in by and c != "_fine"]
+    return local.join(back, [*by, "_fine"]).select(
+        *by,
         "_fine",
-        F.lead(record).over(Window.partitionBy("_fine").orderBy(order)).alias("_lead"),
+        *kept,
+        *[F.expr(f"coalesce(_lag, _back).{f} AS previous_{f}") for f in fields],
     )
-    chosen = local.join(follow, "_fine").withColumn("_n", F.coalesce("_lead", "_follow"))
-    return chosen.select(*groups.columns, *[F.col(f"_n.{f}").alias(f"next_{f}") for f in fields])
 
 
 def exact_median(df: DataFrame, value: str) -> DataFrame:
@@ -106,49 +131,40 @@ def exact_median(df: DataFrame, value: str) -> DataFrame:
     return folded.agg(F.percentile(F.col(value), F.lit(0.5), F.col("_n")).alias("median"))
 
 
-def _order(value: str, descending: bool) -> Column:
-    return F.col(value).desc() if descending else F.col(value).asc()
+def _ahead(order: WindowSpec) -> WindowSpec:
+    return order.rowsBetween(Window.unboundedPreceding, -1)
 
 
-def _with_cells(
-    groups: DataFrame, value: str, low: float, high: float, descending: bool
-) -> DataFrame:
-    cells = CELLS * CELLS
-    share = (F.col(value) - F.lit(low)) / F.lit(high - low)
-    clipped = F.greatest(F.least(F.floor(share * cells), F.lit(cells - 1)), F.lit(0))
-    fine = (F.lit(cells - 1) - clipped) if descending else clipped
-    return groups.withColumn("_fine", fine.cast("int")).withColumn(
-        "_coarse", F.shiftright("_fine", CELLS.bit_length() - 1)
-    )
+def _sum(measure: str, window: WindowSpec):
+    return F.coalesce(F.sum(measure).over(window), F.lit(0))
 
 
-def _cell_offsets(placed: DataFrame, measures: Sequence[str]) -> DataFrame:
+def _cell_offsets(placed: DataFrame, measures: Sequence[str], by: Sequence[str]) -> DataFrame:
     """Per occupied fine cell: total ahead of it, and the grand total."""
-    fine = placed.groupBy("_coarse", "_fine").agg(*[F.sum(m).alias(m) for m in measures])
-    ahead_fine = (
-        Window.partitionBy("_coarse").orderBy("_fine").rowsBetween(Window.unboundedPreceding, -1)
-    )
-    ahead_coarse = Window.orderBy("_coarse").rowsBetween(Window.unboundedPreceding, -1)
-    everything = Window.orderBy("_coarse").rowsBetween(
-        Window.unboundedPreceding, Window.unboundedFollowing
-    )
+    sums = [F.sum(m).alias(m) for m in measures]
+    fine = placed.groupBy(*by, "_coarse", "_fine").agg(*sums)
+    near_window = _ahead(Window.partitionBy(*by, "_coarse").orderBy("_fine"))
+    far_window = _ahead(Window.partitionBy(*by).orderBy("_coarse"))
     coarse = (
-        fine.groupBy("_coarse")
-        .agg(*[F.sum(m).alias(m) for m in measures])
+        fine.groupBy(*by, "_coarse")
+        .agg(*sums)
         .select(
+            *by,
             "_coarse",
-            *[F.coalesce(F.sum(m).over(ahead_coarse), F.lit(0)).alias(f"_far_{m}") for m in measures],
-            *[F.sum(m).over(everything).alias(f"_total_{m}") for m in measures],
+            *[_sum(m, far_window).alias(f"_far_{m}") for m in measures],
+            *[F.sum(m).over(Window.partitionBy(*by)).alias(f"_total_{m}") for m in measures],
         )
     )
     near = fine.select(
+        *by,
         "_coarse",
         "_fine",
-        *[F.coalesce(F.sum(m).over(ahead_fine), F.lit(0)).alias(f"_near_{m}") for m in measures],
+        *[_sum(m, near_window).alias(f"_near_{m}") for m in measures],
     )
-    # ``coarse`` has at most CELLS rows whatever the size of the input.
-    return near.join(F.broadcast(coarse), "_coarse").select(
+    # At most CELLS rows per order are broadcast, whatever the size of the input.
+    return near.join(F.broadcast(coarse), [*by, "_coarse"]).select(
+        *by,
         "_fine",
-        *[(F.col(f"_near_{m}") + F.col(f"_far_{m}")).alias(f"_offset_{m}") for m in measures],
+        *[F.expr(f"_near_{m} + _far_{m} AS _offset_{m}") for m in measures],
         *[F.col(f"_total_{m}") for m in measures],
     )

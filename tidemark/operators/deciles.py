@@ -26,14 +26,15 @@ def decile_counts(df: DataFrame, score: str = "operational_score", n_deciles: in
     ties = rows.groupBy("propensity").agg(
         F.count("*").alias("customers"), F.sum("active").alias("active_count")
     )
-    placed = ordered_prefix(ties, "propensity", ["customers"], descending=True)
-    first = F.col("customers_before") + 1
-    last = F.col("customers_before") + F.col("customers")
+    # Ranks count from the highest propensity down.
+    placed = ordered_prefix(ties, "propensity", ["customers"]).withColumn(
+        "ahead", F.expr("customers_total - customers_before - customers")
+    )
     total = F.col("customers_total")
     placed = placed.withColumns(
         {
-            "first_decile": _decile(first, total, n_deciles),
-            "last_decile": _decile(last, total, n_deciles),
+            "first_decile": _decile(F.col("ahead") + 1, total, n_deciles),
+            "last_decile": _decile(F.col("ahead") + F.col("customers"), total, n_deciles),
         }
     )
     cut = F.col("first_decile") < F.col("last_decile")
@@ -80,7 +81,7 @@ def _decile(rank: Column, total: Column, n_deciles: int) -> Column:
 
 def _split_ties(rows: DataFrame, cut: DataFrame, n_deciles: int) -> DataFrame:
     """Decile counts of the ties that a border cuts, ordered by (md5, id)."""
-    few = cut.select("propensity", "customers_before", "customers_total")
+    few = cut.select("propensity", "ahead", "customers_total")
     hashed = (
         # At most n_deciles - 1 ties contain a border.
         rows.join(F.broadcast(few), "propensity")
@@ -102,7 +103,7 @@ def _split_ties(rows: DataFrame, cut: DataFrame, n_deciles: int) -> DataFrame:
     ranked = (
         hashed.withColumn("_place", place)
         .join(F.broadcast(parts), ["propensity", "_part"])  # <= ties * 4,096 rows
-        .withColumn("_rank", F.col("customers_before") + F.col("_skip") + F.col("_place"))
+        .withColumn("_rank", F.col("ahead") + F.col("_skip") + F.col("_place"))
     )
     return (
         ranked.groupBy(_decile(F.col("_rank"), F.col("customers_total"), n_deciles).alias("decile_no"))

@@ -1,110 +1,112 @@
 """Exact ranking metrics: ROC-AUC, average precision, ROC and PR curves.
 
-Everything starts from one row per distinct score (``score_groups``), so a score
-shared by very many customers is one row, and runs on ``ordered_prefix``, so no
-task ever orders the whole table.
+A frame of scores is seen through one or more views. A view names the score that
+ranks and the label that counts as positive. Everything starts from one row per
+view and distinct score, so a score shared by very many customers is one row,
+and all views go through the same ordered prefix together.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.prefix import ordered_prefix, with_next
+from tidemark.functions.prefix import in_cells, ordered_prefix, prefix_totals, previous_fields
 
 CURVE_POINTS = 150
+LIFT_EPSILON = "1e-9D"
+
+# view -> (ranking score, positive label). The active class is ranked by 1 - score.
+VIEWS = {
+    "churn": ("operational_score", "churn"),
+    "churn_calibrated": ("calibrated_prob", "churn"),
+    "active": ("1D - operational_score", "1 - churn"),
+}
 
 
-def score_groups(df: DataFrame, score: Column, positive: Column) -> DataFrame:
-    """One row per distinct score: positives ``pos`` and negatives ``neg``."""
+def score_groups(df: DataFrame, views: Sequence[str]) -> DataFrame:
+    """One row per view and distinct score: positives ``pos`` and negatives ``neg``."""
+    seen = ", ".join(
+        f"named_struct('view', '{v}', 'score', {VIEWS[v][0]}, 'y', bigint({VIEWS[v][1]}))"
+        for v in views
+    )
     return (
-        df.select(score.alias("score"), positive.cast("long").alias("_y"))
-        .where(F.col("score").isNotNull())
-        .groupBy("score")
-        .agg(F.sum("_y").alias("pos"), F.sum(1 - F.col("_y")).alias("neg"))
+        df.select(F.expr(f"inline(array({seen}))"))
+        .where("score IS NOT NULL")
+        .groupBy("view", "score")
+        .agg(F.expr("sum(y) AS pos"), F.expr("sum(1 - y) AS neg"))
     )
 
 
-def churn_groups(df: DataFrame, score: str = "operational_score") -> DataFrame:
-    return score_groups(df, F.col(score), F.col("churn"))
-
-
-def active_groups(df: DataFrame, score: str = "operational_score") -> DataFrame:
-    """The minority view: active is positive and 1 - score ranks it."""
-    return score_groups(df, F.lit(1.0) - F.col(score), 1 - F.col("churn"))
-
-
-def roc_auc(groups: DataFrame) -> DataFrame:
-    """Share of (positive, negative) pairs in the right order; ties count half."""
-    ranked = ordered_prefix(groups, "score", ["neg", "pos"])
-    won = F.col("pos").cast("double") * (F.col("neg_before") + F.col("neg") / F.lit(2.0))
-    pairs = F.max("pos_total").cast("double") * F.max("neg_total")
-    return ranked.agg(F.try_divide(F.sum(won), pairs).alias("roc_auc"))
+def ranking_summary(df: DataFrame, views: Sequence[str] = tuple(VIEWS)) -> DataFrame:
+    """Per view: roc_auc, average_precision, prevalence, relative_lift.
 
-
-def average_precision(groups: DataFrame) -> DataFrame:
-    """Sum over thresholds of the recall gained times the precision there."""
-    ranked = _descending(groups)
-    step = F.col("pos").cast("double") * F.col("tp") / (F.col("tp") + F.col("fp"))
-    return ranked.agg(
-        F.try_divide(F.sum(step), F.max("pos_total")).alias("average_precision"),
-        F.try_divide(
-            F.max("pos_total").cast("double"), F.max("pos_total") + F.max("neg_total")
-        ).alias("prevalence"),
+    ROC-AUC is the share of (positive, negative) pairs in the right order, ties
+    counting half. Average precision sums, over thresholds, the recall gained
+    times the precision there (steps, not trapezoids).
+    """
+    ranked = ordered_prefix(score_groups(df, views), "score", ["pos", "neg"], by=["view"])
+    won = "sum(double(pos) * (neg_before + neg / 2D))"
+    pairs = "double(max(pos_total)) * max(neg_total)"
+    at_least = "double(pos_total - pos_before)"
+    rows = "(pos_total - pos_before + neg_total - neg_before)"
+    summary = ranked.groupBy("view").agg(
+        F.expr(f"try_divide({won}, {pairs}) AS roc_auc"),
+        F.expr(
+            f"try_divide(sum(double(pos) * {at_least} / {rows}), max(pos_total))"
+            " AS average_precision"
+        ),
+        F.expr(
+            "try_divide(double(max(pos_total)), max(pos_total) + max(neg_total)) AS prevalence"
+        ),
+    )
+    return summary.withColumn(
+        "relative_lift", F.expr(f"average_precision / (prevalence + {LIFT_EPSILON})")
     )
 
 
-def roc_curve(groups: DataFrame) -> DataFrame:
+def roc_curve(df: DataFrame, view: str = "churn") -> DataFrame:
     """Points (point_no, x = fpr, y = tpr), from (0, 0) to (1, 1).
 
-    A threshold on a straight stretch, whose step equals the next one, is left
-    out; the first and last threshold always stay.
+    A threshold on a straight stretch, whose step equals the next lower one, is
+    left out; the highest and lowest threshold always stay.
     """
-    steps = with_next(groups, "score", ["neg", "pos"], descending=True)
-    straight = (F.col("next_neg") == F.col("neg")) & (F.col("next_pos") == F.col("pos"))
-    flagged = steps.withColumn(
-        "corner", F.coalesce(~straight, F.lit(True)).cast("long")
+    groups = score_groups(df, [view]).drop("view")
+    top = groups.agg(F.max("score")).scalar()
+    steps = previous_fields(in_cells(groups, "score"), "score", ["neg", "pos"])
+    bend = "previous_neg IS NULL OR previous_neg <> neg OR previous_pos <> pos"
+    corners = steps.withColumn(
+        "corner", (F.expr(bend) | (F.col("score") == top)).cast("bigint")
     )
-    top = flagged.agg(F.max("score")).scalar()
-    flagged = flagged.withColumn("corner", F.when(F.col("score") == top, 1).otherwise(F.col("corner")))
-    ranked = ordered_prefix(flagged, "score", ["neg", "pos", "corner"], descending=True)
-    points = ranked.where(F.col("corner") == 1).select(
-        (F.col("corner_before") + 1).alias("point_no"),
-        ((F.col("neg_before") + F.col("neg")) / F.col("neg_total")).alias("x"),
-        ((F.col("pos_before") + F.col("pos")) / F.col("pos_total")).alias("y"),
-        (F.col("corner_total") + 1).alias("n_points"),
+    ranked = prefix_totals(corners, "score", ["neg", "pos", "corner"]).where("corner = 1")
+    # Counting from the top; the first corner also brings the origin along.
+    point = _point(
+        "corner_total - corner_before",
+        "(neg_total - neg_before) / neg_total",
+        "(pos_total - pos_before) / pos_total",
+        "corner_total + 1",
     )
-    origin = ranked.groupBy().agg((F.max("corner_total") + 1).alias("n_points")).select(
-        F.lit(0).cast("long").alias("point_no"),
-        F.lit(0.0).alias("x"),
-        F.lit(0.0).alias("y"),
-        "n_points",
+    origin = _point("0L", "0D", "0D", "corner_total + 1")
+    is_first = "corner_before = corner_total - 1"
+    return ranked.select(
+        F.expr(f"inline(if({is_first}, array({origin}, {point}), array({point})))")
     )
-    return origin.unionByName(points)
 
 
-def pr_curve(groups: DataFrame) -> DataFrame:
+def pr_curve(df: DataFrame, view: str) -> DataFrame:
     """Points (point_no, x = recall, y = precision), from recall 1 to the end point.
 
     One point per distinct score in ascending order, then (0, 1).
     """
-    ones = groups.withColumn("one", F.lit(1).cast("long"))
-    ranked = ordered_prefix(ones, "score", ["pos", "neg", "one"])
-    tp = F.col("pos_total") - F.col("pos_before")
-    fp = F.col("neg_total") - F.col("neg_before")
-    points = ranked.select(
-        F.col("one_before").alias("point_no"),
-        (tp / F.col("pos_total")).alias("x"),
-        (tp / (tp + fp)).alias("y"),
-        (F.col("one_total") + 1).alias("n_points"),
-    )
-    end = ranked.groupBy().agg(F.max("one_total").alias("_n")).select(
-        F.col("_n").alias("point_no"),
-        F.lit(0.0).alias("x"),
-        F.lit(1.0).alias("y"),
-        (F.col("_n") + 1).alias("n_points"),
-    )
-    return points.unionByName(end)
+    groups = score_groups(df, [view]).drop("view").withColumn("one", F.lit(1).cast("bigint"))
+    ranked = ordered_prefix(groups, "score", ["pos", "neg", "one"])
+    tp, fp = "(pos_total - pos_before)", "(neg_total - neg_before)"
+    point = _point("one_before", f"{tp} / pos_total", f"{tp} / ({tp} + {fp})", "one_total + 1")
+    end = _point("one_total", "0D", "1D", "one_total + 1")
+    is_last = "one_before = one_total - 1"
+    return ranked.select(F.expr(f"inline(if({is_last}, array({point}, {end}), array({point})))"))
 
 
 def downsample(curve: DataFrame, max_points: int = CURVE_POINTS) -> DataFrame:
@@ -114,16 +116,11 @@ def downsample(curve: DataFrame, max_points: int = CURVE_POINTS) -> DataFrame:
     The only candidate is the smallest i that reaches k, so this is a filter.
     """
     steps = max_points - 1
-    last = F.col("n_points") - 1
-    k = F.col("point_no")
-    reach = F.ceil(k * F.lit(steps) / last)
-    hits = F.floor(reach * last / F.lit(steps)) == k
-    return curve.where((F.col("n_points") <= max_points) | hits)
-
-
-def _descending(groups: DataFrame) -> DataFrame:
-    """Groups from the highest score down, with running tp and fp including each."""
-    ranked = ordered_prefix(groups, "score", ["pos", "neg"], descending=True)
-    return ranked.withColumn("tp", F.col("pos_before") + F.col("pos")).withColumn(
-        "fp", F.col("neg_before") + F.col("neg")
+    reach = f"((point_no * {steps} + n_points - 2) div (n_points - 1))"
+    return curve.where(
+        f"n_points <= {max_points} OR ({reach} * (n_points - 1)) div {steps} = point_no"
     )
+
+
+def _point(number: str, x: str, y: str, size: str) -> str:
+    return f"named_struct('point_no', {number}, 'x', {x}, 'y', {y}, 'n_points', {size})"

@@ -12,8 +12,8 @@ from tidemark.operators import classification as cls
 from tidemark.operators import deciles as dec
 from tidemark.operators import ranking as rank
 
-EPSILON = 1e-9
-CURVES = ("roc", "pr_churn", "pr_active")
+# curve -> the view whose scores it runs through
+CURVES = {"roc": "churn", "pr_churn": "churn", "pr_active": "active"}
 
 
 def evaluate(df: DataFrame, threshold: float = 0.50, n_deciles: int = 10) -> dict[str, DataFrame]:
@@ -27,8 +27,7 @@ def evaluate(df: DataFrame, threshold: float = 0.50, n_deciles: int = 10) -> dic
         "confusion_matrix": matrix,
         "classification_report": cls.classification_report(matrix),
         "test_counts": cls.eval_counts(df),
-        "roc_auc": roc_auc_both(df),
-        "dual_pr_auc": dual_average_precision(df),
+        "ranking": rank.ranking_summary(df),
         "calibration": cal.calibration(df),
         "calibration_bins": cal.calibration_bins(df),
         "decile_lift": dec.decile_lift(dec.decile_counts(df, n_deciles=n_deciles)),
@@ -36,38 +35,26 @@ def evaluate(df: DataFrame, threshold: float = 0.50, n_deciles: int = 10) -> dic
     }
 
 
-def roc_auc_both(df: DataFrame) -> DataFrame:
+def roc_auc(df: DataFrame) -> DataFrame:
     """ROC-AUC of the operational and the calibrated score, one row each."""
-    return reduce(
-        DataFrame.unionByName,
-        [
-            rank.roc_auc(rank.churn_groups(df, s)).select(F.lit(s).alias("score_name"), "roc_auc")
-            for s in ("operational_score", "calibrated_prob")
-        ],
+    summary = rank.ranking_summary(df, ["churn", "churn_calibrated"])
+    return summary.select(
+        F.expr("if(view = 'churn', 'operational_score', 'calibrated_prob') AS score_name"),
+        "roc_auc",
     )
 
 
 def dual_average_precision(df: DataFrame) -> DataFrame:
-    """Average precision of each class with its prevalence; lift for both."""
-
-    def one(name: str, groups: DataFrame) -> DataFrame:
-        return rank.average_precision(groups).select(
-            F.lit(name).alias("class"),
-            "average_precision",
-            "prevalence",
-            (F.col("average_precision") / (F.col("prevalence") + F.lit(EPSILON))).alias(
-                "relative_lift"
-            ),
-        )
-
-    return one("churn", rank.churn_groups(df)).unionByName(one("active", rank.active_groups(df)))
+    """Average precision, prevalence and lift of the churn and the active class."""
+    summary = rank.ranking_summary(df, ["churn", "active"])
+    return summary.select(
+        F.col("view").alias("class"), "average_precision", "prevalence", "relative_lift"
+    )
 
 
 def full_curve(df: DataFrame, curve: str) -> DataFrame:
-    if curve == "roc":
-        return rank.roc_curve(rank.churn_groups(df))
-    groups = rank.churn_groups(df) if curve == "pr_churn" else rank.active_groups(df)
-    return rank.pr_curve(groups)
+    build = rank.roc_curve if curve == "roc" else rank.pr_curve
+    return build(df, CURVES[curve])
 
 
 def downsampled_curves(df: DataFrame, max_points: int = rank.CURVE_POINTS) -> DataFrame:
@@ -108,19 +95,18 @@ def metrics_tidy(frames: dict[str, DataFrame]) -> DataFrame:
             None,
             ["total_test", "churn_count", "active_count"],
         ),
-        melt("discrimination", frames["roc_auc"], F.col("score_name"), ["roc_auc"]),
+        melt(
+            "ranking",
+            frames["ranking"],
+            F.col("view"),
+            ["roc_auc", "average_precision", "prevalence", "relative_lift"],
+        ),
         melt(
             "calibration",
             frames["calibration"],
             F.col("score_name"),
             ["brier_score", "ece", "mean_score"],
         ),
-        melt(
-            "dual_pr_auc",
-            frames["dual_pr_auc"],
-            F.col("class"),
-            ["average_precision", "prevalence", "relative_lift"],
-        ),
         melt(
             "classification_report",
             frames["classification_report"],
@@ -133,9 +119,8 @@ def metrics_tidy(frames: dict[str, DataFrame]) -> DataFrame:
 
 def metrics_document(frames: dict[str, DataFrame]) -> dict:
     """The nested metrics payload. Collects a few hundred rows at most."""
-    auc = {r["score_name"]: r["roc_auc"] for r in frames["roc_auc"].collect()}
+    views = {r["view"]: r for r in frames["ranking"].collect()}
     cal_rows = {r["score_name"]: r for r in frames["calibration"].collect()}
-    pr = {r["class"]: r for r in frames["dual_pr_auc"].collect()}
     curves: dict[str, tuple[list, list]] = {c: ([], []) for c in CURVES}
     for r in frames["curves"].orderBy("curve", "point_no").collect():
         curves[r["curve"]][0].append(r["x"])
@@ -154,16 +139,16 @@ def metrics_document(frames: dict[str, DataFrame]) -> dict:
 
     def pr_section(name: str, curve: str) -> dict:
         return {
-            "pr_auc": pr[name]["average_precision"],
-            "baseline_prevalence": pr[name]["prevalence"],
+            "pr_auc": views[name]["average_precision"],
+            "baseline_prevalence": views[name]["prevalence"],
             "pr_curve": {"recall": curves[curve][0], "precision": curves[curve][1]},
         }
 
     calibrated, operational = cal_rows["calibrated_prob"], cal_rows["operational_score"]
     return {
         "discrimination": {
-            "roc_auc_operational": auc["operational_score"],
-            "roc_auc_calibrated": auc["calibrated_prob"],
+            "roc_auc_operational": views["churn"]["roc_auc"],
+            "roc_auc_calibrated": views["churn_calibrated"]["roc_auc"],
             "roc_curve": {"fpr": curves["roc"][0], "tpr": curves["roc"][1]},
         },
         "calibration": {
@@ -178,7 +163,7 @@ def metrics_document(frames: dict[str, DataFrame]) -> dict:
             "churn_class_1": pr_section("churn", "pr_churn"),
             "active_class_0": {
                 **pr_section("active", "pr_active"),
-                "relative_lift_over_baseline": pr["active"]["relative_lift"],
+                "relative_lift_over_baseline": views["active"]["relative_lift"],
             },
         },
         "classification_report": report,

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from tidemark.config import HIGH_RISK, LOW_RISK, MEDIUM_RISK, SnapshotConfig
 from tidemark.functions.columns import ntz
 from tidemark.operators.customer_base import customer_base, historical_orders
+from tidemark.operators.ranking import ranking_summary
 from tidemark.operators.tiers import risk_tier
-from tidemark.plans.evaluation import dual_average_precision, roc_auc_both
 from tidemark.sources.tables import Tables
 
 KEY = "customer_unique_id"
@@ -39,8 +39,11 @@ EXPLORER_COLUMNS = (
 
 def kpi_overview(scored: DataFrame, test: DataFrame) -> DataFrame:
     """Cohort size and rates of the scored table, with the hold-out's AUC and lift."""
-    auc = roc_auc_both(test).where("score_name = 'operational_score'").select("roc_auc")
-    lift = dual_average_precision(test).where("class = 'active'").select("relative_lift")
+    views = ranking_summary(test, ["churn", "active"])
+    figures = views.agg(
+        F.expr("struct(max(if(view = 'churn', roc_auc, NULL)) AS roc_auc,"
+               " max(if(view = 'active', relative_lift, NULL)) AS active_lift) AS f")
+    ).scalar()
     churned = F.count_if(F.col("actual_churn") == 1)
     active = F.count_if(F.col("actual_churn") == 0)
     return scored.agg(
@@ -49,7 +52,7 @@ def kpi_overview(scored: DataFrame, test: DataFrame) -> DataFrame:
         active.alias("active_customers"),
         (churned / F.count("*")).alias("churn_rate"),
         (active / F.count("*")).alias("active_rate"),
-    ).withColumns({"roc_auc": auc.scalar(), "active_lift": lift.scalar()})
+    ).select("*", figures.getField("roc_auc").alias("roc_auc"), figures.getField("active_lift").alias("active_lift"))
 
 
 def tier_profile(scored: DataFrame) -> DataFrame:
