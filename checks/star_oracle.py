@@ -403,8 +403,8 @@ EXPLORER_COLUMNS = """customer_unique_id, business_risk_tier, operational_risk_s
 
 def moments() -> str:
     return "\nUNION ALL ".join(
-        f"SELECT '{n}' AS feature, {r(f'avg({n}::DOUBLE)')} AS mean,"
-        f" {r(f'stddev_pop({n}::DOUBLE)')} AS std FROM train"
+        f"SELECT '{n}' AS feature, {r(f'avg({n}::DOUBLE)', 4)} AS mean,"
+        f" {r(f'stddev_pop({n}::DOUBLE)', 4)} AS std FROM train"
         for n in NUMERIC_FEATURES
     )
 
@@ -544,10 +544,10 @@ ORDER BY operational_risk_score DESC, customer_unique_id"""
   s.avg_spend, s.avg_recency, s.percentage
 FROM (VALUES ('High Risk'), ('Medium Risk'), ('Low Risk')) t(business_risk_tier)
 LEFT JOIN (SELECT business_risk_tier, count(*) AS customer_count,
-  {r('avg(operational_risk_score)')} AS avg_risk_score,
-  {r('avg(calibrated_churn_prob)')} AS avg_calibrated_prob,
-  {r('avg(total_spend)')} AS avg_spend, {r('avg(recency_days)')} AS avg_recency,
-  {r('count(*) / (SELECT count(*) FROM tiered) * 100.0::DOUBLE')} AS percentage
+  {r('avg(operational_risk_score)', 4)} AS avg_risk_score,
+  {r('avg(calibrated_churn_prob)', 4)} AS avg_calibrated_prob,
+  {r('avg(total_spend)', 4)} AS avg_spend, {r('avg(recency_days)', 4)} AS avg_recency,
+  {r('count(*) / (SELECT count(*) FROM tiered) * 100.0::DOUBLE', 4)} AS percentage
   FROM tiered GROUP BY business_risk_tier) s USING (business_risk_tier)"""
     ),
     "tier_profile": on_scores(
@@ -555,9 +555,9 @@ LEFT JOIN (SELECT business_risk_tier, count(*) AS customer_count,
   s.avg_recency, s.avg_spend, s.avg_review
 FROM (VALUES (1, 'Low Risk'), (2, 'Medium Risk'), (3, 'High Risk')) t(tier_no, business_risk_tier)
 LEFT JOIN (SELECT business_risk_tier, count(*) AS customers,
-  {r('count(*) / (SELECT count(*) FROM tiered)')} AS share,
-  {r('avg(recency_days)')} AS avg_recency, {r('avg(total_spend)')} AS avg_spend,
-  {r('avg(avg_review_score)')} AS avg_review
+  {r('count(*) / (SELECT count(*) FROM tiered)', 4)} AS share,
+  {r('avg(recency_days)', 4)} AS avg_recency, {r('avg(total_spend)', 4)} AS avg_spend,
+  {r('avg(avg_review_score)', 4)} AS avg_review
   FROM tiered GROUP BY business_risk_tier) s USING (business_risk_tier)"""
     ),
     "kpi_overview": on_scores(

@@ -24,7 +24,10 @@ from tidemark.sources.star_schema import STAR_CONFIG as CFG
 from tidemark.sources.star_schema import star_tables
 
 KEY = "customer_unique_id"
-REPORT_DIGITS = 9  # float sums depend on order in the last bits; reports are rounded
+# Float sums depend on order in the last bits, so reports are rounded: ratios to
+# nine digits, means of large amounts to four.
+REPORT_DIGITS = 9
+AMOUNT_DIGITS = 4
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -32,15 +35,37 @@ Query = Callable[[SparkSession, str], DataFrame]
 # ---- shared inputs ---------------------------------------------------------
 
 
+def base(spark: SparkSession, sf: str, with_label: bool = True) -> DataFrame:
+    """Per-customer totals, stored once: the features and their median both read them."""
+    totals = features.feature_base(star_tables(spark, sf), CFG, with_label)
+    return stored(totals, work_folder(spark), "base")
+
+
 def dataset(spark: SparkSession, sf: str) -> DataFrame:
     """The labelled feature table."""
-    return features.snapshot_features(star_tables(spark, sf), CFG, with_label=True)
+    return features.finish_features(base(spark, sf), CFG)
 
 
 def cohort(spark: SparkSession, sf: str) -> DataFrame:
     return labels.cohort_labels(star_tables(spark, sf), CFG)
 
 
+def split_dataset(spark: SparkSession, sf: str) -> DataFrame:
+    """The labelled feature table with is_test."""
+    totals = base(spark, sf)
+    labelled = features.finish_features(totals, CFG)
+    return stratified_split(labelled, totals.select(KEY, "churn"), CFG)
+
+
+def split_cohort(spark: SparkSession, sf: str) -> DataFrame:
+    labelled = stored(cohort(spark, sf).select(KEY, "churn"), work_folder(spark), "cohort")
+    return stratified_split(labelled, labelled, CFG)
+
+
+def train_set(spark: SparkSession, sf: str) -> DataFrame:
+    return split_dataset(spark, sf).where(~F.col("is_test"))
+
+
 def with_scores(df: DataFrame) -> DataFrame:
     raw = score(df, OPERATIONAL, CALIBRATED)
     return raw.withColumns(
@@ -55,51 +80,33 @@ def scored_dataset(spark: SparkSession, sf: str) -> DataFrame:
     return with_scores(dataset(spark, sf))
 
 
-def split_dataset(spark: SparkSession, sf: str) -> DataFrame:
-    return stratified_split(dataset(spark, sf), cohort(spark, sf), CFG)
-
-
-def train_set(spark: SparkSession, sf: str) -> DataFrame:
-    return split_dataset(spark, sf).where(~F.col("is_test"))
+def scores_with_split(spark: SparkSession, sf: str) -> DataFrame:
+    """Label, both scores and is_test of every customer."""
+    scored = with_scores(split_dataset(spark, sf))
+    return scored.select(KEY, "churn", "operational_score", "calibrated_prob", "is_test")
 
 
 def test_scores(spark: SparkSession, sf: str) -> DataFrame:
-    """Label and both scores of the hold-out, as one lazy plan."""
-    scored = with_scores(split_dataset(spark, sf)).where("is_test")
-    return scored.select(KEY, "churn", "operational_score", "calibrated_prob")
+    """Label and both scores of the hold-out."""
+    return scores_with_split(spark, sf).where("is_test").drop("is_test")
 
 
 def stored_test_scores(spark: SparkSession, sf: str) -> DataFrame:
-    """The same hold-out as a stored table, for metrics that read it several times.
-
-    The split reads the stored scores, so orders and items are scanned once.
-    """
-    return stored_scores_with_split(spark, sf).where("is_test").drop("is_test")
-
-
-def stored_scores_with_split(spark: SparkSession, sf: str) -> DataFrame:
-    """Label, both scores and is_test of every customer, as a stored table."""
-    folder = work_folder(spark)
-    columns = (KEY, "churn", "operational_score", "calibrated_prob")
-    scored = stored(scored_dataset(spark, sf).select(*columns), folder, "scores")
-    return stored(stratified_split(scored, scored.select(KEY, "churn"), CFG), folder, "split")
+    """The hold-out as a stored table, for metrics that read it several times."""
+    return stored(test_scores(spark, sf), work_folder(spark), "test_scores")
 
 
 def stored_split(spark: SparkSession, sf: str) -> DataFrame:
-    """The labelled features with is_test, as a stored table."""
-    folder = work_folder(spark)
-    df = stored(dataset(spark, sf), folder, "dataset")
-    return stored(stratified_split(df, df.select(KEY, "churn"), CFG), folder, "split")
+    return stored(split_dataset(spark, sf), work_folder(spark), "split")
 
 
 def scored_table(spark: SparkSession, sf: str) -> DataFrame:
-    """The published table; the scores are stored, because the ranks read them again."""
-    raw = stored(scored_dataset(spark, sf), work_folder(spark), "scored")
-    return tiers.scored_customers(raw, CFG)
+    """The published table. The rank table re-derives the scores from the stored totals."""
+    return tiers.scored_customers(scored_dataset(spark, sf), CFG)
 
 
-def rounded(df: DataFrame, *names: str) -> DataFrame:
-    return df.withColumns({n: round_half_even(F.col(n), REPORT_DIGITS) for n in names})
+def rounded(df: DataFrame, *names: str, digits: int = REPORT_DIGITS) -> DataFrame:
+    return df.withColumns({n: round_half_even(F.col(n), digits) for n in names})
 
 
 def on_tables(operator: Callable, *args) -> Query:
@@ -110,7 +117,7 @@ def on_tables(operator: Callable, *args) -> Query:
 
 
 def q_scaler_moments(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(preprocess.scaler_moments(train_set(spark, sf)), "mean", "std")
+    return rounded(preprocess.scaler_moments(train_set(spark, sf)), "mean", "std", digits=AMOUNT_DIGITS)
 
 
 def q_state_levels(spark: SparkSession, sf: str) -> DataFrame:
@@ -218,18 +225,24 @@ def q_tier_summary(spark: SparkSession, sf: str) -> DataFrame:
         "avg_spend",
         "avg_recency",
         "percentage",
+        digits=AMOUNT_DIGITS,
     ).drop("tier_no")
 
 
 def q_tier_profile(spark: SparkSession, sf: str) -> DataFrame:
     tiered = tiers.risk_tiers(scored_dataset(spark, sf), CFG)
     return rounded(
-        reports.tier_profile(tiered), "share", "avg_recency", "avg_spend", "avg_review"
+        reports.tier_profile(tiered),
+        "share",
+        "avg_recency",
+        "avg_spend",
+        "avg_review",
+        digits=AMOUNT_DIGITS,
     )
 
 
 def q_kpi_overview(spark: SparkSession, sf: str) -> DataFrame:
-    raw = stored_scores_with_split(spark, sf)
+    raw = stored(scores_with_split(spark, sf), work_folder(spark), "scores")
     scored = raw.withColumn("actual_churn", F.col("churn"))
     return rounded(
         reports.kpi_overview(scored, raw.where("is_test")),
@@ -285,15 +298,13 @@ QUERIES: dict[str, Query] = {
     "review_features": on_tables(features.review_features, CFG),
     "logistics_features": on_tables(features.logistics_features, CFG),
     "payment_features": on_tables(features.payment_features, CFG),
-    "snapshot_features": on_tables(features.snapshot_features, CFG),
+    "snapshot_features": lambda s, d: features.finish_features(base(s, d, False), CFG),
     # dataset, split, preprocessing
     "modeling_dataset": dataset,
     "split_quotas": lambda s, d: class_quotas(cohort(s, d), CFG),
-    "stratified_split": lambda s, d: stratified_split(cohort(s, d), cohort(s, d), CFG).select(
-        KEY, "churn", "is_test"
-    ),
+    "stratified_split": lambda s, d: split_cohort(s, d).select(KEY, "churn", "is_test"),
     "class_weights": lambda s, d: preprocess.class_weights(
-        stratified_split(cohort(s, d), cohort(s, d), CFG).where(~F.col("is_test"))
+        split_cohort(s, d).where(~F.col("is_test"))
     ),
     "scaler_moments": q_scaler_moments,
     "standardized_features": q_standardized,

@@ -104,20 +104,22 @@ def historical_orders(
 def distinct_products(tables: Tables, cfg: SnapshotConfig) -> DataFrame:
     """Distinct products per customer over historical orders.
 
-    A distinct count is not additive, so (order, product) pairs get their own
-    path. Both distinct steps combine map-side; the two key lookups carry at
-    most one row per key on one side, which lets adaptive execution split a hot
-    order or account across tasks.
+    A distinct count is not additive, so items get their own narrow path: look up
+    the owner, then count distinct, which Spark does by (customer, product) first
+    and so spreads a customer with very many items. In both lookups one side has
+    one row per key; a hot order or account on the other side is split across
+    tasks by the adaptive skew join.
     """
-    owners = historical_orders(tables, cfg).select("order_id", "customer_id")
-    owners = owners.join(_owners(tables, with_place=False), "customer_id")
-    pairs = (
-        tables.order_items.where("product_id IS NOT NULL")
-        .select("order_id", "product_id")
-        .distinct()
+    owners = (
+        historical_orders(tables, cfg)
+        .select("order_id", "customer_id")
+        .join(_owners(tables, with_place=False), "customer_id")
+        .select("order_id", "customer_unique_id")
     )
     return (
-        pairs.join(owners.select("order_id", "customer_unique_id"), "order_id")
+        tables.order_items.where("product_id IS NOT NULL")
+        .select("order_id", "product_id")
+        .join(owners, "order_id")
         .groupBy("customer_unique_id")
         .agg(F.count_distinct("product_id").alias("distinct_categories"))
     )
