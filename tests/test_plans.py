@@ -86,8 +86,9 @@ def hot_shop(spark, n=6000):
         "timestamp_ntz'2018-01-09 00:00:00' AS order_delivered_customer_date",
         "timestamp_ntz'2018-01-10 00:00:00' AS order_estimated_delivery_date",
     )
-    customers = orders.select("customer_id").distinct().selectExpr(
-        "customer_id", "concat('u_', customer_id) AS customer_unique_id",
+    account = f"if(id = {n // 3 - 1}, 'hot', concat('c', id))"
+    customers = spark.range(n // 3 - 1, n, numPartitions=8).selectExpr(
+        f"{account} AS customer_id", f"concat('u_', {account}) AS customer_unique_id",
         "'SP' AS customer_state", "'x' AS customer_city",
     )
     items = spark.range(2 * n, numPartitions=8).selectExpr(

@@ -121,14 +121,20 @@ def previous_fields(
     )
 
 
-def exact_median(df: DataFrame, value: str) -> DataFrame:
+def exact_median(df: DataFrame, value: str, low: float = 0.0, high: float = 1.0) -> DataFrame:
     """One row, one column ``median``: the exact median of a column, null if empty.
 
-    Repeated values are folded into (value, count) before the final merge, so
-    its size is the number of distinct values, not the number of rows.
+    Repeated values fold into (value, count); the one or two middle values are
+    then found by their running counts, so no task holds all distinct values.
     """
-    folded = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("_n"))
-    return folded.agg(F.percentile(F.col(value), F.lit(0.5), F.col("_n")).alias("median"))
+    folded = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.expr("count(*) AS n"))
+    placed = ordered_prefix(folded, value, ["n"], low=low, high=high)
+    lower, upper = "(n_total + 1) div 2", "n_total div 2 + 1"
+    middle = placed.where(
+        f"({lower} > n_before AND {lower} <= n_before + n)"
+        f" OR ({upper} > n_before AND {upper} <= n_before + n)"
+    )
+    return middle.agg(F.expr(f"(min({value}) + max({value})) / 2 AS median"))
 
 
 def _ahead(order: WindowSpec) -> WindowSpec:

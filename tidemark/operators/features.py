@@ -47,6 +47,7 @@ KEY = "customer_unique_id"
 SHARE_EPSILON = "1e-6D"
 
 # Feature formulas over the totals of ``customer_base``.
+REVIEW_RANGE = (1.0, 5.0)
 REVIEW_AVERAGE = "try_divide(double(review_sum), review_count)"
 INSTALLMENTS = "try_divide(double(installments_sum), installments_count)"
 SPEND, FREIGHT = money("spend_units"), money("freight_units")
@@ -110,7 +111,7 @@ def finish_features(
     """
     if review_median is None:
         averages = (review_base or base).selectExpr(f"{REVIEW_AVERAGE} AS average")
-        median = exact_median(averages, "average").scalar()
+        median = exact_median(averages, "average", *REVIEW_RANGE).scalar()
         fill = F.coalesce(median, F.lit(cfg.review_fallback))
     else:
         fill = F.lit(float(review_median))
