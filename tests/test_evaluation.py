@@ -181,7 +181,10 @@ def test_calibration_bins_use_the_float_edges(spark):
 def test_calibration_by_brute_force(spark):
     y, s = random_holdout(500, 4)
     p = np.clip(s + 0.1, 0, 1)
-    got = {r.score_name: r for r in cal.calibration(holdout(spark, y, s, p)).collect()}
+    df = holdout(spark, y, s, p)
+    got = {r.score_name: r for r in cal.calibration(df).collect()}
+    alone = {r.score_name: r.ece for r in cal.expected_calibration_error(df).collect()}
+    assert alone == pytest.approx({name: r.ece for name, r in got.items()}, abs=1e-12)
     for name, values in (("operational_score", s), ("calibrated_prob", p)):
         bins = np.clip(np.digitize(values, np.linspace(0, 1, 11)) - 1, 0, 9)
         ece = sum(

@@ -22,7 +22,6 @@ def test_end_to_end(spark, tmp_path):
     assert result.dataset.count() == 140 and len(result.dataset.columns) == 30
     assert result.metrics == read_metrics(spark, f"{out}/metrics")
     assert result.metrics["test_counts"] == {"total_test": 28, "churn_count": 24, "active_count": 4}
-    assert "brier_too_large" in metric_checks(result.metrics) or True
 
     scored = read_scored(spark, f"{out}/scored_customers")
     assert scored.count() == 140 and len(scored.columns) == 30
@@ -39,7 +38,7 @@ def test_end_to_end(spark, tmp_path):
 
     loaded = load_models(spark, f"{out}/models")
     assert len(loaded["numerical_features"]) == 21
-    assert loaded["importance"].count() == 21 + len(loaded["operational"].stages[-1].coefficients) - 21
+    assert loaded["importance"].count() == len(loaded["operational"].stages[-1].coefficients)
 
 
 def test_metric_bounds():

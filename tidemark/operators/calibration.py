@@ -28,46 +28,41 @@ def bin_of(score: Column, n_bins: int = 10) -> Column:
 
 def calibration_bins(df: DataFrame, n_bins: int = 10) -> DataFrame:
     """Per score and occupied bin: rows, mean label, mean score."""
-    by_score = F.explode(
-        F.array(*[F.struct(F.lit(s).alias("score_name"), F.col(s).alias("score")) for s in SCORES])
-    )
-    long = df.select("churn", by_score.alias("_s")).select("churn", "_s.*")
-    return (
-        long.groupBy("score_name", bin_of(F.col("score"), n_bins).alias("bin"))
-        .agg(
-            F.count("*").alias("rows"),
-            F.avg("churn").alias("mean_label"),
-            F.avg("score").alias("mean_score"),
-        )
+    return _binned(df, n_bins).select(
+        "score_name",
+        "bin",
+        "rows",
+        F.expr("labels / rows AS mean_label"),
+        F.expr("scores / rows AS mean_score"),
     )
 
 
-def expected_calibration_error(bins: DataFrame) -> DataFrame:
+def expected_calibration_error(df: DataFrame, n_bins: int = 10) -> DataFrame:
     """Row-weighted gap between mean label and mean score, per score."""
-    gap = F.col("rows") * F.abs(F.col("mean_label") - F.col("mean_score"))
-    return bins.groupBy("score_name").agg((F.sum(gap) / F.sum("rows")).alias("ece"))
+    return calibration(df, n_bins).select("score_name", "ece")
 
 
 def calibration(df: DataFrame, n_bins: int = 10) -> DataFrame:
-    """Per score: Brier score, calibration error and mean, from the bins alone.
-
-    The Brier sum rides along in the same grouping, so one scan serves all.
-    """
-    by_score = F.explode(
-        F.array(*[F.struct(F.lit(s).alias("score_name"), F.col(s).alias("score")) for s in SCORES])
-    )
-    long = df.select("churn", by_score.alias("_s")).select("churn", "_s.*")
-    error = F.col("score") - F.col("churn")
-    bins = long.groupBy("score_name", bin_of(F.col("score"), n_bins).alias("bin")).agg(
-        F.count("*").alias("rows"),
-        F.sum("churn").alias("labels"),
-        F.sum("score").alias("scores"),
-        F.sum(error * error).alias("squares"),
+    """Per score: Brier score, calibration error and mean, from one scan."""
+    gap = "rows * abs(labels / rows - scores / rows)"
+    return (
+        _binned(df, n_bins)
+        .groupBy("score_name")
+        .agg(
+            F.expr("sum(squares) / sum(rows) AS brier_score"),
+            F.expr(f"sum({gap}) / sum(rows) AS ece"),
+            F.expr("sum(scores) / sum(rows) AS mean_score"),
+        )
     )
-    n = F.sum("rows")
-    gap = F.abs(F.col("labels") / F.col("rows") - F.col("scores") / F.col("rows"))
-    return bins.groupBy("score_name").agg(
-        (F.sum("squares") / n).alias("brier_score"),
-        (F.sum(F.col("rows") / F.lit(1.0) * gap) / n).alias("ece"),
-        (F.sum("scores") / n).alias("mean_score"),
+
+
+def _binned(df: DataFrame, n_bins: int) -> DataFrame:
+    """Sums per score and bin; at most ``n_bins`` rows per score."""
+    both = ", ".join(f"named_struct('score_name', '{s}', 'score', {s})" for s in SCORES)
+    long = df.select("churn", F.expr(f"inline(array({both}))"))
+    return long.groupBy("score_name", bin_of(F.col("score"), n_bins).alias("bin")).agg(
+        F.expr("count(*) AS rows"),
+        F.expr("sum(churn) AS labels"),
+        F.expr("sum(score) AS scores"),
+        F.expr("sum((score - churn) * (score - churn)) AS squares"),
     )
