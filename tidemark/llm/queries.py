@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import mixing, pii, quality, url_filter
-from tidemark.llm.common import read_table
+from tidemark.llm import html_text, mixing, packed_ids, pieces, pii, quality, url_filter
+from tidemark.llm.common import read_table, text_of, work_folder
+
+TOKENIZERS = os.environ.get("TOKENIZER_FOLDER", "/opt/tokenizers")
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -70,6 +73,37 @@ FROM placed
 """
 
 
+@query
+def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read_table(spark, sf_dir, "pages")
+    found = pages.select("page_id", "url", html_text.extract_text("html").alias("text"))
+    return found.withColumn("n_chars", F.length("text").cast("long"))
+
+
+@query
+def op4_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = f"{TOKENIZERS}/piece_bpe_32k.model"
+    docs = read_table(spark, sf_dir, "documents")
+    encoded = docs.select("doc_id", pieces.encode_ids(text_of("text"), model).alias("_ids"))
+    decoded = encoded.withColumn("_decoded", pieces.decode_ids(F.col("_ids"), model))
+    return decoded.select(
+        "doc_id",
+        F.size("_ids").cast("long").alias("n_tokens"),
+        F.sha2(F.concat_ws(",", F.col("_ids").cast("array<string>")), 256).alias("ids_sha256"),
+        F.sha2("_decoded", 256).alias("decoded_sha256"),
+    )
+
+
+@query
+def op7_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encode = packed_ids.byte_bpe_encoder(f"{TOKENIZERS}/byte_bpe_50k.json")
+    folder = f"{work_folder(spark)}/shards"
+    docs = read_table(spark, sf_dir, "documents")
+    shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    manifest = packed_ids.write_shards(docs, folder, encode, end_id=0, vocabulary=50_257, shards=shards)
+    return packed_ids.read_documents(manifest, folder)
+
+
 @query
 def op8_quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
