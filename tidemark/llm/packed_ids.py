@@ -22,6 +22,7 @@ documents; ids beyond the given vocabulary are refused.
 
 from __future__ import annotations
 
+import os
 import re
 import struct
 import uuid
@@ -36,15 +37,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.llm.chunks import ChunkTable, gather, text_slices
 from tidemark.llm.common import stored, text_of
-from tidemark.llm.pieces import gather
 
 BLOCK = 1 << 15
 TRAILER = struct.Struct("<QQQII8s")
 MAGIC = b"PACKIDS1"
 NO_ID = -(1 << 63)
 READ_IDS = 1 << 20
-CACHED_CHUNKS = 1_000_000
+ROW_CHUNKS = 256
 
 Encode = Callable[[list[str]], tuple[np.ndarray, np.ndarray]]
 
@@ -176,12 +177,10 @@ def write_shards(
         with store.open_output_stream(path) as sink:
             writer = ShardWriter(sink, vocabulary)
             for batch in batches:
-                # A few texts at a time keeps memory to a small multiple of the longest text.
-                for at in range(0, batch.num_rows, 512):
-                    piece = batch.slice(at, 512)
-                    ids, counts = encode_texts(piece.column(1).to_pylist())
-                    ids, counts = _with_end(ids, counts, end_id)
-                    writer.add(piece.column(0).to_pylist(), ids, counts)
+                doc_ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+                for start, stop in text_slices(texts):
+                    ids, counts = encode_texts(texts[start:stop])
+                    writer.add(doc_ids[start:stop], *_with_end(ids, counts, end_id))
             writer.close()
         size = store.get_file_info(path).size
         yield pa.RecordBatch.from_pydict(
@@ -244,41 +243,50 @@ def byte_bpe_encoder(path: str) -> Callable[[], Encode]:
     """Encoder by the tokenizers library for byte-level BPE files, special strings being plain text.
 
     The library cuts a text at white space before any merge: a cut before each
-    ``" ?\\S+"`` never falls inside one of its words. Each distinct chunk of a batch
-    is therefore encoded once. Texts with the separators U+001C to U+001F, which
+    ``" ?\\S+"`` never falls inside one of its words. Each distinct chunk of a task
+    is therefore encoded once, many of them in one row. Texts with the separators U+001C to U+001F, which
     Python alone counts as white space, are encoded as one chunk.
     """
 
     def make() -> Encode:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
         tokenizer.encode_special_tokens = True
         find = re.compile(r" ?\S+|\s+(?!\S)|\s+").findall
         odd = re.compile("[\x1c-\x1f]").search
-        known: dict[str, int] = {}
-        table = np.zeros(0, dtype=np.uint32)  # ids of the known chunks, one after the other
-        sizes = np.zeros(0, dtype=np.int64)
-
-        def encode(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-            nonlocal table, sizes
-            chunked = [[t] if t and odd(t) else find(t) for t in texts]
-            if len(known) > CACHED_CHUNKS:
-                known.clear()
-                table, sizes = table[:0], sizes[:0]
-            fresh = list(dict.fromkeys(c for chunks in chunked for c in chunks if c not in known))
-            if fresh:
-                found = [e.ids for e in tokenizer.encode_batch_fast(fresh, add_special_tokens=False)]
-                known.update(zip(fresh, range(len(known), len(known) + len(fresh))))
-                table = np.concatenate([table, np.fromiter(chain.from_iterable(found), dtype=np.uint32)])
-                sizes = np.concatenate([sizes, np.fromiter(map(len, found), dtype=np.int64)])
-            which = np.fromiter((known[c] for chunks in chunked for c in chunks), dtype=np.int64)
-            lengths = sizes[which]
-            ids = table[gather((np.cumsum(sizes) - sizes)[which], lengths)]
-            ends = np.concatenate([[0], np.cumsum(lengths)])
-            per_text = np.fromiter(map(len, chunked), dtype=np.int64)
-            return ids, np.diff(ends[np.concatenate([[0], np.cumsum(per_text)])])
-
-        return encode
+
+        # Each character of a byte-level token stands for one byte.
+        token_bytes = np.zeros(tokenizer.get_vocab_size(), dtype=np.int64)
+        for token, token_id in tokenizer.get_vocab().items():
+            token_bytes[token_id] = len(token)
+
+        def encode_all(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+            found = [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            counts = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
+            return np.fromiter(chain.from_iterable(found), dtype=np.int64, count=int(counts.sum())), counts
+
+        def encode_chunks(chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+            """Words with their space are encoded in rows, and cut again by their bytes."""
+            spaced = [c[0] == " " and not c[1:2].isspace() and len(c) > 1 and not odd(c) for c in chunks]
+            rows = [c for c, s in zip(chunks, spaced) if s]
+            others = [c for c, s in zip(chunks, spaced) if not s]
+            joined = ["".join(rows[at : at + ROW_CHUNKS]) for at in range(0, len(rows), ROW_CHUNKS)]
+            row_ids, _ = encode_all(joined)
+            ends = np.cumsum(np.fromiter((len(c.encode()) for c in rows), dtype=np.int64, count=len(rows)))
+            stops = np.searchsorted(np.cumsum(token_bytes[row_ids]), ends) + 1
+            other_ids, other_counts = encode_all(others)
+            counts = np.empty(len(chunks), dtype=np.int64)
+            starts = np.empty(len(chunks), dtype=np.int64)
+            mask = np.array(spaced, dtype=bool)
+            counts[mask] = np.diff(np.concatenate([[0], stops]))
+            starts[mask] = stops - counts[mask]
+            counts[~mask] = other_counts
+            starts[~mask] = len(row_ids) + np.cumsum(other_counts) - other_counts
+            return np.concatenate([row_ids, other_ids])[gather(starts, counts)], counts
+
+        table = ChunkTable(encode_chunks)
+        return lambda texts: table.ids([[t] if t and odd(t) else find(t) for t in texts])
 
     return make

@@ -7,8 +7,9 @@ compacts the array. Words without a pair left leave the rounds.
 
 Merging all places of a rank at once equals the library's one-by-one order unless
 a merge can create a pair of the same or a smaller rank. Such pieces are known
-from the vocabulary; a word with several places of one, like a word of over
-``LONG_WORD`` symbols (whose rounds would be many), is merged from a heap instead.
+from the vocabulary; of one of them only the leftmost place of a word is merged in a
+round. A word of over ``LONG_WORD`` symbols, whose rounds would be many, is merged from
+a heap instead. Words that occurred before in the task are looked up.
 
 Defined results: null and empty texts have no ids and decode to the empty text;
 white space is kept as the model's normaliser has it; characters outside the
@@ -29,10 +30,14 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tidemark.llm.chunks import ChunkTable, gather, text_slices
+
 SPACE = "▁"
 LONG_WORD = 512
 NO_RANK = np.int64(1) << 40
 GONE = -(1 << 40)
+SLICE_IDS = 1 << 20
+HASH = np.uint64(0x9E3779B97F4A7C15)
 
 codecs.register_error("each_byte", lambda e: ("�" * (e.end - e.start), e.end))
 
@@ -43,7 +48,7 @@ class PieceModel:
 
     n_symbols: int
     char_symbol: np.ndarray  # code point -> symbol, n_symbols where there is none
-    pair_keys: np.ndarray  # sorted left * (n_symbols + 1) + right
+    pair_keys: np.ndarray  # hash table of left * (n_symbols + 1) + right, -1 where empty
     pair_ranks: np.ndarray
     pair_merged: np.ndarray
     unsafe: np.ndarray  # by rank: merging it may create a pair of the same or a smaller rank
@@ -98,8 +103,7 @@ def load_pieces(path: str) -> PieceModel:
                 for part in (left, right):
                     if len(part) > 1 and rank <= rank_of[scores[part]]:
                         unsafe[rank_of[scores[part]]] = True
-    pairs.sort()
-    columns = np.array(pairs, dtype=np.int64).reshape(-1, 3)
+    columns = _hash_table(np.array(pairs, dtype=np.int64).reshape(-1, 3))
     char_symbol = np.full(0x110000, n, dtype=np.int32)
     for text, symbol in symbols.items():
         if len(text) == 1:
@@ -137,42 +141,57 @@ def load_pieces(path: str) -> PieceModel:
     )
 
 
-def gather(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Indices of the runs [start, start + length), one after the other."""
-    ends = np.cumsum(lengths)
-    total = int(ends[-1]) if len(ends) else 0
-    return np.arange(total) + np.repeat(starts - (ends - lengths), lengths)
+def _hash_table(rows: np.ndarray) -> np.ndarray:
+    """Rows of (key, rank, merged) by open addressing, at most an eighth of the places filled."""
+    bits = max(4, (8 * len(rows)).bit_length())
+    table = np.full((1 << bits, 3), -1, dtype=np.int64)
+    for row in rows:
+        at = int(_home(row[:1], bits)[0])
+        while table[at, 0] >= 0:
+            at = (at + 1) % len(table)
+        table[at] = row
+    return table
+
+
+def _home(keys: np.ndarray, bits: int) -> np.ndarray:
+    return ((keys.astype(np.uint64) * HASH) >> np.uint64(64 - bits)).astype(np.int64)
 
 
 def _pair_rows(model: PieceModel, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Row of each pair in the pair table, and whether it is there."""
     keys = left.astype(np.int64) * model.stride + right
-    rows = np.searchsorted(model.pair_keys, keys)
-    rows[rows == len(model.pair_keys)] = 0
-    return rows, (model.pair_keys[rows] == keys) & (left >= 0) & (right >= 0)
-
-
-def _merge_rounds(model: PieceModel, symbols: np.ndarray, lengths: np.ndarray) -> list[np.ndarray]:
-    """Final symbols of each word; ``symbols`` holds the words one after the other."""
-    done: list[np.ndarray | None] = [None] * len(lengths)
+    size = len(model.pair_keys)
+    rows = _home(keys, size.bit_length() - 1)
+    there = (left >= 0) & (right >= 0)
+    open_ = np.flatnonzero(there)
+    while len(open_):  # goes on where another pair fills the place
+        held = model.pair_keys[rows[open_]]
+        there[open_[held < 0]] = False
+        open_ = open_[(held >= 0) & (held != keys[open_])]
+        rows[open_] = (rows[open_] + 1) % size
+    return rows, there
+
+
+def _merge_rounds(
+    model: PieceModel, symbols: np.ndarray, lengths: np.ndarray
+) -> tuple[np.ndarray, np.ndarray]:
+    """Final symbols of all words, one after the other as given, and their number per word."""
     words = np.arange(len(lengths))
-    if not len(model.pair_keys):
-        words, symbols, lengths, done = words[:0], symbols[:0], lengths[:0], _split(symbols, lengths)
+    done: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # words, symbols, lengths
 
-    def leave(which: np.ndarray, heap: bool) -> None:
-        starts = np.cumsum(lengths) - lengths
-        for k in np.flatnonzero(which):
-            word = symbols[starts[k] : starts[k] + lengths[k]]
-            done[words[k]] = _merge_heap(model, word) if heap else word
-
-    def keep(which: np.ndarray) -> None:
+    def leave(which: np.ndarray) -> None:
         nonlocal symbols, lengths, words
-        symbols, lengths, words = symbols[np.repeat(which, lengths)], lengths[which], words[which]
+        own = np.repeat(which, lengths)
+        done.append((words[which], symbols[own], lengths[which]))
+        symbols, lengths, words = symbols[~own], lengths[~which], words[~which]
 
     long = lengths > LONG_WORD
     if long.any():
-        leave(long, heap=True)
-        keep(~long)
+        starts = np.cumsum(lengths) - lengths
+        for k in np.flatnonzero(long).tolist():
+            word = _merge_heap(model, symbols[starts[k] : starts[k] + lengths[k]])
+            done.append((words[k : k + 1], word, np.array([len(word)])))
+        symbols, lengths, words = symbols[~np.repeat(long, lengths)], lengths[~long], words[~long]
     while len(words):
         starts = np.cumsum(lengths) - lengths
         owner = np.repeat(np.arange(len(words)), lengths)
@@ -184,32 +203,28 @@ def _merge_rounds(model: PieceModel, symbols: np.ndarray, lengths: np.ndarray) -
         ranks[inside] = model.pair_ranks[rows]
         merged[inside] = model.pair_merged[rows]
         least = np.minimum.reduceat(ranks, starts)
-        over = least == NO_RANK
         places = np.flatnonzero((ranks == least[owner]) & (ranks < NO_RANK))
-        # Of touching places only every other one can merge, from the left.
-        fresh = np.ones(len(places), dtype=bool)
-        fresh[1:] = (places[1:] != places[:-1] + 1) | (owner[places[1:]] != owner[places[:-1]])
+        # Of touching places only every other one can merge, from the left; of a rank
+        # that may create a pair of its own rank or less only the first of the word.
+        of = owner[places]
+        first = np.ones(len(places), dtype=bool)
+        first[1:] = of[1:] != of[:-1]
+        fresh = first.copy()
+        fresh[1:] |= places[1:] != places[:-1] + 1
         run = np.maximum.accumulate(np.where(fresh, np.arange(len(places)), 0))
-        chosen = places[(np.arange(len(places)) - run) % 2 == 0]
-        several = np.bincount(owner[places], minlength=len(words)) > 1
-        risky = several & ~over & model.unsafe[np.minimum(least, len(model.unsafe) - 1)]
-        if over.any() or risky.any():
-            leave(over, heap=False)
-            leave(risky, heap=True)
-            chosen = chosen[~risky[owner[chosen]]]
-        symbols = symbols.copy()
+        chosen = places[((np.arange(len(places)) - run) % 2 == 0) & (first | ~model.unsafe[ranks[places]])]
         symbols[chosen] = merged[chosen]
         stays = np.ones(len(symbols), dtype=bool)
         stays[chosen + 1] = False
-        lost = np.bincount(owner[chosen], minlength=len(words))
-        symbols, lengths = symbols[stays], lengths - lost
-        if over.any() or risky.any():
-            keep(~(over | risky))
-    return done
-
-
-def _split(flat: np.ndarray, lengths: np.ndarray) -> list[np.ndarray]:
-    return np.split(flat, np.cumsum(lengths)[:-1]) if len(lengths) else []
+        symbols, lengths = symbols[stays], lengths - np.bincount(owner[chosen], minlength=len(words))
+        over = least == NO_RANK
+        if over.any():
+            leave(over)
+    if not done:
+        return symbols, lengths
+    word, flat, sizes = (np.concatenate(parts) for parts in zip(*done))
+    order = np.argsort(word, kind="stable")
+    return flat[gather((np.cumsum(sizes) - sizes)[order], sizes[order])], sizes[order]
 
 
 def _merge_heap(model: PieceModel, word: np.ndarray) -> np.ndarray:
@@ -255,9 +270,7 @@ def _word_ids(model: PieceModel, words: list[str]) -> tuple[np.ndarray, np.ndarr
     symbols = model.char_symbol[points].astype(np.int64)
     strange = symbols == model.n_symbols
     symbols[strange] = -1 - points[strange].astype(np.int64)
-    done = _merge_rounds(model, symbols, lengths)
-    counts = np.array([len(d) for d in done], dtype=np.int64)
-    flat = np.concatenate(done) if done else np.zeros(0, dtype=np.int64)
+    flat, counts = _merge_rounds(model, symbols, lengths)
     outside = (flat < 0) | ~model.is_piece[np.maximum(flat, 0)]
     if not outside.any():
         return flat.astype(np.int32), counts
@@ -285,31 +298,44 @@ def _word_ids(model: PieceModel, words: list[str]) -> tuple[np.ndarray, np.ndarr
     )
 
 
-def encode_batch(model: PieceModel, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+@lru_cache(maxsize=4)
+def _words_of(path: str) -> ChunkTable:
+    model = load_pieces(path)
+    return ChunkTable(lambda words: _word_ids(model, words))
+
+
+def encode_batch(path: str, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts, one after the other, and their number per text."""
+    model, table = load_pieces(path), _words_of(path)
     apart = SPACE + model.breaks
     find = re.compile(f"{SPACE}+[^{apart}]*|[^{apart}]+" + f"|[{model.breaks}]" * bool(model.breaks)).findall
-    index: dict[str, int] = {}
-    occurrences: list[int] = []
-    per_text = np.zeros(len(texts), dtype=np.int64)
-    for k, text in enumerate(texts):
-        if not text:
-            continue
-        shown = (SPACE if model.prefix else "") + text.replace(" ", SPACE)
-        words = find(shown) if model.separable else [shown]
-        per_text[k] = len(words)
-        occurrences += [index.setdefault(w, len(index)) for w in words]
-    ids, counts = _word_ids(model, list(index))
-    which = np.array(occurrences, dtype=np.int64)
-    lengths = counts[which]
-    flat = ids[gather((np.cumsum(counts) - counts)[which], lengths)]
-    ends = np.concatenate([[0], np.cumsum(lengths)])
-    borders = ends[np.concatenate([[0], np.cumsum(per_text)])]
-    return flat, np.diff(borders)
+    prefix = SPACE if model.prefix else ""
+    parts = []
+    for start, stop in text_slices(texts):
+        shown = [prefix + t.replace(" ", SPACE) if t else "" for t in texts[start:stop]]
+        if model.separable:
+            parts.append(table.ids([find(t) for t in shown]))
+        else:
+            parts.append(table.ids([[t] if t else [] for t in shown]))
+    none = (np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int64))
+    ids, counts = (np.concatenate(x) for x in zip(none, *parts))
+    return ids, counts
 
 
 def decode_batch(model: PieceModel, ids: np.ndarray, counts: np.ndarray) -> list[str]:
     """Text of every run of ids; a byte that is no part of a character becomes U+FFFD."""
+    stops = np.cumsum(counts)
+    texts: list[str] = []
+    first = 0
+    while first < len(counts):  # a bounded number of ids at a time, one text at least
+        begin = int(stops[first] - counts[first])
+        last = max(first + 1, int(np.searchsorted(stops, begin + SLICE_IDS, side="right")))
+        texts += _decode_slice(model, ids[begin : int(stops[last - 1])], counts[first:last])
+        first = last
+    return texts
+
+
+def _decode_slice(model: PieceModel, ids: np.ndarray, counts: np.ndarray) -> list[str]:
     ids = ids.astype(np.int64)
     lengths = np.diff(model.surface_starts)[ids]
     data = model.surfaces[gather(model.surface_starts[ids], lengths)].tobytes()
@@ -332,7 +358,7 @@ def encode_ids(text: Column, path: str) -> Column:
 
     @F.arrow_udf("array<int>")
     def encode(texts: pa.Array) -> pa.Array:
-        ids, counts = encode_batch(load_pieces(path), texts.to_pylist())
+        ids, counts = encode_batch(path, texts.to_pylist())
         offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
         return pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids, type=pa.int32()))
 
