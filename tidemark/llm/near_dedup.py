@@ -134,7 +134,8 @@ def sketches(sets: list[np.ndarray]) -> np.ndarray:
     step = _STEPS[((elements >> np.uint64(8)) % np.uint64(len(_STEPS))).astype(np.int64)]
     found = np.zeros(len(rows) * SLOTS, dtype=np.uint8)
     for j in range(SLOTS):
-        uniform = (_mix(elements + np.uint64(j + 1) * MULTIPLIER) >> np.uint64(11)) * 2.0**-53
+        salt = np.uint64((j + 1) * int(MULTIPLIER) % 2**64)
+        uniform = (_mix(elements + salt) >> np.uint64(11)) * 2.0**-53
         reach = -np.expm1(-RATE * (_BORDERS[j + 1] - _BORDERS[j]))
         points = _BORDERS[j] - np.log1p(-uniform * reach) / RATE
         np.maximum.at(found, owner * SLOTS + slot, _register(np.maximum(points, 1e-300)))
@@ -373,12 +374,15 @@ def near_duplicates(docs: DataFrame, threshold: Threshold = Threshold()) -> Data
     texts = docs.select(F.col("doc_id").cast("long").alias("node"), text_of("text").alias("text"))
     sets = stored(_shingles_of(texts.join(wanted, "node")), folder, "sets")
     meetings = _blocked(groups).join(sets, "node")
-    # Equal ids are one document: their sets' digests are linked by it.
-    same = filled.join(named, "digest").where("doc_id <> node").groupBy("doc_id").agg(
-        F.min("node").alias("_low"), F.max("node").alias("_high")
-    ).where("_low <> _high").select(F.col("_low").alias("a"), F.col("_high").alias("b"))
+    # Equal ids are one document: the nodes of all its texts are linked.
+    same = (
+        filled.join(named, "digest")
+        .groupBy("doc_id")
+        .agg(F.min("node").alias("a"), F.collect_set("node").alias("_nodes"))
+        .select("a", F.explode("_nodes").alias("b"))
+    )
     edges = _verified(meetings, threshold)
-    labels = component_labels(edges.union(_same_id_links(filled, named)), folder)
+    labels = component_labels(edges.union(same), folder)
     classes = named.join(labels, "node", "left").select(
         "digest", F.coalesce("label", "node").alias("component_id")
     )
@@ -393,3 +397,15 @@ def near_duplicates(docs: DataFrame, threshold: Threshold = Threshold()) -> Data
             F.expr("doc_id IS NULL OR doc_id = coalesce(component_id, doc_id)").alias("kept"),
         )
     )
+
+
+def drop_near_duplicates(docs: DataFrame, threshold: Threshold = Threshold()) -> DataFrame:
+    """``docs`` with one document of each class: the one with the least id.
+
+    Rows that repeat an id count as one document and leave one row; rows without an id stay.
+    """
+    classes = near_duplicates(docs.select("doc_id", "text"), threshold)
+    gone = classes.where("NOT kept").select("doc_id").distinct()
+    known = docs.where("doc_id IS NOT NULL").join(gone, "doc_id", "left_anti")
+    unknown = docs.where("doc_id IS NULL")
+    return known.dropDuplicates(["doc_id"]).select(*docs.columns).unionByName(unknown)

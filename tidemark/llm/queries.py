@@ -8,7 +8,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import html_text, mixing, packed_ids, pieces, pii, quality, url_filter
+from tidemark.llm import (
+    fingerprints,
+    html_text,
+    metric_tree,
+    mixing,
+    near_dedup,
+    packed_ids,
+    pieces,
+    pii,
+    quality,
+    url_filter,
+)
 from tidemark.llm.common import read_table, text_of, work_folder
 
 TOKENIZERS = os.environ.get("TOKENIZER_FOLDER", "/opt/tokenizers")
@@ -80,6 +91,11 @@ def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("n_chars", F.length("text").cast("long"))
 
 
+@query
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited_fingerprints(read_table(spark, sf_dir, "documents"), work_folder(spark))
+
+
 @query
 def op4_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = f"{TOKENIZERS}/piece_bpe_32k.model"
@@ -94,6 +110,64 @@ def op4_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return near_dedup.near_duplicates(docs, near_dedup.Threshold(85, 100))
+
+
+ORACLE_SQL["op5_near_duplicates"] = """
+WITH RECURSIVE worded AS (
+  SELECT doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, CASE WHEN len(w) < 5 THEN array_to_string(w, ' ')
+    ELSE array_to_string(w[i:i + 4], ' ') END AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM worded WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+common AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c
+  FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (
+  SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+  WHERE 100 * c >= 85 * (x.n + y.n - c)),
+both_ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach AS (
+  SELECT a, b FROM both_ways
+  UNION SELECT r.a, l.b FROM reach r JOIN both_ways l ON r.b = l.a)
+SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles,
+  least(d.doc_id, coalesce(m.low, d.doc_id)) AS component_id,
+  d.doc_id <= coalesce(m.low, d.doc_id) AS kept
+FROM documents d LEFT JOIN sizes USING (doc_id)
+LEFT JOIN (SELECT a AS doc_id, min(b) AS low FROM reach GROUP BY a) m USING (doc_id)
+"""
+
+
+@query
+def op6_top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = metric_tree.scaled_vectors(read_table(spark, sf_dir, "embeddings"))
+    queries = vectors.where("vec_id % 100 = 0")
+    return metric_tree.top_k(vectors, queries, work_folder(spark), k=10)
+
+
+ORACLE_SQL["op6_top_products"] = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS vector
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id,
+    CAST(list_sum(list_transform(list_zip(q.vector, c.vector), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 10
+"""
+
+
 @query
 def op7_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     encode = packed_ids.byte_bpe_encoder(f"{TOKENIZERS}/byte_bpe_50k.json")
