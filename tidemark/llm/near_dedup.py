@@ -13,12 +13,13 @@ the sets are similar.
 2. Runs of registers make band keys. Each bucket elects its least node as leader, so
    a bucket of n nodes gives n - 1 rows, never all pairs. Two nodes of one bucket share
    its leader: all candidate pairs lie within the leaders' groups.
-3. A leader's group is dealt in blocks; every two blocks meet in one task of bounded
-   size. There each set is compared with the leader. A further pair is verified on its
-   full sets unless it is already connected, its sizes or its distances to the leader
-   (Jaccard distance is a metric) exclude a link, or the joint likelihood of the
-   registers puts the similarity ``MARGIN`` below the threshold. A task returns links
-   only, at most one less than its rows: what connects them.
+3. Each set is compared with its leader's, in blocks. What is linked to the leader is
+   connected; a node that is not must still meet all others of the group. Blocks of
+   such nodes meet each other and the blocks of linked ones, two at a time in a task of
+   bounded size. A pair is verified on its full sets unless it is already connected, its
+   sizes or its distances to the leader (Jaccard distance is a metric) exclude a link, or
+   the joint likelihood of the registers puts the similarity ``MARGIN`` below the
+   threshold. A task returns links only, at most one less than its rows.
 4. Connected components of the links.
 
 No candidate is capped. A link at the threshold itself is missed by all bands with a
@@ -54,6 +55,7 @@ MAX_MISS = 2e-6
 MARGIN = 0.12
 SLICE_BYTES = 1 << 22
 BLOCK_NODES = 64
+BROADCAST_IDS = 1 << 21
 
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 MIX_1 = np.uint64(0xBF58476D1CE4E5B9)
@@ -238,7 +240,7 @@ def leader_groups(nodes: DataFrame, rows: int) -> DataFrame:
 
 
 def _shingles_of(docs: DataFrame) -> DataFrame:
-    """(node, shingles) as 64-bit hashes in bytes, of (node, text)."""
+    """(node, part, shingles, sketch) of (node, text); ``part`` tells the sets of one node apart."""
 
     def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -247,29 +249,100 @@ def _shingles_of(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_pydict(
                     {
                         "node": pa.array(ids, pa.int64()),
+                        "part": pa.array([int.from_bytes(_digest(s)[:8], "big", signed=True) for s in sets], pa.int64()),
                         "shingles": pa.array([s.tobytes() for s in sets], pa.binary()),
                         "sketch": pa.array([r.tobytes() for r in sketches(sets)], pa.binary()),
                     }
                 )
 
-    return docs.select("node", "text").mapInArrow(shingle, "node long, shingles binary, sketch binary")
+    return docs.select("node", "text").mapInArrow(
+        shingle, "node long, part long, shingles binary, sketch binary"
+    )
+
+
+def _fetched(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """Shingle sets of all nodes of the groups.
+
+    Ids up to ``BROADCAST_IDS`` (16 bytes each) are broadcast; more are joined by a shuffle.
+    """
+    wanted = groups.select("node").union(groups.select("leader")).distinct()
+    texts = docs.select(F.col("doc_id").cast("long").alias("node"), text_of("text").alias("text"))
+    small = wanted.count() <= BROADCAST_IDS
+    return _shingles_of(texts.join(F.broadcast(wanted) if small else wanted, "node")).dropDuplicates(["node", "part"])
+
+
+def _blocks(count: F.Column) -> F.Column:
+    return F.ceil(count / BLOCK_NODES).cast("int")
+
+
+def _block(blocks: F.Column) -> F.Column:
+    return F.pmod(F.xxhash64("node", "part"), blocks).cast("int")
+
+
+def _sets_in(column: pa.ChunkedArray) -> list[np.ndarray]:
+    return [np.frombuffer(s, dtype=np.uint64) for s in column.to_pylist()]
+
 
+def leader_distances(groups: DataFrame, sets: DataFrame, threshold: Threshold) -> DataFrame:
+    """(leader, node, part, distance, linked): each set against its leader's, in blocks.
 
-def _blocked(groups: DataFrame) -> DataFrame:
-    """(leader, i, j, node, side): a group's members dealt so that every two blocks meet once.
+    A leader with several sets has no distance of its own: it is null, and the link the best.
+    """
+    parts = groups.join(sets.select("node", "part"), "node")
+    sizes = parts.groupBy("leader").agg(_blocks(F.count("*")).alias("_blocks"))
+    members = parts.join(sizes, "leader").select("leader", _block(F.col("_blocks")).alias("block"), "node", "part")
+    own = sets.select(F.col("node").alias("leader"), "part")
+    chairs = members.select("leader", "block").distinct().join(own, "leader")
+    chairs = chairs.select("leader", "block", F.col("leader").alias("node"), "part")
+    rows = members.unionByName(chairs).join(sets.select("node", "part", "shingles"), ["node", "part"])
+
+    def compare(table: pa.Table) -> pa.Table:
+        nodes, keys = table.column("node").to_pylist(), table.column("part").to_pylist()
+        leader, found = table.column("leader")[0].as_py(), _sets_in(table.column("shingles"))
+        heads = [found[k] for k, node in enumerate(nodes) if node == leader]
+        rows = []
+        for k, node in enumerate(nodes):
+            if node != leader:
+                commons = [(_common(h, found[k]), len(h), len(found[k])) for h in heads]
+                common, x, y = commons[0]
+                distance = 1 - common / (x + y - common) if len(heads) == 1 else None
+                rows.append((leader, node, keys[k], distance, any(threshold.links(*c) for c in commons)))
+        types = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.bool_())
+        columns = zip(*rows) if rows else ([],) * 5
+        return pa.table(
+            [pa.array(c, t) for c, t in zip(columns, types)], names=["leader", "node", "part", "distance", "linked"]
+        )
+
+    return rows.groupBy("leader", "block").applyInArrow(
+        compare, "leader long, node long, part long, distance double, linked boolean"
+    )
+
+
+def _meetings(stars: DataFrame) -> DataFrame:
+    """(leader, kind, i, j, side, node, part, distance): blocks of which each two meet once.
 
-    ``side`` is the block of the row, or -1 for the leader, which joins every meeting.
+    Kind 0: two blocks of nodes without a link to the leader; kind 1: one of them (side 0)
+    and one of linked nodes (side 1). A lone node has nothing to meet.
     """
-    sizes = groups.groupBy("leader").agg(F.count("*").alias("_n"))
-    blocks = F.ceil(F.col("_n") / BLOCK_NODES).cast("int")
-    dealt = groups.join(sizes, "leader").withColumn("_blocks", blocks)
-    dealt = dealt.withColumn("side", F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_other")
-    members = dealt.select("leader", "node", "side", other).select(
-        "leader", F.least("side", "_other").alias("i"), F.greatest("side", "_other").alias("j"), "node", "side"
+    free_count = F.count_if(~F.col("linked"))
+    counts = stars.groupBy("leader").agg(free_count.alias("_free"), F.count("*").alias("_all"))
+    blocks = counts.where("_free > 0 AND _all > 1").select(
+        "leader", _blocks(F.col("_free")).alias("_f"), _blocks(F.col("_all") - F.col("_free")).alias("_l")
     )
-    chairs = members.groupBy("leader", "i", "j").agg(F.lit(-1).alias("side"))
-    return members.unionByName(chairs.select("leader", "i", "j", F.col("leader").alias("node"), "side"))
+    sized = stars.join(blocks, "leader")
+    free = sized.where("NOT linked").withColumn("own", _block(F.col("_f")))
+    tied = sized.where("linked").withColumn("own", _block(F.col("_l")))
+
+    def meet(rows: DataFrame, kind: int, others: str, i: F.Column, j: F.Column, side: F.Column) -> DataFrame:
+        every = F.explode(F.when(F.col(others) > 0, F.sequence(F.lit(0), F.col(others) - 1)))
+        return rows.withColumn("_o", every).select(
+            "leader", F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"), side.alias("side"), "node", "part", "distance"
+        )
+
+    own, other = F.col("own"), F.col("_o")
+    among = meet(free, 0, "_f", F.least(own, other), F.greatest(own, other), own)
+    across = meet(free, 1, "_l", own, other, F.lit(0))
+    return among.unionByName(across).unionByName(meet(tied, 1, "_f", other, own, F.lit(1)))
 
 
 class _Forest:
@@ -297,36 +370,27 @@ def _common(a: np.ndarray, b: np.ndarray) -> int:
     return int((large[at] == small).sum())
 
 
-def group_links(
-    sides: np.ndarray, sets: list[np.ndarray], registers: np.ndarray, threshold: Threshold
+def meeting_links(
+    kind: int,
+    sides: np.ndarray,
+    sets: list[np.ndarray],
+    registers: np.ndarray,
+    distances: np.ndarray,
+    threshold: Threshold,
 ) -> list[tuple[int, int]]:
     """Places of linked rows that connect all that is linked in one meeting of two blocks."""
     sizes = np.array([len(s) for s in sets], dtype=float)
+    blocks = np.unique(sides)
     forest, links = _Forest(len(sets)), []
-    chair = np.flatnonzero(sides == -1)
-    distance = np.zeros(len(sets))
-    for c in chair.tolist():
-        for x in range(len(sets)):
-            if x == c:
-                continue
-            common = _common(sets[c], sets[x])
-            union = sizes[c] + sizes[x] - common
-            distance[x] = 1 - common / union if union else 0.0
-            if threshold.links(common, int(sizes[c]), int(sizes[x])) and forest.union(c, x):
-                links.append((c, x))
-    members = np.flatnonzero(sides != -1)
-    blocks = np.unique(sides[members])
-    if len(members) < 2:
-        return links
-    first = members if len(blocks) == 1 else members[sides[members] == blocks[0]]
-    second = members if len(blocks) == 1 else members[sides[members] == blocks[1]]
-    x, y = np.meshgrid(first, second, indexing="ij")
-    x, y = x.ravel(), y.ravel()
-    apart = np.array([forest.find(k) for k in range(len(sets))])
+    if kind:  # nodes linked to the leader are connected already
+        tied = np.flatnonzero(sides == 1).tolist()
+        for k in tied[1:]:
+            forest.union(tied[0], k)
+    first, second = np.flatnonzero(sides == blocks[0]), np.flatnonzero(sides == blocks[-1])
+    x, y = (part.ravel() for part in np.meshgrid(first, second, indexing="ij"))
     close = np.minimum(sizes[x], sizes[y]) >= (threshold.value - 1e-9) * np.maximum(sizes[x], sizes[y])
-    close &= (apart[x] != apart[y]) & ((x < y) | (len(blocks) > 1))
-    if len(chair) == 1:  # rows with an equal id have several sets; no distance is theirs alone
-        close &= np.abs(distance[x] - distance[y]) <= 1 - threshold.value + 1e-9
+    close &= (x < y) | (len(blocks) > 1)
+    close &= ~(np.abs(distances[x] - distances[y]) > 1 - threshold.value + 1e-9)
     x, y = x[close], y[close]
     if not len(x):
         return links
@@ -343,21 +407,23 @@ def group_links(
     return links
 
 
-def _verified(meetings: DataFrame, threshold: Threshold) -> DataFrame:
+def _met(stars: DataFrame, sets: DataFrame, threshold: Threshold) -> DataFrame:
     def verify(table: pa.Table) -> pa.Table:
         nodes = table.column("node").to_pylist()
-        sets = [np.frombuffer(s, dtype=np.uint64) for s in table.column("shingles").to_pylist()]
         registers = np.frombuffer(b"".join(table.column("sketch").to_pylist()), dtype=np.uint8)
-        sides = np.array(table.column("side").to_pylist())
-        links = group_links(sides, sets, registers.reshape(-1, SLOTS), threshold)
-        return pa.table(
-            {
-                "a": pa.array([nodes[x] for x, _ in links], pa.int64()),
-                "b": pa.array([nodes[y] for _, y in links], pa.int64()),
-            }
+        links = meeting_links(
+            table.column("kind")[0].as_py(),
+            table.column("side").to_numpy(),
+            _sets_in(table.column("shingles")),
+            registers.reshape(-1, SLOTS),
+            np.array([np.nan if d is None else d for d in table.column("distance").to_pylist()]),
+            threshold,
         )
+        ends = ([nodes[x] for x, _ in links], [nodes[y] for _, y in links])
+        return pa.table([pa.array(e, pa.int64()) for e in ends], names=["a", "b"])
 
-    return meetings.groupBy("leader", "i", "j").applyInArrow(verify, "a long, b long")
+    met = _meetings(stars).join(sets, ["node", "part"])
+    return met.groupBy("leader", "kind", "i", "j").applyInArrow(verify, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, threshold: Threshold = Threshold()) -> DataFrame:
@@ -370,18 +436,14 @@ def near_duplicates(docs: DataFrame, threshold: Threshold = Threshold()) -> Data
         filled.join(named, "digest").where("doc_id = node").select("node", "sketch").distinct()
     )
     groups = stored(leader_groups(nodes, threshold.rows), folder, "groups")
-    wanted = groups.select("node").union(groups.select("leader")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("node"), text_of("text").alias("text"))
-    sets = stored(_shingles_of(texts.join(wanted, "node")), folder, "sets")
-    meetings = _blocked(groups).join(sets, "node")
+    sets = stored(_fetched(docs, groups), folder, "sets")
+    stars = stored(leader_distances(groups, sets, threshold), folder, "stars")
+    edges = stars.where("linked").select(F.col("leader").alias("a"), F.col("node").alias("b"))
+    edges = edges.union(_met(stars, sets, threshold))
     # Equal ids are one document: the nodes of all its texts are linked.
-    same = (
-        filled.join(named, "digest")
-        .groupBy("doc_id")
-        .agg(F.min("node").alias("a"), F.collect_set("node").alias("_nodes"))
-        .select("a", F.explode("_nodes").alias("b"))
-    )
-    edges = _verified(meetings, threshold)
+    held = filled.select("doc_id", "digest").join(named, "digest").select("doc_id", "node").distinct()
+    several = held.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("_last")).where("a < _last")
+    same = held.join(several, "doc_id").select("a", F.col("node").alias("b"))
     labels = component_labels(edges.union(same), folder)
     classes = named.join(labels, "node", "left").select(
         "digest", F.coalesce("label", "node").alias("component_id")
