@@ -166,7 +166,6 @@ def edited_fingerprints(docs: DataFrame, folder: str) -> DataFrame:
     rows = docs.select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("k"),
         F.xxhash64(text_of("text")).alias("h"),
-        "doc_id",
         text_of("text").alias("text"),
     )
     bitmap = lexicon_bitmap(rows.select("text"))
@@ -179,18 +178,17 @@ def edited_fingerprints(docs: DataFrame, folder: str) -> DataFrame:
         F.col("h").alias("_to_h"),
         F.expr("CAST(n div 4 AS INT)").alias("_cut"),
     )
-    texts = rows.repartition("k", "h")
     starts = (
-        texts.join(needs, ["k", "h"])
+        rows.join(needs, ["k", "h"])
         .select(F.col("_to_k").alias("k"), F.col("_to_h").alias("h"), F.expr("left(text, _cut)").alias("_start"))
         .groupBy("k", "h")
         .agg(F.max("_start").alias("_start"))
     )
     length = F.length("text")
-    both = texts.join(starts, ["k", "h"]).select(
+    # The same columns by the same keys as above: the shuffle of the texts is reused.
+    both = rows.join(starts, ["k", "h"]).select(
         "k",
         "h",
-        "doc_id",
         length.cast("long").alias("n_chars"),
         "text",
         F.concat(F.expr("left(text, length(text) - CAST(length(text) div 4 AS INT))"), "_start").alias("_edited"),
@@ -198,7 +196,6 @@ def edited_fingerprints(docs: DataFrame, folder: str) -> DataFrame:
     terms = both.select(
         "k",
         "h",
-        "doc_id",
         "n_chars",
         F.sha2("_edited", 256).alias("edited_sha256"),
         lexicon_terms(F.col("text"), bitmap).alias("_terms"),
@@ -208,7 +205,6 @@ def edited_fingerprints(docs: DataFrame, folder: str) -> DataFrame:
         terms.select(
             "k",
             "h",
-            "doc_id",
             "n_chars",
             "edited_sha256",
             fingerprint("_terms").alias("fingerprint"),
@@ -228,7 +224,7 @@ def edited_fingerprints(docs: DataFrame, folder: str) -> DataFrame:
         .select("k", "h", "_next")
     )
     return printed.join(following, ["k", "h"]).select(
-        "doc_id",
+        F.expr(f"nullif(k, {NO_ID + 1}L - 1L)").alias("doc_id"),
         "n_chars",
         "edited_sha256",
         "fingerprint",
