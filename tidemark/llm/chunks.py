@@ -31,10 +31,12 @@ def text_slices(texts: list[str | None], limit: int = SLICE_CHARS) -> Iterator[t
 
 
 class ChunkTable:
-    """Ids of chunks seen so far; forgets them all beyond ``CACHED_CHUNKS``, to bound memory."""
+    """Ids of chunks seen so far; forgets them all beyond ``limit`` chunks, to bound memory."""
 
-    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]):
-        self._encode = encode
+    def __init__(
+        self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], limit: int = CACHED_CHUNKS
+    ):
+        self._encode, self._limit = encode, limit
         self._forget()
 
     def _forget(self) -> None:
@@ -44,7 +46,7 @@ class ChunkTable:
 
     def ids(self, chunked: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, given as lists of chunks, one after the other, and their number per text."""
-        if len(self.known) > CACHED_CHUNKS:
+        if len(self.known) > self._limit:
             self._forget()
         chunks = list(chain.from_iterable(chunked))
         fresh = list(set(chunks).difference(self.known))

@@ -36,7 +36,8 @@ SPACE = "▁"
 LONG_WORD = 512
 NO_RANK = np.int64(1) << 40
 GONE = -(1 << 40)
-SLICE_IDS = 1 << 20
+SLICE_IDS = 1 << 19
+CACHED_WORDS = 150_000  # kept between the tasks of a worker
 HASH = np.uint64(0x9E3779B97F4A7C15)
 
 codecs.register_error("each_byte", lambda e: ("�" * (e.end - e.start), e.end))
@@ -301,7 +302,7 @@ def _word_ids(model: PieceModel, words: list[str]) -> tuple[np.ndarray, np.ndarr
 @lru_cache(maxsize=4)
 def _words_of(path: str) -> ChunkTable:
     model = load_pieces(path)
-    return ChunkTable(lambda words: _word_ids(model, words))
+    return ChunkTable(lambda words: _word_ids(model, words), CACHED_WORDS)
 
 
 def encode_batch(path: str, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -311,7 +312,7 @@ def encode_batch(path: str, texts: list[str | None]) -> tuple[np.ndarray, np.nda
     find = re.compile(f"{SPACE}+[^{apart}]*|[^{apart}]+" + f"|[{model.breaks}]" * bool(model.breaks)).findall
     prefix = SPACE if model.prefix else ""
     parts = []
-    for start, stop in text_slices(texts):
+    for start, stop in text_slices(texts, SLICE_IDS):
         shown = [prefix + t.replace(" ", SPACE) if t else "" for t in texts[start:stop]]
         if model.separable:
             parts.append(table.ids([find(t) for t in shown]))
