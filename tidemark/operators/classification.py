@@ -11,7 +11,10 @@ CHURN_CLASS = "Churn (1)"
 
 
 def confusion_matrix(df: DataFrame, threshold: float = 0.50) -> DataFrame:
-    """One row tn, fp, fn, tp; a score equal to the threshold predicts churn."""
+    """One row tn, fp, fn, tp; a score equal to the threshold predicts churn.
+
+    Spark sorts NaN above all numbers; ``evaluate`` refuses such scores beforehand.
+    """
     predicted = F.col("operational_score") >= F.lit(threshold)
     actual = F.col("churn") == 1
     return df.agg(

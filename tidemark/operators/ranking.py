@@ -34,7 +34,6 @@ def score_groups(df: DataFrame, views: Sequence[str]) -> DataFrame:
     )
     return (
         df.select(F.expr(f"inline(array({seen}))"))
-        .where("score IS NOT NULL")
         .groupBy("view", "score")
         .agg(F.expr("sum(y) AS pos"), F.expr("sum(1 - y) AS neg"))
     )

@@ -44,7 +44,9 @@ def leakage_audit(tables: Tables, features: DataFrame, cfg: SnapshotConfig) -> D
 def target_audit(cohort: DataFrame, features: DataFrame) -> DataFrame:
     """The label is binary, agrees with its count, and covers each customer once."""
     per_customer = cohort.groupBy(KEY).agg(F.count("*").alias("_n"))
-    unmatched = cohort.select(KEY).join(features.select(KEY, F.lit(1).alias("_f")), KEY, "full")
+    unmatched = cohort.select(KEY, F.lit(1).alias("_c")).join(
+        features.select(KEY, F.lit(1).alias("_f")), KEY, "full"
+    )
     return _union(
         _count(
             cohort,
@@ -55,7 +57,7 @@ def target_audit(cohort: DataFrame, features: DataFrame) -> DataFrame:
             },
         ),
         _count(per_customer, {"duplicate_customer": F.col("_n") > 1}),
-        _count(unmatched, {"cohort_features_mismatch": F.col("_f").isNull()}),
+        _count(unmatched, {"cohort_features_mismatch": F.col("_f").isNull() | F.col("_c").isNull()}),
     )
 
 

@@ -11,6 +11,7 @@ from tidemark.operators import calibration as cal
 from tidemark.operators import classification as cls
 from tidemark.operators import deciles as dec
 from tidemark.operators import ranking as rank
+from tidemark.operators.score_check import require_scores
 
 # curve -> the view whose scores it runs through
 CURVES = {"roc": "churn", "pr_churn": "churn", "pr_active": "active"}
@@ -20,8 +21,10 @@ def evaluate(df: DataFrame, threshold: float = 0.50, n_deciles: int = 10) -> dic
     """Every metric family as its own frame.
 
     ``df`` has customer_unique_id, churn, operational_score, calibrated_prob and
-    is read several times: pass a stored or cached table.
+    is read several times: pass a stored or cached table. Scores that are null, NaN
+    or outside 0 to 1 are refused with their count.
     """
+    require_scores(df)
     matrix = cls.confusion_matrix(df, threshold)
     return {
         "confusion_matrix": matrix,

@@ -11,12 +11,13 @@ from pyspark.sql import functions as F
 from tidemark.config import SnapshotConfig
 from tidemark.operators.features import feature_base, finish_features
 from tidemark.operators.scorecard import score
+from tidemark.operators.score_check import require_scores
 from tidemark.operators.split import stratified_split
 from tidemark.operators.tiers import high_risk_customers, scored_customers, tier_summary
 from tidemark.plans.audits import key_audit
 from tidemark.plans.evaluation import evaluate, metrics_document, metrics_tidy
 from tidemark.plans.training import feature_importance, train_models
-from tidemark.plans.work import stored, work_folder
+from tidemark.plans.work import stored, temporary_folder
 from tidemark.sinks import writers
 from tidemark.sources.tables import Tables
 
@@ -41,10 +42,20 @@ def run(
     """Run everything and write the results under ``out_dir``.
 
     Each stage reads a stored table of the one before, so a lost executor costs
-    the tasks it held and never a long lineage.
+    the tasks it held and never a long lineage. The work tables are removed at the end.
     """
-    cfg = cfg or SnapshotConfig()
-    folder = work_folder(spark)
+    with temporary_folder(spark) as folder:
+        return _run(spark, tables, out_dir, cfg or SnapshotConfig(), check_keys, folder)
+
+
+def _run(
+    spark: SparkSession,
+    tables: Tables,
+    out_dir: str,
+    cfg: SnapshotConfig,
+    check_keys: bool,
+    folder: str,
+) -> RunResult:
     if check_keys:
         broken = key_audit(tables).where("violations > 0").collect()  # two rows at most
         if broken:
@@ -63,10 +74,15 @@ def run(
     writers.save_models(spark, models, importance, f"{out_dir}/models")
 
     scored_raw = stored(score(split, *models.scorecards()), folder, "scored")
+    require_scores(scored_raw)
     test = scored_raw.where("is_test").select(KEY, "churn", "operational_score", "calibrated_prob")
     test = test.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        frames = evaluate(test, cfg.decision_threshold)
+        # Small frames, computed once: the document and the tidy table both read them.
+        frames = {
+            name: stored(frame, folder, f"metric-{name}")
+            for name, frame in evaluate(test, cfg.decision_threshold).items()
+        }
         document = metrics_document(frames)
         writers.write_metrics_document(spark, document, f"{out_dir}/metrics")
         writers.write_metrics_table(metrics_tidy(frames), f"{out_dir}/metrics_tidy")
