@@ -39,15 +39,15 @@ c_customers AS (
   FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey),
 c_items AS (
   SELECT l_orderkey AS order_id, l_linenumber AS order_item_id, l_partkey AS product_id,
-         CAST(l_extendedprice AS DECIMAL(18,4)) AS price,
-         CAST(l_extendedprice * l_tax AS DECIMAL(18,4)) AS freight_value
+         CAST(l_extendedprice AS DECIMAL(28,10)) AS price,
+         CAST(l_extendedprice * l_tax AS DECIMAL(28,10)) AS freight_value
   FROM lineitem),
 c_payments AS (
   SELECT l_orderkey AS order_id,
          CASE l_returnflag WHEN 'A' THEN 'credit_card' WHEN 'R' THEN 'boleto'
               WHEN 'N' THEN 'voucher' END AS payment_type,
          l_linenumber AS payment_installments,
-         CAST(l_extendedprice AS DECIMAL(18,4)) AS payment_value
+         CAST(l_extendedprice AS DECIMAL(28,10)) AS payment_value
   FROM lineitem),
 c_reviews AS (
   SELECT l_orderkey AS order_id, CAST(floor((l_quantity - 1) / 10) + 1 AS INTEGER) AS review_score,

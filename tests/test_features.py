@@ -103,6 +103,24 @@ def test_money_sums_do_not_depend_on_order(spark):
     assert r.total_freight == 10.0
 
 
+def test_amounts_are_not_cut_before_they_are_summed(spark):
+    prices = [0.12345678] * 1000 + [0.00004] * 20 + [-7.000012345, 2.5]
+    t = one_order(
+        spark,
+        items=[item("o1", i, "p", p, p / 2) for i, p in enumerate(prices)],
+        payments=[("o1", kind, 1, p) for p in prices for kind in ("credit_card", "boleto", "voucher")],
+    )
+    r = snapshot_features(t, CFG).first()
+    whole = math.fsum(prices)
+    assert r.total_spend == pytest.approx(whole, abs=1e-9)
+    assert r.total_freight == pytest.approx(whole / 2, abs=1e-6)
+    assert r.avg_item_price == pytest.approx(whole / len(prices), abs=1e-9)
+    paid = payment_features(t, CFG).first()
+    assert paid.cc_payment_val == pytest.approx(whole, abs=1e-9)
+    assert paid.boleto_payment_val == pytest.approx(whole, abs=1e-9)
+    assert paid.total_payment_val == pytest.approx(3 * whole, abs=1e-9)
+
+
 def test_reviews_as_of_the_snapshot(spark):
     t = shop(
         spark,

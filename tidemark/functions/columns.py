@@ -11,9 +11,11 @@ from datetime import datetime
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Money is summed as whole ten-thousandths held in doubles: integer-valued
-# doubles add exactly below 2**53, so totals do not depend on partition order.
+# Money is summed in two parts, whole ten-thousandths and whole ten-billionths of what is left,
+# both held in doubles: integer-valued doubles add exactly below 2**53, so totals do not depend on
+# partition order. Amounts of up to four decimals leave nothing; an amount counts to ten decimals.
 MONEY_SCALE = "10000D"
+REST_SCALE = "1000000D"
 MICROS_PER_SECOND = "1000000D"
 SECONDS_PER_DAY = "86400D"
 
@@ -39,12 +41,22 @@ def days(micros: str) -> str:
 
 def money_units(amount: str) -> str:
     """Amount in whole ten-thousandths; NaN counts as missing."""
-    return f"rint(nanvl(CAST({amount} AS DOUBLE), NULL) * {MONEY_SCALE})"
+    return f"rint({_scaled(amount)})"
 
 
-def money(units: str) -> str:
-    """Whole ten-thousandths back to an amount; nothing summed is zero."""
-    return f"(coalesce({units}, 0D) / {MONEY_SCALE})"
+def money_rest(amount: str) -> str:
+    """What the whole ten-thousandths leave of an amount, in whole ten-billionths."""
+    return f"rint(({_scaled(amount)} - {money_units(amount)}) * {REST_SCALE})"
+
+
+def _scaled(amount: str) -> str:
+    return f"(nanvl(CAST({amount} AS DOUBLE), NULL) * {MONEY_SCALE})"
+
+
+def money(stem: str) -> str:
+    """The sums ``<stem>_units`` and ``<stem>_rest`` back to an amount; nothing summed is zero."""
+    whole, rest = f"coalesce({stem}_units, 0D)", f"coalesce({stem}_rest, 0D)"
+    return f"({whole} / {MONEY_SCALE} + {rest} / ({MONEY_SCALE} * {REST_SCALE}))"
 
 
 def round_half_even(value: Column, digits: int) -> Column:

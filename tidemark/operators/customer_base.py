@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.config import SnapshotConfig
-from tidemark.functions.columns import micros_between, money_units, ntz_text
+from tidemark.functions.columns import micros_between, money_rest, money_units, ntz_text
 from tidemark.operators.orders import DELIVERED
 from tidemark.sources.tables import Tables
 
@@ -33,7 +33,13 @@ LABEL_COLUMNS = ("target_orders_count", "churn")
 
 # How each pre-folded total of a part folds further up.
 PART_FOLDS = {
-    ITEMS: {"frequency_items": "sum", "spend_units": "sum", "freight_units": "sum"},
+    ITEMS: {
+        "frequency_items": "sum",
+        "spend_units": "sum",
+        "spend_rest": "sum",
+        "freight_units": "sum",
+        "freight_rest": "sum",
+    },
     REVIEWS: {
         "review_rows": "sum",
         "review_count": "sum",
@@ -45,8 +51,11 @@ PART_FOLDS = {
         "installments_sum": "sum",
         "installments_count": "sum",
         "paid_units": "sum",
+        "paid_rest": "sum",
         "card_units": "sum",
+        "card_rest": "sum",
         "boleto_units": "sum",
+        "boleto_rest": "sum",
     },
 }
 
@@ -162,23 +171,28 @@ def _items_by_order(tables: Tables, with_totals: bool) -> DataFrame:
         return tables.order_items.select("order_id").distinct()
     return tables.order_items.groupBy("order_id").agg(
         F.expr("count(order_item_id) AS frequency_items"),
-        F.expr(f"sum({money_units('price')}) AS spend_units"),
-        F.expr(f"sum({money_units('freight_value')}) AS freight_units"),
+        *_amount_sums("spend", "price"),
+        *_amount_sums("freight", "freight_value"),
     )
 
 
 def _payments_by_order(tables: Tables) -> DataFrame:
-    paid = money_units("payment_value")
     return tables.payments.groupBy("order_id").agg(
         F.expr("count(*) AS payment_rows"),
         F.expr("sum(payment_installments) AS installments_sum"),
         F.expr("count(payment_installments) AS installments_count"),
-        F.expr(f"sum({paid}) AS paid_units"),
-        F.expr(f"sum(if(payment_type = 'credit_card', {paid}, 0D)) AS card_units"),
-        F.expr(f"sum(if(payment_type = 'boleto', {paid}, 0D)) AS boleto_units"),
+        *_amount_sums("paid", "payment_value"),
+        *_amount_sums("card", "payment_value", "payment_type = 'credit_card'"),
+        *_amount_sums("boleto", "payment_value", "payment_type = 'boleto'"),
     )
 
 
+def _amount_sums(stem: str, amount: str, when: str = "true") -> list[Column]:
+    """The two sums that ``money(stem)`` puts together, over the rows that ``when`` holds for."""
+    parts = {f"{stem}_units": money_units(amount), f"{stem}_rest": money_rest(amount)}
+    return [F.expr(f"sum(if({when}, {part}, 0D)) AS {name}") for name, part in parts.items()]
+
+
 def _owners(tables: Tables, with_place: bool) -> DataFrame:
     place = ["customer_state", "customer_city"] if with_place else []
     return tables.customers.where("customer_unique_id IS NOT NULL").select(

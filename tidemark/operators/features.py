@@ -50,7 +50,7 @@ SHARE_EPSILON = "1e-6D"
 REVIEW_RANGE = (1.0, 5.0)
 REVIEW_AVERAGE = "try_divide(double(review_sum), review_count)"
 INSTALLMENTS = "try_divide(double(installments_sum), installments_count)"
-SPEND, FREIGHT = money("spend_units"), money("freight_units")
+SPEND, FREIGHT = money("spend"), money("freight")
 ITEM_COLUMNS = (
     "frequency_items",
     f"{SPEND} AS total_spend",
@@ -71,8 +71,8 @@ LOGISTICS_COLUMNS = (
     "int(delivered_count > 0) AS has_delivery_history",
 )
 SHARE_COLUMNS = tuple(
-    f"{money(units)} / ({money('paid_units')} + {SHARE_EPSILON}) AS {name}"
-    for units, name in (("card_units", "credit_card_share"), ("boleto_units", "boleto_share"))
+    f"{money(stem)} / ({money('paid')} + {SHARE_EPSILON}) AS {name}"
+    for stem, name in (("card", "credit_card_share"), ("boleto", "boleto_share"))
 )
 
 
@@ -177,9 +177,9 @@ def payment_features(tables: Tables, cfg: SnapshotConfig) -> DataFrame:
     return base.selectExpr(
         KEY,
         f"{INSTALLMENTS} AS avg_payment_installments",
-        f"{money('paid_units')} AS total_payment_val",
-        f"{money('card_units')} AS cc_payment_val",
-        f"{money('boleto_units')} AS boleto_payment_val",
+        f"{money('paid')} AS total_payment_val",
+        f"{money('card')} AS cc_payment_val",
+        f"{money('boleto')} AS boleto_payment_val",
         *SHARE_COLUMNS,
     )
 
