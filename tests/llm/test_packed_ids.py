@@ -1,4 +1,5 @@
 import random
+import re
 import zlib
 
 import numpy as np
@@ -50,7 +51,15 @@ def test_encoder_equals_the_library():
     texts = ["".join(random.choices(parts, k=random.randint(0, 40))) for _ in range(5000)] + ["", "x" * 20_000]
     ids, counts = pk.byte_bpe_encoder(PATH)()(texts)
     found = np.split(ids, np.cumsum(counts)[:-1])
-    assert [f.tolist() for f in found] == [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    expected = [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert [f.tolist() for f in found] == expected
+    encode = pk.byte_bpe_encoder(PATH)()  # one by one, most texts take the way by spaces
+    by_spaces = [not re.search(r" (?!\S)|[\x1c-\x1f]", t) for t in texts]
+    assert 200 < sum(by_spaces) < 4900
+    assert [encode([t])[0].tolist() for t in texts] == expected
+    tight = [t for t, ok in zip(texts, by_spaces) if ok]
+    ids, counts = encode(tight)
+    assert [f.tolist() for f in np.split(ids, np.cumsum(counts)[:-1])] == [e for e, ok in zip(expected, by_spaces) if ok]
 
 
 def documents(spark, rows):

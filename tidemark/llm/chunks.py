@@ -6,8 +6,11 @@ from collections.abc import Callable, Iterator
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 CACHED_CHUNKS = 400_000
+CHUNK_CHARS = 16  # on average, beyond which the table forgets sooner
 SLICE_CHARS = 1 << 21
 
 
@@ -31,7 +34,10 @@ def text_slices(texts: list[str | None], limit: int = SLICE_CHARS) -> Iterator[t
 
 
 class ChunkTable:
-    """Ids of chunks seen so far; forgets them all beyond ``limit`` chunks, to bound memory."""
+    """Ids of chunks seen so far; forgets them all beyond ``limit`` chunks, to bound memory.
+
+    Chunks of more than ``CHUNK_CHARS`` characters on average count for more.
+    """
 
     def __init__(
         self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], limit: int = CACHED_CHUNKS
@@ -41,23 +47,49 @@ class ChunkTable:
 
     def _forget(self) -> None:
         self.known: dict[str, int] = {}
+        self.chars = 0
         self.table = np.zeros(0, dtype=np.int32)  # ids of the known chunks, one after the other
         self.sizes = np.zeros(0, dtype=np.int64)
 
     def ids(self, chunked: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, given as lists of chunks, one after the other, and their number per text."""
-        if len(self.known) > self._limit:
+        self._make_room()
+        which = self._numbers(list(chain.from_iterable(chunked)))
+        return self._gathered(which, np.fromiter(map(len, chunked), dtype=np.int64, count=len(chunked)))
+
+    def ids_by_spaces(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for texts of which each space begins a chunk; only distinct chunks become Python strings."""
+        self._make_room()
+        parts = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        coded = parts.flatten().dictionary_encode()
+        offsets, place = parts.offsets.to_numpy(), coded.indices.to_numpy()
+        first = np.zeros(len(place), dtype=bool)
+        first[offsets[:-1]] = True  # the chunk before the first space has no space of its own
+        used = np.bincount(place[~first], minlength=len(coded.dictionary)) > 0
+        words = coded.dictionary.filter(pa.array(used)).to_numpy(zero_copy_only=False)
+        numbers = np.zeros(len(used), dtype=np.int64)
+        numbers[used] = self._numbers([" " + c for c in words.tolist()])
+        which = numbers[place]
+        which[first] = self._numbers([t.split(" ", 1)[0] for t in texts])
+        return self._gathered(which, np.diff(offsets))
+
+    def _make_room(self) -> None:
+        if max(len(self.known), self.chars // CHUNK_CHARS) > self._limit:
             self._forget()
-        chunks = list(chain.from_iterable(chunked))
+
+    def _numbers(self, chunks: list[str]) -> np.ndarray:
+        """Number of every chunk in the table; new ones are encoded."""
         fresh = list(set(chunks).difference(self.known))
         if fresh:
             ids, counts = self._encode(fresh)
             self.known.update(zip(fresh, range(len(self.known), len(self.known) + len(fresh))))
+            self.chars += sum(map(len, fresh))
             self.table = np.concatenate([self.table, ids.astype(np.int32)])
             self.sizes = np.concatenate([self.sizes, counts])
-        which = np.fromiter(map(self.known.__getitem__, chunks), dtype=np.int64, count=len(chunks))
+        return np.fromiter(map(self.known.__getitem__, chunks), dtype=np.int64, count=len(chunks))
+
+    def _gathered(self, which: np.ndarray, per_text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         lengths = self.sizes[which]
         found = self.table[gather((np.cumsum(self.sizes) - self.sizes)[which], lengths)]
         ends = np.concatenate([[0], np.cumsum(lengths)])
-        per_text = np.fromiter(map(len, chunked), dtype=np.int64, count=len(chunked))
         return found, np.diff(ends[np.concatenate([[0], np.cumsum(per_text)])])

@@ -32,6 +32,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -244,8 +245,9 @@ def byte_bpe_encoder(path: str) -> Callable[[], Encode]:
 
     The library cuts a text at white space before any merge: a cut before each
     ``" ?\\S+"`` never falls inside one of its words. Each distinct chunk of a task
-    is therefore encoded once, many of them in one row. Texts with the separators U+001C to U+001F, which
-    Python alone counts as white space, are encoded as one chunk.
+    is therefore encoded once, many of them in one row. Of a text in which no space stands
+    before white space or the end, each space begins a chunk. Texts with the separators U+001C to U+001F,
+    which Python alone counts as white space, are encoded as one chunk.
     """
 
     def make() -> Encode:
@@ -256,6 +258,7 @@ def byte_bpe_encoder(path: str) -> Callable[[], Encode]:
         tokenizer.encode_special_tokens = True
         find = re.compile(r" ?\S+|\s+(?!\S)|\s+").findall
         odd = re.compile("[\x1c-\x1f]").search
+        loose = re.compile(r" (?!\S)").search
 
         # Each character of a byte-level token stands for one byte.
         token_bytes = np.zeros(tokenizer.get_vocab_size(), dtype=np.int64)
@@ -269,12 +272,16 @@ def byte_bpe_encoder(path: str) -> Callable[[], Encode]:
 
         def encode_chunks(chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
             """Words with their space are encoded in rows, and cut again by their bytes."""
-            spaced = [c[0] == " " and not c[1:2].isspace() and len(c) > 1 and not odd(c) for c in chunks]
+            some_odd = odd("".join(chunks)) is not None
+            spaced = [
+                c[:1] == " " and len(c) > 1 and not c[1].isspace() and not (some_odd and odd(c)) for c in chunks
+            ]
             rows = [c for c, s in zip(chunks, spaced) if s]
             others = [c for c, s in zip(chunks, spaced) if not s]
             joined = ["".join(rows[at : at + ROW_CHUNKS]) for at in range(0, len(rows), ROW_CHUNKS)]
             row_ids, _ = encode_all(joined)
-            ends = np.cumsum(np.fromiter((len(c.encode()) for c in rows), dtype=np.int64, count=len(rows)))
+            row_bytes = pc.binary_length(pa.array(rows, pa.large_string()))
+            ends = np.cumsum(row_bytes.to_numpy(zero_copy_only=False))
             stops = np.searchsorted(np.cumsum(token_bytes[row_ids]), ends) + 1
             other_ids, other_counts = encode_all(others)
             counts = np.empty(len(chunks), dtype=np.int64)
@@ -287,6 +294,12 @@ def byte_bpe_encoder(path: str) -> Callable[[], Encode]:
             return np.concatenate([row_ids, other_ids])[gather(starts, counts)], counts
 
         table = ChunkTable(encode_chunks)
-        return lambda texts: table.ids([[t] if t and odd(t) else find(t) for t in texts])
+
+        def encode(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+            if not any(odd(t) or loose(t) for t in texts):
+                return table.ids_by_spaces(texts)
+            return table.ids([[t] if t and odd(t) else find(t) for t in texts])
+
+        return encode
 
     return make
