@@ -52,7 +52,9 @@ c_payments AS (
 c_reviews AS (
   SELECT l_orderkey AS order_id, CAST(floor((l_quantity - 1) / 10) + 1 AS INTEGER) AS review_score,
          l_shipdate AS review_creation_date
-  FROM lineitem WHERE l_linenumber = 1),
+  FROM lineitem WHERE l_linenumber = 1)"""
+
+ORDERS = f"""
 vo AS (
   SELECT o.*, c.customer_unique_id, c.customer_state, c.customer_city,
          o.order_id IN (SELECT order_id FROM c_items) AS has_items,
@@ -214,8 +216,29 @@ published AS (
   FROM tiered)"""
 
 
+def as_of(text: str) -> str:
+    """The same definitions over the orders and reviews that the snapshot knows."""
+    return text.replace("c_orders", "cut_orders").replace("c_reviews", "cut_reviews")
+
+
+CUT = f"""
+cut_orders AS (
+  SELECT * REPLACE (CASE WHEN order_delivered_customer_date <= {SNAP}
+                    THEN order_delivered_customer_date END AS order_delivered_customer_date)
+  FROM c_orders WHERE order_purchase_timestamp <= {SNAP}),
+cut_reviews AS (SELECT * FROM c_reviews WHERE review_creation_date <= {SNAP}),
+cut_features AS (WITH {as_of(ORDERS)}, {as_of(COHORT)}, {as_of(BLOCKS)} SELECT * FROM features),
+versus AS (
+  SELECT f.frequency_orders AS orders, coalesce(c.frequency_orders, 0) AS orders_then,
+         f.review_count AS reviews, coalesce(c.review_count, 0) AS reviews_then
+  FROM features f LEFT JOIN cut_features c USING (customer_unique_id)),
+unlike AS (
+  SELECT customer_unique_id FROM (SELECT * FROM features EXCEPT SELECT * FROM cut_features)
+  UNION SELECT customer_unique_id FROM (SELECT * FROM cut_features EXCEPT SELECT * FROM features))"""
+
+
 def sql(select: str, *ctes: str) -> str:
-    return "WITH " + ",".join((INPUTS, *ctes)) + "\n" + select
+    return "WITH " + ",".join((INPUTS, ORDERS, *ctes)) + "\n" + select
 
 
 def on_features(select: str) -> str:
@@ -422,6 +445,28 @@ def standardized() -> str:
     return f"SELECT d.customer_unique_id, {columns} FROM dataset d"
 
 
+def label_moments() -> str:
+    """Per model and input z: sum(w * y * z) / n, from the labels alone."""
+    kept = sorted((*STATES, "Other"))[1:]
+    inputs = {"(intercept)": "1.0::DOUBLE"}
+    for n in NUMERIC_FEATURES:
+        inputs[n] = (
+            f"(t.{n}::DOUBLE - (SELECT avg({n}::DOUBLE) FROM train))"
+            f" / (SELECT coalesce(nullif(stddev_pop({n}::DOUBLE), 0), 1) FROM train)"
+        )
+    inputs |= {f"customer_state_{s}": f"CAST(t.customer_state = '{s}' AS DOUBLE)" for s in kept}
+    weights = {
+        "operational": "(SELECT count(*) / (2.0::DOUBLE * sum(churn)) FROM train)",
+        "calibrated": "1.0::DOUBLE",
+    }
+    return "\nUNION ALL ".join(
+        f"SELECT '{model}' AS model, '{name}' AS feature,"
+        f" {r(f'sum({weight} * t.churn * {z}) / count(*)', 6)} AS labelled, true AS met FROM train t"
+        for model, weight in weights.items()
+        for name, z in inputs.items()
+    )
+
+
 def dummies() -> str:
     kept = sorted((*STATES, "Other"))[1:]
     return ", ".join(f"CAST(customer_state = '{s}' AS DOUBLE) AS customer_state_{s}" for s in kept)
@@ -480,6 +525,7 @@ FROM train GROUP BY customer_state""",
     "one_hot_state": on_features(
         f"SELECT customer_unique_id, customer_state, {dummies()} FROM dataset"
     ),
+    "model_moments": sql(label_moments(), COHORT, BLOCKS, SPLIT),
     "fixed_scores": on_scores(
         "SELECT customer_unique_id, churn, operational_score, calibrated_prob FROM scored"
     ),
@@ -526,6 +572,11 @@ WHERE class IN ('churn', 'active')""",
     ),
     "curve_downsample": on_scores("SELECT * FROM kept", PR_GROUPS, ROC, CURVES),
     "decile_lift": on_scores("SELECT * FROM deciles", DECILES),
+    "decile_table": on_scores(
+        """SELECT decile, customers, active_count, active_rate, cum_active_capture_pct, lift, cum_lift
+FROM deciles""",
+        DECILES,
+    ),
     "metrics_tidy": on_scores(TIDY, MATRIX, REPORT, AUC, PR_GROUPS, CALIBRATION),
     "risk_tiers": on_scores(
         """SELECT customer_unique_id, operational_risk_score, calibrated_churn_prob,
@@ -621,18 +672,18 @@ FROM (SELECT CASE WHEN calibrated_churn_prob > 0.70::DOUBLE THEN 'High Risk'
             ),
         )
     ),
-    "leakage_audit": on_features(
+    "leakage_audit": sql(
         checks(
-            ("order_after_snapshot", "hist", f"order_purchase_timestamp > {SNAP}"),
+            ("order_after_snapshot", "versus", "orders > orders_then"),
             ("negative_recency", "features", "recency_days < 0"),
             ("tenure_below_recency", "features", "tenure_days - recency_days < -1e-5"),
             ("purchase_after_snapshot", "features", f"last_purchase > {SNAP}"),
-            (
-                "review_after_snapshot",
-                f"(SELECT * FROM c_reviews WHERE review_creation_date <= {SNAP})",
-                f"review_creation_date > {SNAP}",
-            ),
-        )
+            ("review_after_snapshot", "versus", "reviews > reviews_then"),
+            ("differs_from_tables_as_of_snapshot", "unlike", "true"),
+        ),
+        COHORT,
+        BLOCKS,
+        CUT,
     ),
     "target_audit": on_features(
         checks(

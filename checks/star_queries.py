@@ -28,6 +28,7 @@ KEY = "customer_unique_id"
 # nine digits, means of large amounts to four.
 REPORT_DIGITS = 9
 AMOUNT_DIGITS = 4
+MOMENT_TOLERANCE = 1e-5
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -125,9 +126,10 @@ def q_state_levels(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_one_hot_state(spark: SparkSession, sf: str) -> DataFrame:
-    kept = sorted((*CFG.top_states, "Other"))[1:]
-    df = dataset(spark, sf)
-    return df.select(KEY, "customer_state", *preprocess.one_hot_state(df, kept))
+    """Dummies of the levels that the training split shows."""
+    df = stored_split(spark, sf)
+    prep = preprocess.fit_preprocessor(df.where(~F.col("is_test")))
+    return df.select(KEY, "customer_state", *preprocess.one_hot_state(df, prep.state_levels))
 
 
 def q_standardized(spark: SparkSession, sf: str) -> DataFrame:
@@ -158,6 +160,22 @@ def q_feature_importance(spark: SparkSession, sf: str) -> DataFrame:
     return training.feature_importance(spark, models.operational, models.preprocessor)
 
 
+def q_model_moments(spark: SparkSession, sf: str) -> DataFrame:
+    """The labels' sums per model and feature, and whether the fit meets them.
+
+    A solver stops near the solution, so its side is held to a tolerance, not rounded.
+    """
+    train = stored_split(spark, sf).where(~F.col("is_test"))
+    moments = training.fitted_moments(train, training.train_models(train))
+    met = F.abs(F.col("fitted") - F.col("labelled")) <= MOMENT_TOLERANCE
+    return rounded(moments, "labelled", digits=6).withColumn("met", met).drop("fitted")
+
+
+def q_odds_ratios(spark: SparkSession, sf: str) -> DataFrame:
+    """The importance table in the order of the odds-ratio chart."""
+    return training.by_odds_ratio(q_feature_importance(spark, sf))
+
+
 def q_trained_scores(spark: SparkSession, sf: str) -> DataFrame:
     """Every customer scored by both fitted models."""
     split = stored_split(spark, sf)
@@ -184,6 +202,10 @@ def q_decile_lift(spark: SparkSession, sf: str) -> DataFrame:
     return deciles.decile_lift(deciles.decile_counts(stored_test_scores(spark, sf)))
 
 
+def q_decile_table(spark: SparkSession, sf: str) -> DataFrame:
+    return deciles.decile_table(q_decile_lift(spark, sf))
+
+
 def q_metrics_tidy(spark: SparkSession, sf: str) -> DataFrame:
     frames = evaluation.evaluate(stored_test_scores(spark, sf))
     return rounded(evaluation.metrics_tidy(frames), "value")
@@ -273,7 +295,8 @@ def q_customer_profile(spark: SparkSession, sf: str) -> DataFrame:
 
 def q_leakage_audit(spark: SparkSession, sf: str) -> DataFrame:
     t = star_tables(spark, sf)
-    return audits.leakage_audit(t, features.rfm_features(t, CFG), CFG)
+    made = stored(features.finish_features(base(spark, sf, False), CFG), work_folder(spark), "made")
+    return audits.leakage_audit(t, made, CFG)
 
 
 def q_target_audit(spark: SparkSession, sf: str) -> DataFrame:
@@ -315,6 +338,8 @@ QUERIES: dict[str, Query] = {
     "model_coefficients": q_model_coefficients,
     "feature_importance": q_feature_importance,
     "trained_scores": q_trained_scores,
+    "model_moments": q_model_moments,
+    "odds_ratios": q_odds_ratios,
     # evaluation of the fixed scores on the hold-out
     "eval_counts": lambda s, d: classification.eval_counts(test_scores(s, d)),
     "confusion_matrix": lambda s, d: classification.confusion_matrix(test_scores(s, d)),
@@ -339,6 +364,7 @@ QUERIES: dict[str, Query] = {
     "pr_curve_active": pr_query("pr_active"),
     "curve_downsample": lambda s, d: evaluation.downsampled_curves(stored_test_scores(s, d)),
     "decile_lift": q_decile_lift,
+    "decile_table": q_decile_table,
     "metrics_tidy": q_metrics_tidy,
     # risk scoring
     "risk_tiers": q_risk_tiers,

@@ -1,5 +1,8 @@
+from dataclasses import replace
+
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.operators.features import NUMERIC_FEATURES
 from tidemark.operators.preprocess import (
@@ -12,8 +15,10 @@ from tidemark.operators.preprocess import (
 from tidemark.operators.scorecard import score
 from tidemark.plans.training import (
     VECTOR,
+    by_odds_ratio,
     coefficients,
     feature_importance,
+    fitted_moments,
     model_coefficients,
     train_models,
 )
@@ -122,6 +127,42 @@ def test_importance_is_sorted_by_effect(spark, models):
     assert model_coefficients(spark, models).count() == 2 * 25
 
 
+def test_importance_by_odds_ratio(spark, models):
+    importance = feature_importance(spark, models.operational, models.preprocessor)
+    got = [r.odds_ratio for r in by_odds_ratio(importance).collect()]
+    assert len(got) == 24 and got == sorted(got)
+
+
+def test_fits_meet_their_first_order_conditions(train, models):
+    df, x, state, y = train
+    z = np.hstack([np.ones((N, 1)), design(x, state)])
+    rows = fitted_moments(df, models).collect()
+    for kind, w in (("operational", np.where(y == 1, N / (2 * y.sum()), N / (2 * (N - y.sum())))),
+                    ("calibrated", np.ones(N))):
+        got = [r for r in rows if r.model == kind]
+        np.testing.assert_allclose([r.labelled for r in got], z.T @ (w * y) / N, atol=1e-9)
+        np.testing.assert_allclose([r.fitted for r in got], z.T @ (w * y) / N, atol=1e-5)
+    # The wrong model does not meet them.
+    swapped = replace(models, operational=models.calibrated, calibrated=models.operational)
+    off = [abs(r.fitted - r.labelled) for r in fitted_moments(df, swapped).collect()]
+    assert max(off) > 0.01
+
+
+def test_a_null_feature_counts_as_the_training_mean(train):
+    df = train[0]
+    gap = F.when(F.hash("customer_unique_id") % 7 != 0, F.col("avg_item_price"))
+    holed = df.withColumn("avg_item_price", gap)
+    fitted = train_models(holed)
+    mean = F.lit(fitted.preprocessor.means["avg_item_price"])
+    filled = holed.withColumn("avg_item_price", F.coalesce("avg_item_price", mean))
+    columns = ["customer_unique_id", "operational_score", "calibrated_prob"]
+    card = [score(d, *fitted.scorecards()).select(columns).orderBy("customer_unique_id").collect()
+            for d in (holed, filled)]
+    assert card[0] == card[1] and all(None not in r for r in card[0])
+    direct = fitted.operational.transform(holed).orderBy("customer_unique_id").select("probability").collect()
+    np.testing.assert_allclose([r.operational_score for r in card[0]], [r.probability[1] for r in direct], atol=1e-12)
+
+
 def test_saved_models_score_the_same(spark, train, models, tmp_path):
     df = train[0]
     importance = feature_importance(spark, models.operational, models.preprocessor)

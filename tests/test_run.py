@@ -10,7 +10,13 @@ from tidemark.plans.audits import (
 from tidemark.plans.run import run
 from tidemark.operators.labels import cohort_labels
 from tidemark.operators.tiers import high_risk_customers
-from tidemark.sources.readers import load_models, read_high_risk_csv, read_metrics, read_scored
+from tidemark.sources.readers import (
+    load_models,
+    load_results,
+    read_high_risk_csv,
+    read_metrics,
+    read_scored,
+)
 from tidemark.sources.star_schema import STAR_CONFIG, star_tables
 
 
@@ -33,7 +39,13 @@ def test_end_to_end(spark, tmp_path):
     checks = scoring_audit(scored, exported, STAR_CONFIG).collect()
     checks += leakage_audit(t, result.dataset, STAR_CONFIG).collect()
     checks += target_audit(cohort_labels(t, STAR_CONFIG), result.dataset).collect()
-    assert len(checks) == 15 and all(c.violations == 0 for c in checks)
+    assert len(checks) == 16 and all(c.violations == 0 for c in checks)
+    audited = {c.check_name: c.violations for c in result.audits.collect()}
+    assert audited.keys() >= {c.check_name for c in checks}
+    # The bounds of the metrics are those of the published data, not of this one.
+    assert not any(audited[c.check_name] for c in checks)
+    metrics, listed, importance = load_results(spark, out)
+    assert metrics == result.metrics and listed.count() == 140 and importance.count() > 21
     assert high_risk_customers(scored, STAR_CONFIG).count() == exported.count()
 
     loaded = load_models(spark, f"{out}/models")

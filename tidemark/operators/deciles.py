@@ -8,6 +8,16 @@ from pyspark.sql import functions as F
 from tidemark.functions.prefix import ordered_prefix
 
 EPSILON = 1e-9
+# The columns of the report's decile table, in their published order.
+REPORT_COLUMNS = (
+    "decile",
+    "customers",
+    "active_count",
+    "active_rate",
+    "cum_active_capture_pct",
+    "lift",
+    "cum_lift",
+)
 TIE_HEX = 3  # a tie is split in up to 4,096 parts by the hash of the id
 
 
@@ -72,6 +82,11 @@ def decile_lift(counts: DataFrame) -> DataFrame:
     )
 
 
+def decile_table(lift: DataFrame) -> DataFrame:
+    """The columns of ``decile_lift`` that the report shows."""
+    return lift.select(*REPORT_COLUMNS)
+
+
 def _decile(rank: Column, total: Column, n_deciles: int) -> Column:
     """Bin of a rank when 1..total is cut at evenly spaced quantiles, in integers."""
     span = F.greatest(total - 1, F.lit(1))

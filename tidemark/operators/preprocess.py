@@ -78,7 +78,8 @@ def fit_preprocessor(df: DataFrame) -> Preprocessor:
     moments = {r["feature"]: r for r in scaler_moments(df).collect()}
     levels = sorted(r[STATE] for r in state_levels(df).collect())
     return Preprocessor(
-        means={n: moments[n]["mean"] for n in NUMERIC_FEATURES},
-        deviations={n: moments[n]["std"] for n in NUMERIC_FEATURES},
+        # A feature that no row has would have no moments; it then carries no information.
+        means={n: moments[n]["mean"] or 0.0 for n in NUMERIC_FEATURES},
+        deviations={n: moments[n]["std"] or 0.0 for n in NUMERIC_FEATURES},
         state_levels=tuple(levels[1:]),
     )

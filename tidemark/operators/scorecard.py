@@ -21,7 +21,10 @@ class NumericTerm:
 
 @dataclass(frozen=True)
 class Scorecard:
-    """intercept + sum of coefficient * (x - center) / scale + one state effect."""
+    """intercept + sum of coefficient * (x - center) / scale + one state effect.
+
+    A null x counts as its center.
+    """
 
     intercept: float
     terms: tuple[NumericTerm, ...]
@@ -38,7 +41,7 @@ class Scorecard:
             centred = F.col(term.feature).cast("double") - F.lit(term.center)
             # A constant feature has no scale and carries no information.
             unit = centred / F.lit(term.scale) if term.scale else centred
-            parts.append(unit * F.lit(term.coefficient))
+            parts.append(F.coalesce(unit, F.lit(0.0)) * F.lit(term.coefficient))
         if self.state_effects:
             effect = F
             for state, value in self.state_effects:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -9,7 +11,8 @@ from pyspark.sql import functions as F
 
 from tidemark.config import SnapshotConfig
 from tidemark.functions.columns import ntz
-from tidemark.operators.customer_base import historical_orders
+from tidemark.operators.features import snapshot_features
+from tidemark.operators.labels import label_summary
 from tidemark.operators.tiers import risk_tier
 from tidemark.sources.tables import Tables
 
@@ -17,36 +20,79 @@ KEY = "customer_unique_id"
 AGE_TOLERANCE = -1e-5
 
 
-def leakage_audit(tables: Tables, features: DataFrame, cfg: SnapshotConfig) -> DataFrame:
-    """Nothing after the snapshot reaches the features."""
-    snapshot = ntz(cfg.snapshot)
-    used_orders = historical_orders(tables, cfg)
-    used_reviews = tables.reviews.where(F.col("review_creation_date") <= snapshot)
-    return _union(
-        _count(
-            used_orders, {"order_after_snapshot": F.col("order_purchase_timestamp") > snapshot}
+def as_of(tables: Tables, cfg: SnapshotConfig) -> Tables:
+    """The tables as they stood at the snapshot: later rows and arrivals are not there yet."""
+    snapshot, arrived = ntz(cfg.snapshot), F.col("order_delivered_customer_date")
+    orders = tables.orders.where(F.col("order_purchase_timestamp") <= snapshot)
+    return replace(
+        tables,
+        orders=orders.withColumn(
+            "order_delivered_customer_date", F.when(arrived <= snapshot, arrived)
         ),
+        reviews=tables.reviews.where(F.col("review_creation_date") <= snapshot),
+    )
+
+
+def leakage_audit(
+    tables: Tables,
+    features: DataFrame,
+    cfg: SnapshotConfig,
+    review_median: float | None = None,
+) -> DataFrame:
+    """Nothing after the snapshot reaches the features.
+
+    The feature table (stored; any columns of ``snapshot_features``, with
+    ``frequency_orders`` and ``review_count``) is held against the one that the tables as of the
+    snapshot give. Pass the ``review_median`` it was made with, if any.
+    """
+    expected = snapshot_features(as_of(tables, cfg), cfg, review_median)
+    shared = [c for c in expected.columns if c in features.columns and c != KEY]
+    made = features.select(KEY, F.struct(*shared).alias("made"))
+    both = made.join(expected.select(KEY, F.struct(*shared).alias("expected")), KEY, "full")
+
+    def exceeds(name: str) -> Column:
+        return F.col(f"made.{name}") > F.coalesce(F.col(f"expected.{name}"), F.lit(0))
+
+    return _union(
         _count(
             features,
             {
                 "negative_recency": F.col("recency_days") < 0,
                 "tenure_below_recency": F.col("tenure_days") - F.col("recency_days")
                 < AGE_TOLERANCE,
-                "purchase_after_snapshot": F.col("last_purchase") > snapshot,
+                "purchase_after_snapshot": F.col("last_purchase") > ntz(cfg.snapshot),
             },
         ),
         _count(
-            used_reviews, {"review_after_snapshot": F.col("review_creation_date") > snapshot}
+            both,
+            {
+                "order_after_snapshot": exceeds("frequency_orders"),
+                "review_after_snapshot": exceeds("review_count"),
+                "differs_from_tables_as_of_snapshot": ~F.col("made").eqNullSafe(F.col("expected")),
+            },
         ),
     )
 
 
-def target_audit(cohort: DataFrame, features: DataFrame) -> DataFrame:
-    """The label is binary, agrees with its count, and covers each customer once."""
+def target_audit(
+    cohort: DataFrame, features: DataFrame, expected: Mapping[str, int] | None = None
+) -> DataFrame:
+    """The label is binary, agrees with its count, and covers each customer once.
+
+    ``expected`` may name counts of ``label_summary`` (eligible_customers, churned_customers,
+    active_customers); each adds a row with the distance from the cohort's own count.
+    """
     per_customer = cohort.groupBy(KEY).agg(F.count("*").alias("_n"))
     unmatched = cohort.select(KEY, F.lit(1).alias("_c")).join(
         features.select(KEY, F.lit(1).alias("_f")), KEY, "full"
     )
+    counts = [
+        label_summary(cohort).select(
+            F.lit(f"unexpected_{name}").alias("check_name"),
+            F.abs(F.col(name) - number).alias("violations"),
+        )
+        for name, number in (expected or {}).items()
+    ]
     return _union(
         _count(
             cohort,
@@ -58,6 +104,7 @@ def target_audit(cohort: DataFrame, features: DataFrame) -> DataFrame:
         ),
         _count(per_customer, {"duplicate_customer": F.col("_n") > 1}),
         _count(unmatched, {"cohort_features_mismatch": F.col("_f").isNull() | F.col("_c").isNull()}),
+        *counts,
     )
 
 

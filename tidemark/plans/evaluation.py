@@ -121,7 +121,10 @@ def metrics_tidy(frames: dict[str, DataFrame]) -> DataFrame:
 
 
 def metrics_document(frames: dict[str, DataFrame]) -> dict:
-    """The nested metrics payload. Collects a few hundred rows at most."""
+    """The nested metrics payload. Collects a few hundred rows at most.
+
+    Its keys are fixed values: those of the published document.
+    """
     views = {r["view"]: r for r in frames["ranking"].collect()}
     cal_rows = {r["score_name"]: r for r in frames["calibration"].collect()}
     curves: dict[str, tuple[list, list]] = {c: ([], []) for c in CURVES}

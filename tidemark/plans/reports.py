@@ -17,6 +17,7 @@ from tidemark.operators.tiers import risk_tier
 from tidemark.sources.tables import Tables
 
 KEY = "customer_unique_id"
+# The explorer's bounds, defaults and columns, in their published order.
 SPEND_SLIDER_MAX = 2000.0
 DEFAULT_SPEND = (0.0, 1000.0)
 DEFAULT_TIERS = (HIGH_RISK, LOW_RISK)

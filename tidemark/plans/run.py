@@ -14,7 +14,14 @@ from tidemark.operators.scorecard import score
 from tidemark.operators.score_check import require_scores
 from tidemark.operators.split import stratified_split
 from tidemark.operators.tiers import high_risk_customers, scored_customers, tier_summary
-from tidemark.plans.audits import key_audit
+from tidemark.operators.labels import cohort_labels
+from tidemark.plans.audits import (
+    key_audit,
+    leakage_audit,
+    metric_checks,
+    scoring_audit,
+    target_audit,
+)
 from tidemark.plans.evaluation import evaluate, metrics_document, metrics_tidy
 from tidemark.plans.training import feature_importance, train_models
 from tidemark.plans.work import stored, temporary_folder
@@ -30,6 +37,7 @@ class RunResult:
     scored: DataFrame
     tiers: DataFrame
     metrics: dict
+    audits: DataFrame | None = None
 
 
 def run(
@@ -38,14 +46,18 @@ def run(
     out_dir: str,
     cfg: SnapshotConfig | None = None,
     check_keys: bool = True,
+    audit: bool = True,
 ) -> RunResult:
     """Run everything and write the results under ``out_dir``.
 
+    ``audit`` adds a table of all checks, (check_name, violations), under ``audits``. It builds
+    the features a second time, from the tables as of the snapshot.
+
     Each stage reads a stored table of the one before, so a lost executor costs
     the tasks it held and never a long lineage. The work tables are removed at the end.
     """
     with temporary_folder(spark) as folder:
-        return _run(spark, tables, out_dir, cfg or SnapshotConfig(), check_keys, folder)
+        return _run(spark, tables, out_dir, cfg or SnapshotConfig(), check_keys, audit, folder)
 
 
 def _run(
@@ -54,6 +66,7 @@ def _run(
     out_dir: str,
     cfg: SnapshotConfig,
     check_keys: bool,
+    audit: bool,
     folder: str,
 ) -> RunResult:
     if check_keys:
@@ -92,5 +105,29 @@ def _run(
     scored_path = f"{out_dir}/scored_customers"
     writers.write_table(scored_customers(scored_raw, cfg), scored_path)
     scored = spark.read.parquet(scored_path)
-    writers.write_high_risk_csv(high_risk_customers(scored, cfg), f"{out_dir}/high_risk_customers")
-    return RunResult(dataset, scored, tier_summary(scored), document)
+    high_risk = high_risk_customers(scored, cfg)
+    writers.write_high_risk_csv(high_risk, f"{out_dir}/high_risk_customers")
+    audits = _audits(spark, tables, dataset, scored, high_risk, document, out_dir, cfg) if audit else None
+    return RunResult(dataset, scored, tier_summary(scored), document, audits)
+
+
+def _audits(
+    spark: SparkSession,
+    tables: Tables,
+    dataset: DataFrame,
+    scored: DataFrame,
+    high_risk: DataFrame,
+    document: dict,
+    out_dir: str,
+    cfg: SnapshotConfig,
+) -> DataFrame:
+    """Every check of the run's own results, written and read back."""
+    broken = [(name, 1) for name in metric_checks(document)]
+    checks = (
+        leakage_audit(tables, dataset, cfg)
+        .unionByName(target_audit(cohort_labels(tables, cfg), dataset))
+        .unionByName(scoring_audit(scored, high_risk, cfg))
+        .unionByName(spark.createDataFrame(broken, "check_name string, violations long"))
+    )
+    writers.write_table(checks, f"{out_dir}/audits")
+    return spark.read.parquet(f"{out_dir}/audits")

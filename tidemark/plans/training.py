@@ -19,7 +19,7 @@ from tidemark.operators.preprocess import (
     class_weights,
     fit_preprocessor,
 )
-from tidemark.operators.scorecard import NumericTerm, Scorecard
+from tidemark.operators.scorecard import NumericTerm, Scorecard, score
 
 INVERSE_PENALTY = 1.0  # the C of the usual "C * loss + |b|^2 / 2" objective
 MAX_ITERATIONS = 1000
@@ -66,20 +66,27 @@ def train_models(train: DataFrame) -> TrainedModels:
 
 
 def preprocessing_stages(prep: Preprocessor) -> list:
-    """Standardise and encode in one SQL projection, then assemble the vector."""
+    """Standardise and encode in one SQL projection, then assemble the vector.
+
+    A null feature (a customer without a countable item has no item price) counts as the
+    training mean, which is 0 on the model's scale.
+    """
     scaled = []
     for name in NUMERIC_FEATURES:
         scale = prep.deviations[name] or 1.0
-        scaled.append(f"(CAST({name} AS DOUBLE) - {prep.means[name]!r}D) / {scale!r}D AS z_{name}")
+        z = f"(CAST({name} AS DOUBLE) - {prep.means[name]!r}D) / {scale!r}D"
+        scaled.append(f"COALESCE({z}, 0D) AS z_{name}")
     dummies = []
     for i, level in enumerate(prep.state_levels):
         text = level.replace("\\", "\\\\").replace("'", "\\'")
         dummies.append(f"CAST(COALESCE({STATE} = '{text}', false) AS DOUBLE) AS z_state_{i}")
     projection = SQLTransformer(statement=f"SELECT *, {', '.join(scaled + dummies)} FROM __THIS__")
-    inputs = [f"z_{n}" for n in NUMERIC_FEATURES] + [
-        f"z_state_{i}" for i in range(len(prep.state_levels))
-    ]
-    return [projection, VectorAssembler(inputCols=inputs, outputCol=VECTOR)]
+    return [projection, VectorAssembler(inputCols=_vector_inputs(prep), outputCol=VECTOR)]
+
+
+def _vector_inputs(prep: Preprocessor) -> list[str]:
+    states = range(len(prep.state_levels))
+    return [f"z_{n}" for n in NUMERIC_FEATURES] + [f"z_state_{i}" for i in states]
 
 
 def coefficients(model: PipelineModel, prep: Preprocessor) -> list[tuple[str, float]]:
@@ -108,6 +115,46 @@ def feature_importance(spark, model: PipelineModel, prep: Preprocessor) -> DataF
     ).orderBy(F.col("abs_impact").desc(), "feature")
 
 
+def by_odds_ratio(importance: DataFrame) -> DataFrame:
+    """The importance table from the most protective feature to the one that raises churn most."""
+    return importance.orderBy("odds_ratio", "feature")
+
+
+def fitted_moments(train: DataFrame, models: TrainedModels) -> DataFrame:
+    """(model, feature, fitted, labelled): weighted sums that a right fit makes equal.
+
+    The loss is strictly convex, so a fit is right exactly if for every feature z of weight b
+    ``sum(w * p * z) + b / C`` equals ``sum(w * y * z)``, and ``sum(w * p)`` equals ``sum(w * y)``.
+    Both sides come out over the number of rows. Two passes over ``train``, which should be stored.
+    """
+    prep = models.preprocessor
+    weights = {r["churn"]: r["weight"] for r in class_weights(train).collect()}  # two rows
+    balanced = F.when(F.col("churn") == 1, F.lit(weights.get(1))).otherwise(F.lit(weights.get(0)))
+    projection = preprocessing_stages(prep)[0]
+    scored = score(projection.transform(train), *models.scorecards())
+    inputs = _vector_inputs(prep)
+    kinds = {
+        "operational": (models.operational, F.col("operational_score"), balanced),
+        "calibrated": (models.calibrated, F.col("calibrated_prob"), F.lit(1.0)),
+    }
+    cells = []
+    for kind, (model, probability, weight) in kinds.items():
+        betas = model.stages[-1].coefficients.toArray().tolist()
+        terms = [("(intercept)", F.lit(1.0), 0.0)]
+        terms += [(f, F.col(z), beta) for f, z, beta in zip(prep.feature_names, inputs, betas)]
+        for name, z, beta in terms:
+            fitted = F.sum(weight * probability * z) + F.lit(beta / INVERSE_PENALTY)
+            cells.append(
+                F.struct(
+                    F.lit(kind).alias("model"),
+                    F.lit(name).alias("feature"),
+                    (fitted / F.count("*")).alias("fitted"),
+                    (F.sum(weight * F.col("churn") * z) / F.count("*")).alias("labelled"),
+                )
+            )
+    return scored.agg(F.array(*cells).alias("cells")).select(F.inline("cells"))
+
+
 def as_scorecard(model: PipelineModel, prep: Preprocessor) -> Scorecard:
     """A fitted model as a formula over the raw features."""
     values = dict(coefficients(model, prep))

@@ -91,6 +91,15 @@ def load_models(spark: SparkSession, path: str) -> dict:
     }
 
 
+def load_results(spark: SparkSession, out_dir: str) -> tuple[dict, DataFrame, DataFrame]:
+    """Metrics, scored customers and feature importance of a finished ``run``."""
+    return (
+        read_metrics(spark, f"{out_dir}/metrics"),
+        read_scored(spark, f"{out_dir}/scored_customers"),
+        spark.read.parquet(f"{out_dir}/models/importance"),
+    )
+
+
 def _read_csv(spark: SparkSession, table: str, path: str, columns: Mapping[str, str]) -> DataFrame:
     reader = (
         spark.read.option("header", True)
