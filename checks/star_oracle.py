@@ -729,3 +729,7 @@ FROM (SELECT CASE WHEN calibrated_churn_prob > 0.70::DOUBLE THEN 'High Risk'
         "export AS (SELECT * FROM published WHERE operational_risk_score > 0.70::DOUBLE)",
     ),
 }
+
+# The same answers, by way of files.
+ORACLE_SQL["snapshot_features_csv"] = ORACLE_SQL["snapshot_features"]
+ORACLE_SQL["high_risk_files"] = ORACLE_SQL["high_risk_customers"]

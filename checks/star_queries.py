@@ -20,8 +20,12 @@ from tidemark.operators.scorecard import score
 from tidemark.operators.split import class_quotas, stratified_split
 from tidemark.plans import audits, evaluation, reports, training
 from tidemark.plans.work import stored, work_folder
+from tidemark.sinks import writers
+from tidemark.sources.readers import load_tables, read_high_risk_csv, read_scored
+from tidemark.sources.schemas import TABLE_COLUMNS
 from tidemark.sources.star_schema import STAR_CONFIG as CFG
 from tidemark.sources.star_schema import star_tables
+from tidemark.sources.tables import Tables
 
 KEY = "customer_unique_id"
 # Float sums depend on order in the last bits, so reports are rounded: ratios to
@@ -42,6 +46,23 @@ def base(spark: SparkSession, sf: str, with_label: bool = True) -> DataFrame:
     return stored(totals, work_folder(spark), "base")
 
 
+def csv_tables(spark: SparkSession, sf: str) -> Tables:
+    """The whole shop written as CSV files and read again; parts and suppliers as side tables."""
+    shop, folder = star_tables(spark, sf), work_folder(spark)
+    sides = {"products": "part", "sellers": "supplier"}
+    for table, columns in TABLE_COLUMNS.items():
+        if table in sides:
+            frame = spark.read.parquet(f"{sf}/{sides[table]}.parquet")
+        else:
+            frame = getattr(shop, table)
+        if frame is None:
+            continue
+        unknown = {c: F.lit(None).cast(t) for c, t in columns.items() if c not in frame.columns}
+        frame = frame.withColumns(unknown) if unknown else frame
+        frame.write.option("header", True).csv(f"{folder}/{table}.csv")
+    return load_tables(spark, folder, "csv")
+
+
 def dataset(spark: SparkSession, sf: str) -> DataFrame:
     """The labelled feature table."""
     return features.finish_features(base(spark, sf), CFG)
@@ -238,6 +259,15 @@ def q_risk_percentile(spark: SparkSession, sf: str) -> DataFrame:
     return scored_table(spark, sf).select(KEY, "operational_risk_score", "risk_percentile")
 
 
+def q_high_risk_files(spark: SparkSession, sf: str) -> DataFrame:
+    """The export as it reads from its CSV files, made from the written scored table."""
+    folder = work_folder(spark)
+    writers.write_table(scored_table(spark, sf), f"{folder}/scored_customers")
+    scored = read_scored(spark, f"{folder}/scored_customers")
+    writers.write_high_risk_csv(tiers.high_risk_customers(scored, CFG), f"{folder}/high_risk")
+    return read_high_risk_csv(spark, f"{folder}/high_risk", scored)
+
+
 def q_tier_summary(spark: SparkSession, sf: str) -> DataFrame:
     tiered = tiers.risk_tiers(scored_dataset(spark, sf), CFG)
     return rounded(
@@ -322,6 +352,7 @@ QUERIES: dict[str, Query] = {
     "logistics_features": on_tables(features.logistics_features, CFG),
     "payment_features": on_tables(features.payment_features, CFG),
     "snapshot_features": lambda s, d: features.finish_features(base(s, d, False), CFG),
+    "snapshot_features_csv": lambda s, d: features.snapshot_features(csv_tables(s, d), CFG),
     # dataset, split, preprocessing
     "modeling_dataset": dataset,
     "split_quotas": lambda s, d: class_quotas(cohort(s, d), CFG),
@@ -370,6 +401,7 @@ QUERIES: dict[str, Query] = {
     "risk_tiers": q_risk_tiers,
     "risk_percentile": q_risk_percentile,
     "scored_customers": scored_table,
+    "high_risk_files": q_high_risk_files,
     "high_risk_customers": lambda s, d: tiers.high_risk_customers(scored_table(s, d), CFG),
     "tier_summary": q_tier_summary,
     # reports
