@@ -49,15 +49,15 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document of the mix, and whether they decode to its text."""
     model = f"{TOKENIZERS}/piece_bpe_32k.model"
     encoded = docs.select(
-        "doc_id", "lang", "source", text_of("text").alias("_text"), pieces.encode_ids(text_of("text"), model).alias("ids")
+        "doc_id", "lang", "source", pieces.encode_checked(text_of("text"), model).alias("encoded")
     )
     return encoded.select(
         "doc_id",
         "lang",
         "source",
-        F.size("ids").cast("long").alias("n_tokens"),
-        "ids",
-        (pieces.decode_ids(F.col("ids"), model) == F.col("_text")).alias("round_trip"),
+        F.size("encoded.ids").cast("long").alias("n_tokens"),
+        "encoded.ids",
+        "encoded.round_trip",
     )
 
 

@@ -60,3 +60,15 @@ def test_columns_with_nulls_repeats_and_clashing_names(spark, library):
     assert [r.e for r in rows] == [library.encode(t or "") for t in texts]
     assert [r.d for r in rows] == [t or "" for t in texts] and {r.ids for r in rows} == {1}
     assert df.limit(0).select(pieces.encode_ids(text_of("text"), PATH)).count() == 0
+
+
+def test_checked_encoding_equals_the_library(spark, library):
+    texts = ["a b", None, "", "日本\n the ▁ x", "words and more " * 60_000, "a b", "\x00 ￼", "x" * 700]
+    rows = spark.createDataFrame(list(enumerate(texts)), "n int, text string").repartition(2)
+    got = {r.n: r.e for r in rows.select("n", pieces.encode_checked(F.col("text"), PATH).alias("e")).collect()}
+    for n, text in enumerate(texts):
+        want = library.encode(text or "")
+        assert got[n].ids == want and got[n].round_trip == (library.decode(want) == (text or ""))
+    assert not got[3].round_trip and got[4].round_trip
+    empty = rows.where("n < 0").select(pieces.encode_checked(F.col("text"), PATH).alias("e"))
+    assert empty.count() == 0

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from itertools import chain
 
 import numpy as np
@@ -23,14 +23,19 @@ def gather(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 def text_slices(texts: list[str | None], limit: int = SLICE_CHARS) -> Iterator[tuple[int, int]]:
     """Ranges of texts of bounded size in all; one text at least."""
-    start = size = 0
-    for k, text in enumerate(texts):
-        if size and size + len(text or "") > limit:
+    return size_slices([len(text or "") for text in texts], limit)
+
+
+def size_slices(sizes: Sequence[int], limit: int) -> Iterator[tuple[int, int]]:
+    """Ranges of rows whose sizes add up to at most ``limit``; one row at least."""
+    start = total = 0
+    for k, size in enumerate(sizes):
+        if total and total + size > limit:
             yield start, k
-            start, size = k, 0
-        size += len(text or "")
-    if start < len(texts):
-        yield start, len(texts)
+            start, total = k, 0
+        total += size
+    if start < len(sizes):
+        yield start, len(sizes)
 
 
 class ChunkTable:

@@ -27,10 +27,11 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tidemark.llm.chunks import ChunkTable, gather, text_slices
+from tidemark.llm.chunks import ChunkTable, gather, size_slices, text_slices
 
 SPACE = "▁"
 LONG_WORD = 512
@@ -366,6 +367,31 @@ def encode_ids(text: Column, path: str) -> Column:
     return encode(text)
 
 
+def encode_checked(text: Column, path: str) -> Column:
+    """Struct of the ids of a text and ``round_trip``, whether they decode to it (null: the empty text).
+
+    The texts go to Python once and do not come back; of a batch, only a slice at a time becomes
+    Python strings.
+    """
+
+    @F.arrow_udf("ids array<int>, round_trip boolean")
+    def encode(texts: pa.Array) -> pa.Array:
+        model, same = load_pieces(path), []
+        id_parts, count_parts = [np.zeros(0, dtype=np.int32)], [np.zeros(0, dtype=np.int64)]
+        sizes = pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False)
+        for start, stop in size_slices(sizes, SLICE_IDS):
+            shown = texts.slice(start, stop - start).to_pylist()
+            ids, counts = encode_batch(path, shown)
+            same += [(t or "") == d for t, d in zip(shown, decode_batch(model, ids, counts))]
+            id_parts.append(ids)
+            count_parts.append(counts)
+        offsets = np.concatenate([[0], np.cumsum(np.concatenate(count_parts))]).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(id_parts), type=pa.int32()))
+        return pa.StructArray.from_arrays([lists, pa.array(same, type=pa.bool_())], ["ids", "round_trip"])
+
+    return encode(text)
+
+
 def decode_ids(ids: Column, path: str) -> Column:
     """Text of a column of id arrays; null counts as no ids."""
 
