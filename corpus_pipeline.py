@@ -20,6 +20,7 @@ from tidemark.llm import mixing, near_dedup, pieces, pii, quality
 from tidemark.llm.common import read_table, stored, text_of, work_folder
 
 TOKENIZERS = os.environ.get("TOKENIZER_FOLDER", "/opt/tokenizers")
+BATCH_SETTING, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
 SIMILAR = near_dedup.Threshold(80, 100)
 
 
@@ -48,6 +49,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document of the mix, and whether they decode to its text."""
     model = f"{TOKENIZERS}/piece_bpe_32k.model"
+    # Bounds what a batch of texts takes in the JVM and in Python; results do not depend on it.
+    if not 0 < int(spark.conf.get(BATCH_SETTING)) <= BATCH_ROWS:
+        spark.conf.set(BATCH_SETTING, BATCH_ROWS)
     encoded = docs.select(
         "doc_id", "lang", "source", pieces.encode_checked(text_of("text"), model).alias("encoded")
     )
