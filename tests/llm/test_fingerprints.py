@@ -105,3 +105,37 @@ def test_edits_stay_nearer_than_other_documents(spark):
     got = run(spark, rows)
     assert sum(r.near_edited for r in got) / 150 > 0.3 and max(r.near_next for r in got) < 0.15
     assert sum(r.near_edited > r.near_next for r in got) >= 148
+
+
+def run_as_the_query(spark, rows):
+    docs = spark.createDataFrame([(i, t, "f", "k") for i, t in rows], SCHEMA)
+    return {r.doc_id: r for r in fp.edited_fingerprints(docs, work_folder(spark), fp.FEW_TERMS).collect()}
+
+
+def test_copy_groups_of_over_a_twentieth_of_the_rows_stay_apart(spark):
+    one = " ".join(f"first{i}" for i in range(60))
+    two = " ".join(f"second{i}" for i in range(60))
+    rows = [(i, one) for i in range(10)] + [(10 + i, two) for i in range(10)]
+    rows += [(100 + i, " ".join(f"w{i}x{j}" for j in range(60))) for i in range(80)]
+    got = run_as_the_query(spark, rows)
+    assert got[0].near_next == got[10].near_next == 1.0 and got[0].fingerprint == got[9].fingerprint
+    assert got[9].near_next == got[19].near_next == 0.0
+    # Three quarters stay; what comes in are the terms of the lexicon that follow.
+    assert 0.2 < got[19].near_edited < 1 and 0.2 < got[9].near_edited < 1
+    assert got[19].fingerprint.count(":") == 3 and got[19].edited_fingerprint.count(":") == 2
+
+
+def test_small_tables_and_texts_without_terms_have_likeness_one_only_for_equal_terms(spark):
+    got = run_as_the_query(spark, [(1, "a b c"), (2, "d e f"), (3, "f  E d"), (4, "!!!"), (5, "???"), (6, None), (7, "")])
+    assert [got[i].near_next for i in (1, 2, 3, 4, 5, 6, 7)] == [0.0, 1.0, 0.0, 0.0, 0.0, 1.0, 0.0]
+    long = " ".join(f"t{i}" for i in range(4000))
+    got = run_as_the_query(spark, [(1, long), (2, long + " more")])
+    assert 0.9 < got[1].near_next < 1
+
+
+def test_texts_with_enough_lexicon_terms_are_printed_alike_by_the_query(spark):
+    rows = list(enumerate(texts_of(90, 2)))
+    kept = lexicon([t for _, t in rows])
+    many = [i for i, t in rows if sum(h & (2**fp.SLOT_BITS - 1) in kept for h in terms(t)) >= fp.FEW_TERMS]
+    got = run_as_the_query(spark, rows)
+    assert len(many) > 3 and all(got[i].fingerprint == fingerprint(rows[i][1], kept) for i in many)

@@ -16,8 +16,14 @@ A fingerprint reads ``scale:hashes:hashes of the next scale``; a subset without
 is all ``-``. Likeness is the share of equal hashes among the subsets that are filled
 in either text, over the scales both have; it is 1 for equal fingerprints.
 
-Defined results: null counts as the empty text; texts without lexicon terms share one
-fingerprint; rows with an equal id follow a hash of their text, and rows equal in both
+Copies can hold so many rows, and a table so few, that a text has no lexicon terms.
+Texts with fewer than ``all_terms_below`` of them are printed over all their distinct
+terms and marked by a fourth part, a hash of all these terms (of the text, if it has no
+term). It is one more hash to compare, so that only texts of equal terms have likeness
+1. Where just one of two texts is marked, both are compared over all their terms.
+
+Defined results: null counts as the empty text; where ``all_terms_below`` is 0, its
+default, texts without lexicon terms share one fingerprint; rows with an equal id follow a hash of their text, and rows equal in both
 count as one document in the order of documents and are repeated in the result; a null
 id is the first; the next document of the last, also of the only one, is the first.
 """
@@ -38,6 +44,7 @@ DIGITS = 4
 MIN_IDF = log(1 / 0.05)
 MAX_IDF = log(1 / 0.0005)
 NO_ID = -(1 << 63)
+FEW_TERMS = 8  # the query's all_terms_below
 
 
 def term_hashes(text: Column) -> Column:
@@ -70,8 +77,8 @@ def lexicon_bitmap(texts: DataFrame, min_idf: float = MIN_IDF, max_idf: float =
     return bitmap
 
 
-def lexicon_terms(text: Column, bitmap: list[int]) -> Column:
-    """Sorted distinct hashes of the text's terms that the lexicon has."""
+def lexicon_terms(hashes: Column, bitmap: list[int]) -> Column:
+    """Those of an array of term hashes that the lexicon has, in their order."""
     # One literal that folds to an array; its size is fixed by SLOT_BITS.
     words = F.split(F.lit(",".join(map(str, bitmap))), ",").cast("array<bigint>")
 
@@ -80,11 +87,11 @@ def lexicon_terms(text: Column, bitmap: list[int]) -> Column:
         word = F.get(words, F.shiftright(slot, 6).cast("int"))
         return F.getbit(word, slot.bitwiseAND(F.lit(63)).cast("int")) == 1
 
-    return F.array_sort(F.filter(term_hashes(text), inside))
+    return F.filter(hashes, inside)
 
 
 def fingerprint(terms: str) -> Column:
-    """Fingerprint of a column of sorted lexicon terms."""
+    """Fingerprint of a column of sorted terms."""
     scale = f"CAST(floor(log2(greatest(size({terms}) / {SUBSETS}, 1))) AS INT)"
 
     def hashes(step: int) -> str:
@@ -105,6 +112,16 @@ def fingerprint(terms: str) -> Column:
     return F.expr(f"concat_ws(':', CAST({scale} AS STRING), {hashes(0)}, {hashes(1)})")
 
 
+def marked_fingerprint(terms: str, text: str) -> Column:
+    """Fingerprint of a column of all sorted terms of a text, with the part that marks it."""
+    whole = f"lower(hex(IF(size({terms}) = 0, xxhash64({text}), xxhash64({terms}))))"
+    return F.concat_ws(":", fingerprint(terms), F.expr(f"lpad({whole}, 16, '0')"))
+
+
+def is_marked(fingerprint: str) -> Column:
+    return F.expr(f"split_part({fingerprint}, ':', 4) <> ''")
+
+
 def likeness(a: str, b: str) -> Column:
     """Share of equal hashes of two fingerprint columns, 0 to 1; null if either is null."""
     empty = "-" * DIGITS
@@ -120,7 +137,9 @@ def likeness(a: str, b: str) -> Column:
     y = f"CASE WHEN {both} THEN concat({part(b, 2)}, {part(b, 3)}) WHEN {scale(a)} + 1 = {scale(b)} THEN {part(b, 2)} WHEN {scale(a)} = {scale(b)} + 1 THEN {part(b, 3)} ELSE '' END"
     share = (
         f"transform(array(named_struct('x', {x}, 'y', {y})), p ->"
-        f" aggregate(sequence(0, {2 * SUBSETS - 1}), named_struct('same', 0, 'filled', 0),"
+        f" aggregate(sequence(0, {2 * SUBSETS - 1}),"
+        # Fingerprints that are not equal differ in the hash of the mark.
+        f" named_struct('same', 0, 'filled', IF({part(a, 4)} = '', 0, 1)),"
         f" (s, k) -> transform(array(named_struct("
         f"'u', substring(p.x, k * {DIGITS} + 1, {DIGITS}), 'v', substring(p.y, k * {DIGITS} + 1, {DIGITS}))),"
         f" g -> named_struct('same', s.same + IF(g.u = g.v AND g.u NOT IN ('{empty}', ''), 1, 0),"
@@ -157,7 +176,19 @@ def next_documents(keys: DataFrame, folder: str) -> DataFrame:
     )
 
 
-def edited_fingerprints(docs: DataFrame, folder: str) -> DataFrame:
+def _likeness_of_kind(shown: DataFrame, name: str, b: str, whole_b: str) -> DataFrame:
+    """Adds the likeness of ``fingerprint`` and ``b``, over all terms where one alone is marked."""
+    mixed = is_marked("fingerprint") != is_marked(b)
+    sides = shown.withColumns(
+        {
+            "_a": F.when(mixed, F.col("_whole")).otherwise(F.col("fingerprint")),
+            "_b": F.when(mixed, F.col(whole_b)).otherwise(F.col(b)),
+        }
+    )
+    return sides.withColumn(name, likeness("_a", "_b"))
+
+
+def edited_fingerprints(docs: DataFrame, folder: str, all_terms_below: int = 0) -> DataFrame:
     """Fingerprints of all texts, of their edited texts, and the likenesses between them.
 
     The edited text has its last quarter replaced by the start of the next document.
@@ -193,22 +224,37 @@ def edited_fingerprints(docs: DataFrame, folder: str) -> DataFrame:
         "text",
         F.concat(F.expr("left(text, length(text) - CAST(length(text) div 4 AS INT))"), "_start").alias("_edited"),
     )
-    terms = both.select(
+    hashed = both.select(
         "k",
         "h",
         "n_chars",
+        "text",
+        "_edited",
+        F.sort_array(term_hashes(F.col("text"))).alias("_all"),
+        F.sort_array(term_hashes(F.col("_edited"))).alias("_edited_all"),
+    )
+    terms = hashed.select(
+        "*",
         F.sha2("_edited", 256).alias("edited_sha256"),
-        lexicon_terms(F.col("text"), bitmap).alias("_terms"),
-        lexicon_terms(F.col("_edited"), bitmap).alias("_edited_terms"),
+        lexicon_terms(F.col("_all"), bitmap).alias("_terms"),
+        lexicon_terms(F.col("_edited_all"), bitmap).alias("_edited_terms"),
     )
+    few, edited_few = (F.size(c) < all_terms_below for c in ("_terms", "_edited_terms"))
+    whole = marked_fingerprint("_all", "text")
+    edited_whole = marked_fingerprint("_edited_all", "_edited")
     printed = stored(
         terms.select(
             "k",
             "h",
             "n_chars",
             "edited_sha256",
-            fingerprint("_terms").alias("fingerprint"),
-            fingerprint("_edited_terms").alias("edited_fingerprint"),
+            F.when(few, whole).otherwise(fingerprint("_terms")).alias("fingerprint"),
+            F.when(edited_few, edited_whole)
+            .otherwise(fingerprint("_edited_terms"))
+            .alias("edited_fingerprint"),
+            # The next document before this one may be marked, so every row has it.
+            (whole if all_terms_below else F.lit(None).cast("string")).alias("_whole"),
+            F.when(few != edited_few, edited_whole).alias("_edited_whole"),
         ),
         folder,
         "fingerprints",
@@ -217,18 +263,22 @@ def edited_fingerprints(docs: DataFrame, folder: str) -> DataFrame:
         order.select("k", "h", "next_k", "next_h")
         .join(
             printed.groupBy(F.col("k").alias("next_k"), F.col("h").alias("next_h")).agg(
-                F.max("fingerprint").alias("_next")
+                F.max("fingerprint").alias("_next"), F.max("_whole").alias("_next_whole")
             ),
             ["next_k", "next_h"],
         )
-        .select("k", "h", "_next")
+        .select("k", "h", "_next", "_next_whole")
+    )
+    shown = _likeness_of_kind(
+        printed.join(following, ["k", "h"]), "near_edited", "edited_fingerprint", "_edited_whole"
     )
-    return printed.join(following, ["k", "h"]).select(
+    shown = _likeness_of_kind(shown, "near_next", "_next", "_next_whole")
+    return shown.select(
         F.expr(f"nullif(k, {NO_ID + 1}L - 1L)").alias("doc_id"),
         "n_chars",
         "edited_sha256",
         "fingerprint",
         "edited_fingerprint",
-        likeness("fingerprint", "edited_fingerprint").alias("near_edited"),
-        likeness("fingerprint", "_next").alias("near_next"),
+        "near_edited",
+        "near_next",
     )

@@ -93,7 +93,8 @@ def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprints.edited_fingerprints(read_table(spark, sf_dir, "documents"), work_folder(spark))
+    docs = read_table(spark, sf_dir, "documents")
+    return fingerprints.edited_fingerprints(docs, work_folder(spark), fingerprints.FEW_TERMS)
 
 
 @query
