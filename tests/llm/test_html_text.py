@@ -58,3 +58,30 @@ def test_null_pages(spark):
     df = spark.createDataFrame([(None, "a"), ("", "b"), ("<p>x</p>", "c"), ("<p>x</p>", "c")], "html string, text string")
     assert [r[0] for r in df.select(extract_text("html")).collect()] == ["", "", "x", "x"]
     assert df.limit(0).select(extract_text("html")).count() == 0
+
+
+BODY = f"<h1>Title</h1><p>{LONG}</p><p>{LONG * 2}</p><p>Short.</p>"
+TEXT = f"Title {LONG.strip()} {(LONG * 2).strip()} Short."
+
+
+@pytest.mark.parametrize("opening", ["<form id=aspnetForm>", "<div id='content-sidebar-wrap'>", "<div class='content has-sidebar'>",
+                                     "<section class='related-work'>", "<div class='social-science'>", "<fieldset>"])
+@pytest.mark.parametrize("body", [BODY, f"<article>{BODY}</article>", f"<main>{BODY}</main>", BODY.replace("h1", "h2")])
+def test_wrappers_of_the_whole_text_are_kept(opening, body):
+    tag = re.match(r"<(\w+)", opening).group(1)
+    side = f"<nav>Menu</nav><div class=sidebar>{LONG}</div>"
+    assert main_text(page(f"{opening}{side}{body}<label>Name</label><button>Send</button></{tag}><footer>x</footer>")) == TEXT
+    assert main_text(page("<form><p>Short.</p></form>")) == "Short."
+
+
+def test_wrappers_beside_the_text_stay_dropped():
+    beside = f"<div class=comments>{LONG * 9}</div><div class='related-posts'><article>{LONG}</article></div><form>Search</form>"
+    assert main_text(page(f"<article>{BODY}</article>{beside}")) == TEXT
+    assert main_text(page(f"<div>{BODY}</div><div class='cookie-notice'>{LONG * 9}</div><p>A <span class=ad>b</span> c</p>")) == f"{TEXT} A c"
+
+
+@pytest.mark.parametrize("card", ["Read on", LONG])
+def test_a_teaser_card_does_not_mark_the_page(card):
+    got = main_text(page(f"<div>{BODY}</div><article>{card}</article>"))
+    assert got.startswith(TEXT)
+    assert main_text(page(f"<article><p>Kurz.</p><p>Und kurz, etwas.</p></article><div>Imprint</div>")) == "Kurz. Und kurz, etwas."

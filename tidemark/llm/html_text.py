@@ -1,12 +1,18 @@
 """Main text of web pages by two passes of block rules.
 
 A page is cut into blocks at block-level tags. Blocks inside menus, headers,
-footers, sidebars, notices, adverts, forms, comments and the like, by element or
-by a word of their class, id or role, are dropped at once and take no part.
+footers, asides and the like are dropped at once and take no part. So are those of
+wrappers, which are forms and their parts and elements with a boilerplate word in
+their class, id or role, unless the wrapper is released: it holds most of the page's
+good text, or an article, main or h1 where no good text of that kind stands outside
+all wrappers. A wrapper with a name made of boilerplate words alone is only released
+where no good text and no article stands outside. A form with an article is always released, and
+any form where nothing stands outside. A wrapper inside another needs both released.
 
 Pass 1 looks at each remaining block on its own: a block whose text is mostly
 links is bad; a long one with many stop words is good; a page that marks its
-article (``article``, ``main``) has no good blocks outside it; everything else,
+article (``article``, ``main`` with at least half of the good text or of the text
+outside links) has no good blocks outside it; everything else,
 such as short blocks, is ambiguous. Pass 2 gives every ambiguous block the label
 of the nearest decided block, on a tie the good one; where nothing of its kind is
 decided it is kept, so that a page of one short paragraph keeps its text.
@@ -53,9 +59,10 @@ BLOCK = frozenset(
 )
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 DROPPED = frozenset(
-    "head nav footer aside form noscript template svg math object select button dialog menu canvas"
-    " audio video datalist fieldset option label".split()
+    "head nav footer aside noscript template svg math object select dialog menu canvas"
+    " audio video datalist option".split()
 )
+FORMS = frozenset(("form", "fieldset", "button", "label"))
 HEADER = frozenset(("header",))
 ENDS_ITSELF = {
     "li": frozenset(("li",)),
@@ -99,6 +106,19 @@ class _Open:
     dropped: bool
     main: bool
     header: bool
+    wrapper: int = -1
+
+
+@dataclass
+class _Wrapper:
+    """An element that is dropped unless its content speaks for it; ``outer`` is -1 at the top."""
+
+    outer: int
+    tag: str
+    sure: bool
+    article: bool = False
+    heading: bool = False
+    good: int = 0
 
 
 @dataclass
@@ -106,25 +126,31 @@ class _Block:
     text: str
     linked: int
     main: bool
+    wrapper: int = -1
 
 
 @dataclass
 class _Page:
-    """Blocks so far, and the block and elements that are open."""
+    """Blocks and wrappers so far, and the block (parts by wrapper) and elements that are open."""
 
     blocks: list[_Block] = field(default_factory=list)
+    wrappers: list[_Wrapper] = field(default_factory=list)
     open: list[_Open] = field(default_factory=list)
-    parts: list[str] = field(default_factory=list)
-    linked: int = 0
+    parts: dict[int, list[str]] = field(default_factory=dict)
+    linked: dict[int, int] = field(default_factory=dict)
     in_link: bool = False
     heading: bool = False
 
     def text(self, raw: str) -> None:
         if raw and not self._hidden():
             decoded = html.unescape(raw)
-            self.parts.append(decoded)
+            wrapper = self._wrapper()
+            self.parts.setdefault(wrapper, []).append(decoded)
             if self.in_link:
-                self.linked += len(decoded.strip())
+                self.linked[wrapper] = self.linked.get(wrapper, 0) + len(decoded.strip())
+
+    def _wrapper(self) -> int:
+        return self.open[-1].wrapper if self.open else -1
 
     def _hidden(self) -> bool:
         if not self.open:
@@ -133,10 +159,12 @@ class _Page:
         return inner.dropped or (inner.header and not (inner.main and self.heading))
 
     def finish(self) -> None:
-        text = " ".join("".join(self.parts).split())
-        if text:
-            self.blocks.append(_Block(text, self.linked, bool(self.open) and self.open[-1].main))
-        self.parts, self.linked = [], 0
+        main = bool(self.open) and self.open[-1].main
+        for wrapper, parts in self.parts.items():
+            text = " ".join("".join(parts).split())
+            if text:
+                self.blocks.append(_Block(text, self.linked.get(wrapper, 0), main, wrapper))
+        self.parts, self.linked = {}, {}
 
     def start(self, tag: str, rest: str) -> None:
         if tag in BLOCK:
@@ -145,18 +173,27 @@ class _Page:
             self._close_implied(tag)
             self.heading = tag in HEADINGS
         if tag == "br":
-            self.parts.append("\n")
+            self.parts.setdefault(self._wrapper(), []).append("\n")
         if tag == "a":
             self.in_link = True
         if tag in VOID:
             return
         attributes = _attributes(rest) if "=" in rest or "hidden" in rest else {}
-        dropped = tag in DROPPED or _marked(tag, attributes)
-        if tag in BLOCK or dropped:
+        dropped = tag in DROPPED or _unseen(tag, attributes)
+        words = [] if dropped else _marking_names(tag, attributes)
+        wraps = not dropped and (tag in FORMS or bool(words))
+        if tag in BLOCK or dropped or wraps:
             outer = self.open[-1] if self.open else _Open("", False, False, False)
             main = tag in ("article", "main") or attributes.get("role") == "main"
+            wrapper = outer.wrapper
+            if wraps and not outer.dropped:
+                self.wrappers.append(_Wrapper(wrapper, tag, any(words)))
+                wrapper = len(self.wrappers) - 1
+            elif wrapper >= 0 and not outer.dropped and not dropped:
+                self.wrappers[wrapper].article |= main
+                self.wrappers[wrapper].heading |= tag == "h1" and (outer.main or not outer.header)
             self.open.append(
-                _Open(tag, outer.dropped or dropped, outer.main or main, outer.header or tag in HEADER)
+                _Open(tag, outer.dropped or dropped, outer.main or main, outer.header or tag in HEADER, wrapper)
             )
 
     def end(self, tag: str) -> None:
@@ -188,20 +225,25 @@ def _attributes(rest: str) -> dict[str, str]:
     return {name.lower(): (a or b or c or "").lower() for name, a, b, c in ATTRIBUTE.findall(rest)}
 
 
-def _marked(tag: str, attributes: dict[str, str]) -> bool:
-    """Whether class, id, role or style take an element out of the article."""
+def _unseen(tag: str, attributes: dict[str, str]) -> bool:
     if tag in ("html", "body", "main"):
         return False
     if "hidden" in attributes or attributes.get("aria-hidden") == "true":
         return True
-    if "display:none" in attributes.get("style", "").replace(" ", ""):
-        return True
+    return "display:none" in attributes.get("style", "").replace(" ", "")
+
+
+def _marking_names(tag: str, attributes: dict[str, str]) -> list[bool]:
+    """For each name of class, id and role with a boilerplate word: whether it has no other."""
+    if tag in ("html", "body", "main"):
+        return []
     words = ARTICLE_BOILERPLATE if tag == "article" else BOILERPLATE
-    named = " ".join(attributes.get(name, "") for name in ("class", "id", "role"))
-    return any(word in words for word in re.split(r"[\s_-]+", named))
+    names = " ".join(attributes.get(name, "") for name in ("class", "id", "role")).split()
+    own = [[word in words for word in re.split(r"[_-]+", name.strip("_-"))] for name in names]
+    return [all(found) for found in own if any(found)]
 
 
-def _blocks(page: str) -> list[_Block]:
+def _parsed(page: str) -> _Page:
     state = _Page()
     at = 0
     while True:
@@ -222,7 +264,50 @@ def _blocks(page: str) -> list[_Block]:
         else:
             state.start(tag, found["rest"])
     state.finish()
-    return state.blocks
+    return state
+
+
+def _released(page: _Page, labels: list[bool | None]) -> list[_Block]:
+    """The blocks outside wrappers and in released ones."""
+    outside = outside_main = total = 0
+    own_article = any(block.main and block.wrapper < 0 for block in page.blocks)
+    for block, label in zip(page.blocks, labels):
+        if label:
+            total += len(block.text)
+            if block.wrapper >= 0:
+                page.wrappers[block.wrapper].good += len(block.text)
+            else:
+                outside += len(block.text)
+                outside_main += len(block.text) * block.main
+    for wrapper in reversed(page.wrappers):
+        if wrapper.outer >= 0:
+            outer = page.wrappers[wrapper.outer]
+            outer.good += wrapper.good
+            outer.article |= wrapper.article
+            outer.heading |= wrapper.heading
+    bare = all(block.wrapper >= 0 for block in page.blocks)
+    released: list[bool] = []
+    for wrapper in page.wrappers:
+        form = wrapper.tag in FORMS and not wrapper.sure
+        rival = (outside or own_article) if wrapper.sure else outside_main
+        most = 2 * wrapper.good > total and not (wrapper.sure and rival)
+        speaks = (wrapper.article or wrapper.heading) and not rival
+        own = most or speaks or (form and wrapper.article) or (bare and form and wrapper.tag == "form")
+        released.append(own and (wrapper.outer < 0 or released[wrapper.outer]))
+    return [b for b in page.blocks if b.wrapper < 0 or released[b.wrapper]]
+
+
+def _is_marked(blocks: list[_Block]) -> bool:
+    """Whether the article is where the page marks it: at least half of its good text, or of any, is there."""
+    if not any(b.main for b in blocks):
+        return False
+    unlinked = [len(b.text) - min(b.linked, len(b.text)) for b in blocks]
+    good = [len(b.text) if _decide(b, False) else 0 for b in blocks]
+    # Junk and texts of other languages have few stop words, so either weight is enough.
+    return any(
+        2 * sum(w for w, b in zip(weights, blocks) if b.main) >= sum(weights) > 0
+        for weights in (good, unlinked)
+    )
 
 
 def _decide(block: _Block, marked: bool) -> bool | None:
@@ -258,9 +343,12 @@ def _inherit(labels: list[bool | None], main: list[bool]) -> list[bool]:
 
 def main_text(page: str | None) -> str:
     """The article's blocks, in page order, joined by one space."""
-    blocks = _blocks(page or "")
-    marked = any(b.main for b in blocks)
-    kept = _inherit([_decide(b, marked) for b in blocks], [b.main for b in blocks])
+    parsed = _parsed(page or "")
+    blocks = parsed.blocks
+    if parsed.wrappers:
+        blocks = _released(parsed, [_decide(b, False) for b in blocks])
+    marked = _is_marked(blocks)
+    kept = _inherit([_decide(b, marked) for b in blocks], [marked and b.main for b in blocks])
     return " ".join(b.text for b, keep in zip(blocks, kept) if keep)
 
 
