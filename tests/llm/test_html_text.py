@@ -85,3 +85,11 @@ def test_a_teaser_card_does_not_mark_the_page(card):
     got = main_text(page(f"<div>{BODY}</div><article>{card}</article>"))
     assert got.startswith(TEXT)
     assert main_text(page(f"<article><p>Kurz.</p><p>Und kurz, etwas.</p></article><div>Imprint</div>")) == "Kurz. Und kurz, etwas."
+
+
+def test_stray_quotes_in_a_tag_open_no_value():
+    text = "<a href=x title=it's>link</a> whole article text here.</p><p>second par</p><p>it's third</p>"
+    assert main_text(text) == "link whole article text here. second par it's third"
+    assert main_text("<img alt=5\" src=x> whole article text.</p><p class=\"y\">more</p>") == "whole article text. more"
+    assert main_text("<p title = 'a>b' lang=\"c>d\">one</p><p a=x?q=\"y>two</p><p \">three</p><p a=\"four>five</p>") == "one two three five"
+    assert main_text("<p class=x'y id='sidebar'>side</p><p>text</p>") == "text"

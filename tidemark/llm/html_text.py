@@ -40,13 +40,14 @@ LONG = 70  # characters from which a block can be decided by its words
 MAX_LINKS = 0.5
 MIN_STOP_WORDS = 0.2
 
+# A quote opens a value only right after "=" and white space, as in a browser.
 TOKEN = re.compile(
     r"<!--(?:.*?-->|.*)"
     r"|<[!?][^>]*>?"
-    r"|<(?P<end>/?)(?P<tag>[A-Za-z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*+)>?",
+    r"|<(?P<end>/?)(?P<tag>[A-Za-z][^\s/>]*)(?P<rest>(?:[^>=]|=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>]*))*+)>?",
     re.DOTALL,
 )
-ATTRIBUTE = re.compile(r"([A-Za-z-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+ATTRIBUTE = re.compile(r"([A-Za-z-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 
 RAW = frozenset(("script", "style", "textarea", "title", "xmp", "noframes", "iframe", "noembed"))
 VOID = frozenset(
