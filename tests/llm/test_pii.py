@@ -62,3 +62,18 @@ def test_columns_nulls_repeats_and_empty_tables(spark):
     assert mask_pii(docs).columns == docs.columns
     assert [len(r[0]) for r in docs.select(pii_spans()).collect()] == [1, 1, 0, 0]
     assert mask_pii(spark.createDataFrame([], schema)).count() == 0
+
+
+@pytest.mark.parametrize("behind", [" BIC COBADEFF", " EUR 50", " 50", " 1200 EUR", " I paid", " ok", "", ".", " AT12", " DE89370400440532013000"])
+@pytest.mark.parametrize("iban", ["DE89 3704 0044 0532 0130 00", "DE89370400440532013000", "NO93 8601 1117 947", "GB82WEST12345698765432"])
+def test_ibans_before_words_and_amounts_are_found(iban, behind):
+    found = [(s["start"], s["end"]) for s in spans_in(f"to {iban}{behind}") if s["kind"] == "iban"]
+    assert found[0] == (3, 3 + len(iban)) and len(found) == 1 + behind.count("DE89")
+    assert masked(f"to {iban}{behind}").startswith(f"to <IBAN>{behind[:4]}" if "DE89" not in behind else "to <IBAN> <IBAN>")
+
+
+def test_refuted_ibans_hide_none_behind_them():
+    assert masked("ref IT12 DE89 3704 0044 0532 0130 00 ok") == "ref IT12 <IBAN> ok"
+    assert masked("DE89 3704 0044 0532 0130 00X") == "DE89 3704 0044 0532 0130 00X"
+    assert spans_in("DE88 3704 0044 0532 0130 00 BIC COBADEFF") == []
+    assert spans_in("AT12 " * 60_000) == []

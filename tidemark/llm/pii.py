@@ -4,7 +4,8 @@ Regular expressions propose spans, validators confirm them, and context words
 before a span adjust its score. A span stands if its score reaches ``KEEP``.
 
 * email, ip, card (Luhn) and phone are base kinds: every confirmed span stands.
-* iban stands if its length is a country's and mod-97 gives 1.
+* iban stands if as many characters as its country has, whatever follows after a
+  space, give 1 by mod-97.
 * card_short (13 to 15 digits) and national_id stand only near a context word.
 
 Every proposal is found in time linear in the text, also in very long runs of
@@ -36,7 +37,6 @@ EMAIL_DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
 NATIONAL_ID = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 
 # The registered length of an IBAN by country.
@@ -46,6 +46,12 @@ IBAN_LENGTH = {
     "IT": 27, "LI": 21, "LT": 20, "LU": 20, "LV": 21, "MC": 27, "MT": 31, "NL": 18, "NO": 15,
     "PL": 28, "PT": 25, "RO": 24, "SE": 24, "SI": 19, "SK": 24, "TR": 26,
 }
+# As many characters as the country has; a word or an amount may follow after a space.
+IBAN = re.compile(
+    r"(?<![A-Za-z0-9])(?:"
+    + "|".join(rf"{c}[0-9]{{2}}(?:\x20?[A-Z0-9]){{{n - 4}}}" for c, n in IBAN_LENGTH.items())
+    + r")(?![A-Za-z0-9])"
+)
 
 CONTEXT = {
     "email": ("mail", "contact", "correo", "courriel"),
@@ -106,6 +112,16 @@ def _matches(pattern: re.Pattern, text: str) -> Iterator[tuple[int, int, str]]:
         yield *found.span(), found.group()
 
 
+def _ibans(text: str) -> Iterator[tuple[int, int]]:
+    found = IBAN.search(text)
+    while found:
+        confirmed = mod_97(found.group().replace(" ", ""))
+        if confirmed:
+            yield found.span()
+        # Another may start inside a proposal that the checksum refutes.
+        found = IBAN.search(text, found.end() if confirmed else found.start() + 1)
+
+
 def _digits(proposal: str) -> str:
     return "".join(c for c in proposal if c in "0123456789")
 
@@ -124,10 +140,8 @@ def _proposals(text: str) -> Iterator[tuple[str, int, int]]:
     for start, end, found in _matches(PHONE, text):
         if 8 <= len(_digits(found)) <= 15:
             yield "phone", start, end
-    for start, end, found in _matches(IBAN, text):
-        compact = found.replace(" ", "")
-        if IBAN_LENGTH.get(compact[:2]) == len(compact) and mod_97(compact):
-            yield "iban", start, end
+    for start, end in _ibans(text):
+        yield "iban", start, end
     for start, end, digits in runs:
         if 13 <= len(digits) <= 15 and luhn(digits):
             yield "card_short", start, end
