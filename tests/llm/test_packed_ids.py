@@ -8,9 +8,10 @@ import pytest
 from tokenizers import Tokenizer
 
 from tidemark.llm import packed_ids as pk
-from tidemark.llm.common import work_folder
+from tidemark.llm.chunks import ChunkTable
+from tidemark.llm.common import tokenizer_file, work_folder
 
-PATH = "/opt/tokenizers/byte_bpe_50k.json"
+PATH = tokenizer_file("byte_bpe_50k.json")
 
 
 @pytest.mark.parametrize("bits", [1, 3, 7, 8, 11, 15, 16, 17, 31, 32])
@@ -46,7 +47,6 @@ def test_ids_outside_the_vocabulary_are_refused(tmp_path):
 def test_encoder_equals_the_library():
     random.seed(3)
     tokenizer = Tokenizer.from_file(PATH)
-    tokenizer.encode_special_tokens = True
     parts = ["a", "b'll", " ", "  ", "'s", "é", "\n", "\t", "12", ".", "!!", "日", "😀", "the", "\x00", "<|endoftext|>", "\x1c", "\x85", "　", "\xa0", "​", "\r", " "]
     texts = ["".join(random.choices(parts, k=random.randint(0, 40))) for _ in range(5000)] + ["", "x" * 20_000]
     ids, counts = pk.byte_bpe_encoder(PATH)()(texts)
@@ -62,6 +62,34 @@ def test_encoder_equals_the_library():
     assert [f.tolist() for f in np.split(ids, np.cumsum(counts)[:-1])] == [e for e, ok in zip(expected, by_spaces) if ok]
 
 
+def test_special_strings_are_encoded_as_the_library_does():
+    text = "a <|endoftext|> b"
+    ids, counts = pk.byte_bpe_encoder(PATH)()(["x y", text, "", text + "  z"])
+    assert counts.tolist()[1] == 4 and 50_256 in ids
+    tokenizer = Tokenizer.from_file(PATH)
+    expected = [i for t in ["x y", text, "", text + "  z"] for i in tokenizer.encode(t, add_special_tokens=False).ids]
+    assert ids.tolist() == expected
+
+
+def test_a_full_chunk_table_keeps_what_is_used_often():
+    calls = []
+
+    def lengths(chunks):
+        calls.extend(chunks)
+        return np.array([len(c) for c in chunks], dtype=np.int64), np.ones(len(chunks), dtype=np.int64)
+
+    table = ChunkTable(lengths, limit=50)
+    for turn in range(40):
+        texts = [["often"], [f"rare{turn}-{k}" for k in range(9)], ["also often", "often"], []]
+        ids, counts = table.ids(texts)
+        assert counts.tolist() == [1, 9, 2, 0] and ids.tolist() == [len(c) for t in texts for c in t]
+        assert len(table.known) <= 50 + 11
+    assert calls.count("often") == 1 and calls.count("also often") == 1
+    table.ids([["x" * 5000]])
+    table.ids([["often"]])
+    assert table.chars <= 50 * 16
+
+
 def documents(spark, rows):
     folder = f"{work_folder(spark)}/shards"
     docs = spark.createDataFrame(rows, "doc_id long, text string, start long, path string")
@@ -71,7 +99,6 @@ def documents(spark, rows):
 
 def test_documents_read_back_in_order(spark):
     tokenizer = Tokenizer.from_file(PATH)
-    tokenizer.encode_special_tokens = True
     rows = [(i * 7 % 101, "some words " * (i % 9), 1, "p") for i in range(100)] + [(500, "long " * 40_000, 1, "p"), (None, None, None, None), (600, "", 0, ""), (3, "some words ", 1, "p")]
     got, at = documents(spark, rows), 0
     assert [r[0] for r in got] == [None] + sorted(r[0] for r in rows if r[0] is not None)

@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 import numpy as np
@@ -6,9 +7,9 @@ import sentencepiece
 from pyspark.sql import functions as F
 
 from tidemark.llm import pieces
-from tidemark.llm.common import text_of
+from tidemark.llm.common import text_of, tokenizer_file
 
-PATH = "/opt/tokenizers/piece_bpe_32k.model"
+PATH = tokenizer_file("piece_bpe_32k.model")
 
 
 @pytest.fixture(scope="module")
@@ -72,3 +73,14 @@ def test_checked_encoding_equals_the_library(spark, library):
     assert not got[3].round_trip and got[4].round_trip
     empty = rows.where("n < 0").select(pieces.encode_checked(F.col("text"), PATH).alias("e"))
     assert empty.count() == 0
+
+
+def test_digests_equal_the_library(spark, library):
+    texts = [None, "", "one  two", "one  two", "x" * 50_000, "日本 \n😀", "<s>"]
+    df = spark.createDataFrame([(t, 1) for t in texts], "text string, n_tokens int")
+    found = df.select("n_tokens", pieces.encode_digests(text_of("text"), PATH).alias("e")).select("e.*").collect()
+    for text, row in zip(texts, found):
+        ids = library.encode(text or "")
+        joined = ",".join(map(str, ids)).encode()
+        decoded = library.decode(ids).encode()
+        assert tuple(row) == (len(ids), hashlib.sha256(joined).hexdigest(), hashlib.sha256(decoded).hexdigest())

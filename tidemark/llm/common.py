@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import os
+
+import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.plans.work import stored, work_folder
 
-__all__ = ["WORD", "packed", "read_table", "stored", "text_of", "work_folder"]
+__all__ = ["WORD", "packed", "read_table", "stored", "text_of", "tokenizer_file", "work_folder"]
 
 # A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -25,3 +28,9 @@ def text_of(column: str) -> Column:
 def packed(df: DataFrame) -> Column:
     """The whole input row as one struct, so that no column of it can clash."""
     return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row")
+
+
+def tokenizer_file(name: str) -> str:
+    """Place of a tokenizer's file, in TOKENIZER_FOLDER where that is set, else in the installed package."""
+    folder = os.environ.get("TOKENIZER_FOLDER")
+    return f"{folder}/{name}" if folder else public_tokenizers.path(name)

@@ -28,6 +28,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -38,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.chunks import ChunkTable, gather, text_slices
+from tidemark.llm.chunks import ChunkTable, SpacedChunks, in_order, text_slices
 from tidemark.llm.common import stored, text_of
 
 BLOCK = 1 << 15
@@ -47,6 +48,8 @@ MAGIC = b"PACKIDS1"
 NO_ID = -(1 << 63)
 READ_IDS = 1 << 20
 ROW_CHUNKS = 256
+FEW_CHUNKS = 100_000  # leading chunks and those of uneven texts
+SLICE_CHARS = 1 << 23
 
 Encode = Callable[[list[str]], tuple[np.ndarray, np.ndarray]]
 
@@ -179,7 +182,7 @@ def write_shards(
             writer = ShardWriter(sink, vocabulary)
             for batch in batches:
                 doc_ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-                for start, stop in text_slices(texts):
+                for start, stop in text_slices(texts, SLICE_CHARS):
                     ids, counts = encode_texts(texts[start:stop])
                     writer.add(doc_ids[start:stop], *_with_end(ids, counts, end_id))
             writer.close()
@@ -241,65 +244,71 @@ def _documents(shard: ShardReader, base: int) -> Iterator[pa.RecordBatch]:
 
 
 def byte_bpe_encoder(path: str) -> Callable[[], Encode]:
-    """Encoder by the tokenizers library for byte-level BPE files, special strings being plain text.
+    """Encoder by the tokenizers library for byte-level BPE files, as the library encodes the whole text.
 
     The library cuts a text at white space before any merge: a cut before each
-    ``" ?\\S+"`` never falls inside one of its words. Each distinct chunk of a task
+    ``" ?\\S+"`` never falls inside one of its words. Each distinct chunk of a worker
     is therefore encoded once, many of them in one row. Of a text in which no space stands
-    before white space or the end, each space begins a chunk. Texts with the separators U+001C to U+001F,
+    before white space or the end, each space begins a chunk. Texts that hold a special
+    token's string are encoded whole. Texts with the separators U+001C to U+001F,
     which Python alone counts as white space, are encoded as one chunk.
     """
-
-    def make() -> Encode:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
-        find = re.compile(r" ?\S+|\s+(?!\S)|\s+").findall
-        odd = re.compile("[\x1c-\x1f]").search
-        loose = re.compile(r" (?!\S)").search
-
-        # Each character of a byte-level token stands for one byte.
-        token_bytes = np.zeros(tokenizer.get_vocab_size(), dtype=np.int64)
-        for token, token_id in tokenizer.get_vocab().items():
-            token_bytes[token_id] = len(token)
-
-        def encode_all(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-            found = [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-            counts = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
-            return np.fromiter(chain.from_iterable(found), dtype=np.int64, count=int(counts.sum())), counts
-
-        def encode_chunks(chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-            """Words with their space are encoded in rows, and cut again by their bytes."""
-            some_odd = odd("".join(chunks)) is not None
-            spaced = [
-                c[:1] == " " and len(c) > 1 and not c[1].isspace() and not (some_odd and odd(c)) for c in chunks
+    return lambda: _encoder(path)
+
+
+@lru_cache(maxsize=2)
+def _encoder(path: str) -> Encode:
+    """One encoder per worker and file; what it knows stays from task to task, within its bound."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    specials = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+    find = re.compile(r" ?\S+|\s+(?!\S)|\s+").findall
+    odd = re.compile("[\x1c-\x1f]").search
+    loose = re.compile(r" (?!\S)").search
+
+    # Each character of a byte-level token stands for one byte.
+    token_bytes = np.zeros(tokenizer.get_vocab_size(), dtype=np.int64)
+    for token, token_id in tokenizer.get_vocab().items():
+        token_bytes[token_id] = len(token)
+
+    def encode_all(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        counts = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
+        return np.fromiter(chain.from_iterable(found), dtype=np.int64, count=int(counts.sum())), counts
+
+    def encode_words(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Words with a space before each are encoded in rows, and cut again by their bytes."""
+        at = np.append(np.arange(0, len(words), ROW_CHUNKS), len(words))
+        rows = pc.binary_join(pa.ListArray.from_arrays(at.astype(np.int32), words), pa.scalar(" ", words.type))
+        ids, _ = encode_all([" " + row for row in rows.to_pylist()])
+        ends = np.cumsum(pc.binary_length(words).to_numpy() + 1)
+        stops = np.searchsorted(np.cumsum(token_bytes[ids]), ends) + 1
+        return ids, np.diff(np.concatenate([[0], stops]))
+
+    chunks, words = ChunkTable(encode_all, FEW_CHUNKS), SpacedChunks(encode_words)
+
+    def by_chunks(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        return chunks.ids([[t] if t and odd(t) else find(t) for t in texts])
+
+    def by_spaces(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        return words.ids(texts, chunks)
+
+    def encode(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ways: dict[Encode, list[int]] = {encode_all: [], by_chunks: [], by_spaces: []}
+        for k, t in enumerate(texts):
+            if any(s in t for s in specials):
+                ways[encode_all].append(k)
+            else:
+                ways[by_chunks if odd(t) or loose(t) else by_spaces].append(k)
+        return in_order(
+            [
+                (np.array(places, dtype=np.int64), *way([texts[k] for k in places]))
+                for way, places in ways.items()
+                if places
             ]
-            rows = [c for c, s in zip(chunks, spaced) if s]
-            others = [c for c, s in zip(chunks, spaced) if not s]
-            joined = ["".join(rows[at : at + ROW_CHUNKS]) for at in range(0, len(rows), ROW_CHUNKS)]
-            row_ids, _ = encode_all(joined)
-            row_bytes = pc.binary_length(pa.array(rows, pa.large_string()))
-            ends = np.cumsum(row_bytes.to_numpy(zero_copy_only=False))
-            stops = np.searchsorted(np.cumsum(token_bytes[row_ids]), ends) + 1
-            other_ids, other_counts = encode_all(others)
-            counts = np.empty(len(chunks), dtype=np.int64)
-            starts = np.empty(len(chunks), dtype=np.int64)
-            mask = np.array(spaced, dtype=bool)
-            counts[mask] = np.diff(np.concatenate([[0], stops]))
-            starts[mask] = stops - counts[mask]
-            counts[~mask] = other_counts
-            starts[~mask] = len(row_ids) + np.cumsum(other_counts) - other_counts
-            return np.concatenate([row_ids, other_ids])[gather(starts, counts)], counts
-
-        table = ChunkTable(encode_chunks)
-
-        def encode(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-            if not any(odd(t) or loose(t) for t in texts):
-                return table.ids_by_spaces(texts)
-            return table.ids([[t] if t and odd(t) else find(t) for t in texts])
-
-        return encode
-
-    return make
+            or [(np.zeros(0, dtype=np.int64),) * 3]
+        )
+
+    return encode

@@ -20,6 +20,7 @@ rows that repeat are encoded alike. Decoding accepts any ids of the model.
 from __future__ import annotations
 
 import codecs
+import hashlib
 import heapq
 import re
 from dataclasses import dataclass
@@ -392,6 +393,45 @@ def encode_checked(text: Column, path: str) -> Column:
     return encode(text)
 
 
+def encode_digests(text: Column, path: str) -> Column:
+    """Struct of the number of ids, the SHA-256 of the ids as text and that of their decoded text.
+
+    Both digests are lower-case hex; ids are decimal and joined by commas. A text goes to Python
+    once and is encoded once, and only the digests come back.
+    """
+
+    @F.arrow_udf("n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    def digest(texts: pa.Array) -> pa.Array:
+        model, shown_ids = load_pieces(path), _decimals(path)
+        columns: tuple[list, list, list] = ([], [], [])
+        sizes = pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False)
+        for start, stop in size_slices(sizes, SLICE_IDS):
+            ids, counts = encode_batch(path, texts.slice(start, stop - start).to_pylist())
+            columns[0].extend(counts.tolist())
+            columns[1].extend(_joined_sha256(shown_ids, ids, counts))
+            columns[2].extend(hashlib.sha256(t.encode()).hexdigest() for t in decode_batch(model, ids, counts))
+        kinds = (pa.int64(), pa.string(), pa.string())
+        names = ["n_tokens", "ids_sha256", "decoded_sha256"]
+        return pa.StructArray.from_arrays([pa.array(c, type=k) for c, k in zip(columns, kinds)], names)
+
+    return digest(text)
+
+
+@lru_cache(maxsize=4)
+def _decimals(path: str) -> tuple[np.ndarray, np.ndarray]:
+    """The decimal form of every id with a comma behind it: bytes of all, and where each starts."""
+    shown = [b"%d," % k for k in range(len(load_pieces(path).surface_starts) - 1)]
+    return np.frombuffer(b"".join(shown), dtype=np.uint8), np.concatenate([[0], np.cumsum([len(b) for b in shown])])
+
+
+def _joined_sha256(shown: tuple[np.ndarray, np.ndarray], ids: np.ndarray, counts: np.ndarray) -> list[str]:
+    letters, starts = shown
+    lengths = np.diff(starts)[ids]
+    data = letters[gather(starts[ids], lengths)].tobytes()
+    ends = np.concatenate([[0], np.cumsum(lengths)])[np.concatenate([[0], np.cumsum(counts)])].tolist()
+    return [hashlib.sha256(data[a : max(a, b - 1)]).hexdigest() for a, b in zip(ends, ends[1:])]
+
+
 def decode_ids(ids: Column, path: str) -> Column:
     """Text of a column of id arrays; null counts as no ids."""
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,9 +19,7 @@ from tidemark.llm import (
     quality,
     url_filter,
 )
-from tidemark.llm.common import read_table, text_of, work_folder
-
-TOKENIZERS = os.environ.get("TOKENIZER_FOLDER", "/opt/tokenizers")
+from tidemark.llm.common import read_table, text_of, tokenizer_file, work_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -99,16 +96,8 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op4_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = f"{TOKENIZERS}/piece_bpe_32k.model"
-    docs = read_table(spark, sf_dir, "documents")
-    encoded = docs.select("doc_id", pieces.encode_ids(text_of("text"), model).alias("_ids"))
-    decoded = encoded.withColumn("_decoded", pieces.decode_ids(F.col("_ids"), model))
-    return decoded.select(
-        "doc_id",
-        F.size("_ids").cast("long").alias("n_tokens"),
-        F.sha2(F.concat_ws(",", F.col("_ids").cast("array<string>")), 256).alias("ids_sha256"),
-        F.sha2("_decoded", 256).alias("decoded_sha256"),
-    )
+    digests = pieces.encode_digests(text_of("text"), tokenizer_file("piece_bpe_32k.model"))
+    return read_table(spark, sf_dir, "documents").select("doc_id", digests.alias("_found")).select("doc_id", "_found.*")
 
 
 @query
@@ -171,7 +160,7 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE
 
 @query
 def op7_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    encode = packed_ids.byte_bpe_encoder(f"{TOKENIZERS}/byte_bpe_50k.json")
+    encode = packed_ids.byte_bpe_encoder(tokenizer_file("byte_bpe_50k.json"))
     folder = f"{work_folder(spark)}/shards"
     docs = read_table(spark, sf_dir, "documents")
     shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
