@@ -18,6 +18,7 @@ from tidemark.llm import (
     pii,
     quality,
     url_filter,
+    whitening,
 )
 from tidemark.llm.common import read_table, text_of, tokenizer_file, work_folder
 
@@ -284,3 +285,9 @@ SELECT page_id, url, fetched, host, coalesce(top.action, 'keep') AS verdict, top
   top.since AS listed_since, CAST(coalesce(met, 0) AS BIGINT) AS n_active
 FROM numbered LEFT JOIN best USING (n)
 """
+
+
+@query
+def op12_whitened_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = whitening.whole_vectors(read_table(spark, sf_dir, "embeddings"))
+    return whitening.whiten(vectors, work_folder(spark))
