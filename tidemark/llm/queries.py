@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.llm import (
     fingerprints,
     html_text,
+    lexical_search,
     metric_tree,
     mixing,
     near_dedup,
@@ -291,3 +292,41 @@ FROM numbered LEFT JOIN best USING (n)
 def op12_whitened_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = whitening.whole_vectors(read_table(spark, sf_dir, "embeddings"))
     return whitening.whiten(vectors, work_folder(spark))
+
+
+@query
+def op13_ranked_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = lexical_search.build_index(read_table(spark, sf_dir, "documents"), work_folder(spark))
+    return lexical_search.search(index, read_table(spark, sf_dir, "benchmark"))
+
+
+ORACLE_SQL["op13_ranked_documents"] = r"""
+WITH words AS (
+  SELECT row_number() OVER () AS d, doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+held AS (SELECT * FROM words WHERE len(w) > 0),
+totals AS (SELECT count(*) AS n_docs, CAST(sum(len(w)) AS BIGINT) AS n_terms FROM held),
+asked AS (
+  SELECT item_id, term, count(*) AS times
+  FROM (SELECT item_id, unnest(regexp_extract_all(
+      translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+    FROM benchmark) GROUP BY ALL),
+counted AS (
+  SELECT d, term, count(*) AS tf FROM (SELECT d, unnest(w) AS term FROM held)
+  WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
+weights AS (
+  SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE)) AS BIGINT) AS weight
+  FROM (SELECT term, count(*) AS df FROM counted GROUP BY term), totals),
+lengths AS (SELECT d, doc_id, 25 + ((75 * len(w) * n_docs) // n_terms) AS m FROM held, totals),
+scored AS (
+  SELECT item_id, d, doc_id,
+    CAST(sum(times * weight * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score
+  FROM asked JOIN counted USING (term) JOIN weights USING (term) JOIN lengths USING (d)
+  GROUP BY ALL),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
