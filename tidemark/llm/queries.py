@@ -19,6 +19,7 @@ from tidemark.llm import (
     pii,
     quality,
     url_filter,
+    warc,
     whitening,
 )
 from tidemark.llm.common import read_table, text_of, tokenizer_file, work_folder
@@ -288,6 +289,28 @@ FROM numbered LEFT JOIN best USING (n)
 """
 
 
+@query
+def op11_warc_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{work_folder(spark)}/packages"
+    manifest = warc.write_packages(read_table(spark, sf_dir, "pages"), folder)
+    records = warc.read_packages(manifest, folder, payload=False)
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+ORACLE_SQL["op11_warc_records"] = """
+WITH hashed AS (
+  SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS h FROM pages),
+lasts AS (SELECT payload, max(page_id) AS last FROM hashed GROUP BY payload)
+SELECT page_id, CAST(strlen(payload) AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 +
+    ((CAST('0x' || substr(h, CAST(1 + 5 * (i // 4) AS INTEGER), 5) AS BIGINT) >> CAST(15 - 5 * (i % 4) AS INTEGER)) & 31)
+    AS INTEGER), 1)), '') AS payload_digest,
+  CASE WHEN page_id IS NOT DISTINCT FROM last THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id IS NOT DISTINCT FROM last THEN NULL ELSE last END AS refers_to
+FROM hashed JOIN lasts USING (payload)
+"""
+
+
 @query
 def op12_whitened_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = whitening.whole_vectors(read_table(spark, sf_dir, "embeddings"))
