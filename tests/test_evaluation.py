@@ -214,3 +214,22 @@ def test_metrics_document_has_every_section(spark):
     assert doc["discrimination"]["roc_curve"]["fpr"][0] == 0.0
     assert not any(math.isnan(r.value) for r in ev.metrics_tidy(frames).collect())
     df.unpersist()
+
+
+@pytest.mark.parametrize("bad", [None, float("nan")])
+def test_ranking_refuses_scores_without_a_place(spark, bad):
+    df = spark.createDataFrame([("a", 1, 0.5, 0.5), ("b", 0, bad, 0.5)], "customer_unique_id string, churn int, operational_score double, calibrated_prob double")
+    with pytest.raises(Exception, match="null or NaN"):
+        rank.ranking_summary(df).collect()
+
+
+def test_all_curves_come_from_one_pass_over_the_scores(spark, monkeypatch):
+    calls = []
+    grouped = rank.score_groups
+    monkeypatch.setattr(rank, "score_groups", lambda *a: calls.append(1) or grouped(*a))
+    df = spark.createDataFrame([(str(k), k % 3 % 2, k / 50, 1 - k / 60) for k in range(50)], "customer_unique_id string, churn int, operational_score double, calibrated_prob double")
+    ranked = rank.ranked_scores(df)
+    assert {r.view: r.n for r in ranked.groupBy("view").agg(F.count("*").alias("n")).collect()} == dict.fromkeys(rank.VIEWS, 50)
+    points = ev.curve_samples(ranked)
+    assert set(r.curve for r in points.collect()) == set(ev.CURVES) and len(calls) == 1
+    assert "Window" not in points._jdf.queryExecution().executedPlan().toString()

@@ -1,6 +1,7 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.prefix import (
@@ -18,6 +19,8 @@ CASES = {
     "out_of_range": RNG.normal(0, 3, 500),
     "neighbours": np.nextafter(0.5, 1.0) + np.arange(200) * 1e-16,
     "edges": np.array([0.0, 1.0, 0.5]),
+    "infinite": np.array([np.inf, -np.inf, 0.0, 1e308, -1e308, 3.0, 3.0]),
+    "one_value": np.array([2.5, 2.5]),
 }
 
 
@@ -42,6 +45,33 @@ def test_orders_side_by_side(spark):
     assert got == {("a", 0.1): (0, 3), ("a", 0.7): (1, 3), ("b", 0.05): (0, 12), ("b", 0.1): (7, 12)}
 
 
+WIDE = {
+    "narrow": 0.5 + np.unique(RNG.integers(-900_000, 900_000, 100_000)) * 1.2e-16,
+    "thousands": np.unique(RNG.random(100_000) * 1000),
+    "two_far_heaps": np.concatenate([RNG.random(50_000) * 1e-6, 1e9 + RNG.random(50_000)]),
+}
+
+
+@pytest.mark.parametrize("name", WIDE)
+def test_any_range_fills_all_partitions(spark, conf, name):
+    conf({"spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.enabled": "false"})
+    values = np.unique(WIDE[name])
+    groups = spark.createDataFrame(pd.DataFrame({"v": values, "n": 1}))
+    placed = in_cells(groups, "v")
+    sizes = placed.groupBy(F.spark_partition_id()).count().toPandas()["count"]
+    assert len(sizes) == 16 and sizes.max() < 2 * len(values) / 16
+    assert placed.groupBy("_cell").count().agg(F.max("count")).first()[0] < len(values) / 50
+    wrong = ordered_prefix(groups, "v", ["n"]).select(F.row_number().over(Window.orderBy("v")).alias("k"), "n_before")
+    assert wrong.where("k <> n_before + 1").count() == 0
+
+
+def test_every_order_has_its_own_cells(spark):
+    rows = [("low", float(v) * 1e-9) for v in range(2000)] + [("high", float(v) * 1e6) for v in range(2000)] + [(None, 1.0)]
+    placed = in_cells(spark.createDataFrame(rows, "k string, v double"), "v", ["k"])
+    cells = {r.k: r.n for r in placed.groupBy("k").agg(F.count_distinct("_cell").alias("n")).collect()}
+    assert cells["low"] > 1000 and cells["high"] > 1000 and cells[None] == 1
+
+
 @pytest.mark.parametrize("values", [[3.0], [1.0, 2.0], [5.0, 1.0, 1.0], [2.0, None, 4.0, 4.0, 1.0]])
 def test_exact_median(spark, values):
     df = spark.createDataFrame([(v,) for v in values], "v double")

@@ -1,27 +1,56 @@
 """Running totals over a global order without a global window.
 
 A window that orders a whole table and has no partition key moves every row to
-one task. Here a value's place in the order is split in three digits instead:
-a coarse cell, a fine cell within it, and the exact value within the fine cell.
-Totals are prefix-summed per digit, so no step sorts more than one cell:
+one task. Here a value's place in the order is split in two: its cell, and its place
+within the cell. Totals are prefix-summed per level, so no step sorts more than that:
 
-* coarse cells: at most ``CELLS`` rows, the only input to an unpartitioned window;
-* fine cells:   at most ``CELLS`` rows per coarse cell, windowed by coarse cell;
-* values:       windowed by fine cell, spread over all tasks.
+* cells:  at most ``CELLS`` rows per order, the only input to a window without a key;
+* values: windowed by cell, spread over all tasks.
 
-The cell of a value is a pure function of that value. Recomputing a lost
-partition therefore always reproduces the same cells.
+Cells are nearly equi-depth: ``COARSE`` quantiles of the values, from Spark's
+mergeable quantile sketch, each cut into ``FINE`` even cells. Values may lie in any
+range, however narrow, and spread alike. The bounds enter the plan as literals, so the
+cell of a value is a pure function of that value: recomputing a lost partition always
+reproduces the same cells.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window, WindowSpec
+from pyspark.ml.feature import Bucketizer
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-CELLS = 4096
-CELL_COLUMNS = ("_coarse", "_fine")
+COARSE = 256
+FINE = 256
+CELLS = (COARSE + 2) * FINE
+ACCURACY = 4 * COARSE  # of the quantiles: a coarse cell holds at most about half as many values again as the average
+MAX_ORDERS = 100  # orders side by side, each with its own bounds in the plan
+CELL = "_cell"
+
+# Bounds of the coarse cells by the key of each order; () where there is one order.
+Splits = Mapping[tuple, Sequence[float]]
+
+
+def equi_depth_splits(groups: DataFrame, value: str, by: Sequence[str] = ()) -> Splits:
+    """Quantiles of the values of each order: one job, one small row per order.
+
+    Infinite values and NaN have no place between bounds; they fall in the end cells.
+    """
+    shares = [k / COARSE for k in range(COARSE + 1)]
+    finite = F.when(F.abs(F.col(value)) < float("inf"), F.col(value).cast("double"))
+    sketch = F.percentile_approx(finite, shares, ACCURACY).alias("_bounds")
+    rows = groups.groupBy(*by).agg(sketch).limit(MAX_ORDERS + 1).collect()
+    if len(rows) > MAX_ORDERS:
+        raise ValueError(f"over {MAX_ORDERS} orders side by side in {list(by)}")
+    return {tuple(r[c] for c in by): sorted(set(r["_bounds"] or ())) for r in rows}
+
+
+def even_splits(low: float, high: float) -> Splits:
+    """One coarse cell of even fine cells, for one order whose range is known and has few distinct values."""
+    return {(): [low, high]}
 
 
 def ordered_prefix(
@@ -29,39 +58,66 @@ def ordered_prefix(
     value: str,
     measures: Sequence[str],
     by: Sequence[str] = (),
-    low: float = 0.0,
-    high: float = 1.0,
+    splits: Splits | None = None,
 ) -> DataFrame:
     """Add, per measure ``m``, its total over smaller values and over all values.
 
     ``groups`` holds one row per distinct, non-null ``value`` (aggregate first:
     that folds any heavily repeated value into a single row). Adds ``m_before``
     and ``m_total``. ``by`` runs separate orders side by side; it must have few
-    distinct values.
+    distinct values. Without ``splits`` the groups are read once more to find them:
+    pass stored groups, or splits, where that is dear.
     """
-    placed = in_cells(groups, value, by, low, high)
-    return prefix_totals(placed, value, measures, by).drop(*CELL_COLUMNS)
+    placed = in_cells(groups, value, by, splits)
+    return prefix_totals(placed, value, measures, by).drop(CELL)
 
 
 def in_cells(
     groups: DataFrame,
     value: str,
     by: Sequence[str] = (),
-    low: float = 0.0,
-    high: float = 1.0,
+    splits: Splits | None = None,
 ) -> DataFrame:
-    """Place every value in its cells and bring each fine cell together.
+    """Place every value in its cell and bring each cell together.
 
-    ``low`` and ``high`` only spread the cells; values outside fall in the end
-    cells and stay exact.
+    ``splits`` (default: equi-depth ones) only spread the cells; any splits give exact results.
     """
-    cells = CELLS * CELLS
-    share = f"({value} - {low!r}D) / {high - low!r}D"
+    splits = equi_depth_splits(groups, value, by) if splits is None else splits
+    placed = groups.withColumn(CELL, F.lit(0))
+    for key, bounds in splits.items():
+        own = None
+        for c, k in zip(by, key):
+            own = F.col(c).eqNullSafe(k) if own is None else own & F.col(c).eqNullSafe(k)
+        placed = _with_cell(placed, value, bounds, own)
     # coalesce marks the cells as never null: joins on them then add no filter of
     # their own, and every branch over the same groups can reuse one exchange.
-    fine = f"coalesce(int(greatest(least(floor({share} * {cells}), {cells - 1}), 0)), 0)"
-    placed = groups.withColumn("_fine", F.expr(fine)).repartition(*by, "_fine")
-    return placed.withColumn("_coarse", F.expr(f"shiftright(_fine, {CELLS.bit_length() - 1})"))
+    return placed.withColumn(CELL, F.coalesce(CELL, F.lit(0))).repartition(*by, CELL)
+
+
+def _with_cell(df: DataFrame, value: str, bounds: Sequence[float], own: Column | None) -> DataFrame:
+    """Set the cell of the rows that ``own`` holds for (all if None)."""
+    if not bounds:
+        return df
+    number = F.col(value).cast("double")
+    edges = [-math.inf, *bounds, math.inf]
+    # Per coarse cell its lower edge and how many cells a unit of value crosses; the end ones are one cell each.
+    scales = [FINE / (b - a) if 0 < b - a < math.inf else 0.0 for a, b in zip(edges, edges[1:])]
+    scales = [s if s < math.inf else 0.0 for s in scales]
+    lows = [b if math.isfinite(b) else 0.0 for b in edges[:-1]]
+    bucketizer = Bucketizer(splits=edges, inputCol="_number", outputCol="_bucket", handleInvalid="keep")
+    found = bucketizer.transform(df.withColumn("_number", number))
+    # NaN has the bucket behind the last one.
+    bucket = F.least(F.col("_bucket").cast("int"), F.lit(len(scales) - 1))
+
+    def of_bucket(values: list[float]) -> Column:
+        # A text that folds into one literal; hundreds of literals would slow every planning step.
+        text = ",".join(map(repr, values))
+        return F.element_at(F.expr(f"CAST(split('{text}', ',') AS ARRAY<DOUBLE>)"), bucket + 1)
+
+    within = F.floor((F.col("_number") - of_bucket(lows)) * of_bucket(scales))
+    cell = bucket * FINE + F.greatest(F.least(within, F.lit(FINE - 1)), F.lit(0)).cast("int")
+    chosen = cell if own is None else F.when(own, cell).otherwise(F.col(CELL))
+    return found.withColumn(CELL, chosen).drop("_number", "_bucket")
 
 
 def prefix_totals(
@@ -69,14 +125,13 @@ def prefix_totals(
 ) -> DataFrame:
     """``ordered_prefix`` over rows that ``in_cells`` has placed."""
     offsets = _cell_offsets(placed, measures, by)
-    ahead = _ahead(Window.partitionBy(*by, "_fine").orderBy(value))
-    local = placed.select(
-        "*", *[_sum(m, ahead).alias(f"_local_{m}") for m in measures]
-    )
-    kept = [c for c in placed.columns if c not in by and c != "_fine"]
-    return local.join(offsets, [*by, "_fine"]).select(
+    ahead = _ahead(Window.partitionBy(*by, CELL).orderBy(value))
+    local = placed.select("*", *[_sum(m, ahead).alias(f"_local_{m}") for m in measures])
+    kept = [c for c in placed.columns if c not in by and c != CELL]
+    # At most CELLS rows per order are broadcast, whatever the size of the input.
+    return local.join(F.broadcast(offsets), [*by, CELL]).select(
         *by,
-        "_fine",
+        CELL,
         *kept,
         *[F.expr(f"_local_{m} + _offset_{m} AS {m}_before") for m in measures],
         *[F.col(f"_total_{m}").alias(f"{m}_total") for m in measures],
@@ -88,47 +143,32 @@ def previous_fields(
 ) -> DataFrame:
     """Add ``previous_<f>``: the fields of the next smaller value, null for the smallest.
 
-    The first value of a fine cell looks at the last value of the occupied fine
-    cell before it; the first fine cell of a coarse cell looks one coarse cell back.
+    The first value of a cell looks at the last value of the occupied cell before it.
     """
     record = F.struct(*fields)
-    tails = placed.groupBy(*by, "_coarse", "_fine").agg(F.max_by(record, F.col(value)).alias("_tail"))
-    fine = tails.withColumn(
-        "_near", F.lag("_tail").over(Window.partitionBy(*by, "_coarse").orderBy("_fine"))
-    )
-    coarse = (
-        tails.groupBy(*by, "_coarse")
-        .agg(F.max_by("_tail", "_fine").alias("_last"))
-        .select(
-            *by,
-            "_coarse",
-            F.lag("_last").over(Window.partitionBy(*by).orderBy("_coarse")).alias("_far"),
-        )
-    )
-    # At most CELLS rows per order are broadcast.
-    back = fine.join(F.broadcast(coarse), [*by, "_coarse"]).select(
-        *by, "_fine", F.coalesce("_near", "_far").alias("_back")
-    )
+    tails = placed.groupBy(*by, CELL).agg(F.max_by(record, F.col(value)).alias("_tail"))
+    back = tails.select(*by, CELL, F.lag("_tail").over(Window.partitionBy(*by).orderBy(CELL)).alias("_back"))
     local = placed.withColumn(
-        "_lag", F.lag(record).over(Window.partitionBy(*by, "_fine").orderBy(value))
+        "_lag", F.lag(record).over(Window.partitionBy(*by, CELL).orderBy(value))
     )
-    kept = [c for c in placed.columns if c not in by and c != "_fine"]
-    return local.join(back, [*by, "_fine"]).select(
+    kept = [c for c in placed.columns if c not in by and c != CELL]
+    # At most CELLS rows per order are broadcast.
+    return local.join(F.broadcast(back), [*by, CELL]).select(
         *by,
-        "_fine",
+        CELL,
         *kept,
         *[F.expr(f"coalesce(_lag, _back).{f} AS previous_{f}") for f in fields],
     )
 
 
-def exact_median(df: DataFrame, value: str, low: float = 0.0, high: float = 1.0) -> DataFrame:
+def exact_median(df: DataFrame, value: str, splits: Splits | None = None) -> DataFrame:
     """One row, one column ``median``: the exact median of a column, null if empty.
 
     Repeated values fold into (value, count); the one or two middle values are
     then found by their running counts, so no task holds all distinct values.
     """
     folded = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.expr("count(*) AS n"))
-    placed = ordered_prefix(folded, value, ["n"], low=low, high=high)
+    placed = ordered_prefix(folded, value, ["n"], splits=splits)
     lower, upper = "(n_total + 1) div 2", "n_total div 2 + 1"
     middle = placed.where(
         f"({lower} > n_before AND {lower} <= n_before + n)"
@@ -146,31 +186,13 @@ def _sum(measure: str, window: WindowSpec):
 
 
 def _cell_offsets(placed: DataFrame, measures: Sequence[str], by: Sequence[str]) -> DataFrame:
-    """Per occupied fine cell: total ahead of it, and the grand total."""
-    sums = [F.sum(m).alias(m) for m in measures]
-    fine = placed.groupBy(*by, "_coarse", "_fine").agg(*sums)
-    near_window = _ahead(Window.partitionBy(*by, "_coarse").orderBy("_fine"))
-    far_window = _ahead(Window.partitionBy(*by).orderBy("_coarse"))
-    coarse = (
-        fine.groupBy(*by, "_coarse")
-        .agg(*sums)
-        .select(
-            *by,
-            "_coarse",
-            *[_sum(m, far_window).alias(f"_far_{m}") for m in measures],
-            *[F.sum(m).over(Window.partitionBy(*by)).alias(f"_total_{m}") for m in measures],
-        )
-    )
-    near = fine.select(
-        *by,
-        "_coarse",
-        "_fine",
-        *[_sum(m, near_window).alias(f"_near_{m}") for m in measures],
-    )
-    # At most CELLS rows per order are broadcast, whatever the size of the input.
-    return near.join(F.broadcast(coarse), [*by, "_coarse"]).select(
+    """Per occupied cell: total ahead of it, and the grand total."""
+    cells = placed.groupBy(*by, CELL).agg(*[F.sum(m).alias(m) for m in measures])
+    everything = Window.partitionBy(*by)
+    ahead = _ahead(everything.orderBy(CELL))
+    return cells.select(
         *by,
-        "_fine",
-        *[F.expr(f"_near_{m} + _far_{m} AS _offset_{m}") for m in measures],
-        *[F.col(f"_total_{m}") for m in measures],
+        CELL,
+        *[_sum(m, ahead).alias(f"_offset_{m}") for m in measures],
+        *[F.sum(m).over(everything).alias(f"_total_{m}") for m in measures],
     )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.config import OTHER_STATE, SnapshotConfig
 from tidemark.functions.columns import days, micros_between, money, ntz_text
-from tidemark.functions.prefix import exact_median
+from tidemark.functions.prefix import even_splits, exact_median
 from tidemark.operators.customer_base import (
     ITEMS,
     LABEL_COLUMNS,
@@ -111,7 +111,7 @@ def finish_features(
     """
     if review_median is None:
         averages = (review_base or base).selectExpr(f"{REVIEW_AVERAGE} AS average")
-        median = exact_median(averages, "average", *REVIEW_RANGE).scalar()
+        median = exact_median(averages, "average", even_splits(*REVIEW_RANGE)).scalar()
         fill = F.coalesce(median, F.lit(cfg.review_fallback))
     else:
         fill = F.lit(float(review_median))

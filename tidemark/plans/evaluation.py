@@ -25,16 +25,17 @@ def evaluate(df: DataFrame, threshold: float = 0.50, n_deciles: int = 10) -> dic
     or outside 0 to 1 are refused with their count.
     """
     require_scores(df)
+    ranked = rank.ranked_scores(df)
     matrix = cls.confusion_matrix(df, threshold)
     return {
         "confusion_matrix": matrix,
         "classification_report": cls.classification_report(matrix),
         "test_counts": cls.eval_counts(df),
-        "ranking": rank.ranking_summary(df),
+        "ranking": rank.summary_of(ranked),
         "calibration": cal.calibration(df),
         "calibration_bins": cal.calibration_bins(df),
         "decile_lift": dec.decile_lift(dec.decile_counts(df, n_deciles=n_deciles)),
-        "curves": downsampled_curves(df),
+        "curves": curve_samples(ranked),
     }
 
 
@@ -56,16 +57,24 @@ def dual_average_precision(df: DataFrame) -> DataFrame:
 
 
 def full_curve(df: DataFrame, curve: str) -> DataFrame:
-    build = rank.roc_curve if curve == "roc" else rank.pr_curve
-    return build(df, CURVES[curve])
+    return curve_points(rank.ranked_scores(df, [CURVES[curve]]), curve)
+
+
+def curve_points(ranked: DataFrame, curve: str) -> DataFrame:
+    build = rank.roc_points if curve == "roc" else rank.pr_points
+    return build(ranked, CURVES[curve])
 
 
 def downsampled_curves(df: DataFrame, max_points: int = rank.CURVE_POINTS) -> DataFrame:
-    """All three curves, each cut to at most ``max_points`` points."""
+    """All three curves of a frame of scores, each cut to at most ``max_points`` points."""
+    return curve_samples(rank.ranked_scores(df, sorted(set(CURVES.values()))), max_points)
+
+
+def curve_samples(ranked: DataFrame, max_points: int = rank.CURVE_POINTS) -> DataFrame:
     return reduce(
         DataFrame.unionByName,
         [
-            rank.downsample(full_curve(df, c), max_points).select(
+            rank.downsample(curve_points(ranked, c), max_points).select(
                 F.lit(c).alias("curve"), "point_no", "x", "y"
             )
             for c in CURVES
