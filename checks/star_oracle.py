@@ -733,3 +733,31 @@ FROM (SELECT CASE WHEN calibrated_churn_prob > 0.70::DOUBLE THEN 'High Risk'
 # The same answers, by way of files.
 ORACLE_SQL["snapshot_features_csv"] = ORACLE_SQL["snapshot_features"]
 ORACLE_SQL["high_risk_files"] = ORACLE_SQL["high_risk_customers"]
+
+ORACLE_SQL["repeated_orders"] = on_features(
+    """SELECT customer_unique_id, target_orders_count, churn, frequency_orders, frequency_items,
+         distinct_categories, review_count, delivered_count FROM dataset"""
+).replace(
+    "c_customers AS (",
+    "c_orders2 AS (SELECT * FROM c_orders UNION ALL SELECT * FROM c_orders WHERE order_id % 7 = 0),\nc_customers AS (",
+    1,
+).replace("FROM c_orders o LEFT JOIN c_customers", "FROM c_orders2 o LEFT JOIN c_customers", 1)
+
+ZERO_CHECKS = (
+    "negative_recency", "tenure_below_recency", "purchase_after_snapshot", "order_after_snapshot",
+    "review_after_snapshot", "differs_from_tables_as_of_snapshot", "label_not_binary",
+    "label_disagrees_with_count", "duplicate_customer", "cohort_features_mismatch",
+    "operational_out_of_range", "calibrated_out_of_range", "tier_disagrees",
+    "export_not_above_threshold", "export_not_high", "metrics_differ_from_run",
+    "importance_without_a_feature", "models_differ_in_size", "dataset_and_scored_differ",
+    "export_rows_missing",
+)
+ORACLE_SQL["run_audits"] = on_scores(
+    f"""SELECT unnest([{", ".join(f"'{c}'" for c in ZERO_CHECKS)}]) AS check_name, CAST(0 AS BIGINT) AS value
+UNION ALL SELECT 'listed_numeric_features', CAST(21 AS BIGINT)
+UNION ALL SELECT 'dataset_rows', count(*) FROM dataset
+UNION ALL SELECT 'dataset_churned', count(*) FROM dataset WHERE churn = 1
+UNION ALL SELECT 'metrics_total_test', count(*) FROM test
+UNION ALL SELECT 'metrics_churn_count', count(*) FROM test WHERE churn = 1
+UNION ALL SELECT 'metrics_active_count', count(*) FROM test WHERE churn = 0"""
+)

@@ -7,6 +7,7 @@ folder; everything else is one lazy plan.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,9 +20,10 @@ from tidemark.operators.orders import validated_orders
 from tidemark.operators.scorecard import score
 from tidemark.operators.split import class_quotas, stratified_split
 from tidemark.plans import audits, evaluation, reports, training
+from tidemark.plans.run import run
 from tidemark.plans.work import stored, work_folder
 from tidemark.sinks import writers
-from tidemark.sources.readers import load_tables, read_high_risk_csv, read_scored
+from tidemark.sources.readers import load_models, load_tables, read_high_risk_csv, read_metrics, read_scored
 from tidemark.sources.schemas import TABLE_COLUMNS
 from tidemark.sources.star_schema import STAR_CONFIG as CFG
 from tidemark.sources.star_schema import star_tables
@@ -33,6 +35,25 @@ KEY = "customer_unique_id"
 REPORT_DIGITS = 9
 AMOUNT_DIGITS = 4
 MOMENT_TOLERANCE = 1e-5
+REPEATED_COLUMNS = (KEY, "target_orders_count", "churn", "frequency_orders", "frequency_items", "distinct_categories", "review_count", "delivered_count")
+
+RUN_CHECKS = (
+    "negative_recency",
+    "tenure_below_recency",
+    "purchase_after_snapshot",
+    "order_after_snapshot",
+    "review_after_snapshot",
+    "differs_from_tables_as_of_snapshot",
+    "label_not_binary",
+    "label_disagrees_with_count",
+    "duplicate_customer",
+    "cohort_features_mismatch",
+    "operational_out_of_range",
+    "calibrated_out_of_range",
+    "tier_disagrees",
+    "export_not_above_threshold",
+    "export_not_high",
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -323,6 +344,45 @@ def q_customer_profile(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(profile, "top_percent")
 
 
+def q_repeated_orders(spark: SparkSession, sf: str) -> DataFrame:
+    """Counts and totals where every seventh order is listed twice: it still counts as one order."""
+    shop = star_tables(spark, sf)
+    again = shop.orders.where("order_id % 7 = 0")
+    repeated = replace(shop, orders=shop.orders.unionByName(again))
+    made = features.snapshot_features(repeated, CFG, CFG.review_fallback, with_label=True)
+    return made.select(*REPEATED_COLUMNS)
+
+
+def q_run_audits(spark: SparkSession, sf: str) -> DataFrame:
+    """A whole run into the work folder; its own audits, and checks of every file read back."""
+    out = work_folder(spark)
+    result = run(spark, star_tables(spark, sf), out, CFG)
+    audits_back = spark.read.parquet(f"{out}/audits")
+    document = read_metrics(spark, f"{out}/metrics")
+    models = load_models(spark, f"{out}/models")
+    scored = read_scored(spark, f"{out}/scored_customers")
+    exported = read_high_risk_csv(spark, f"{out}/high_risk_customers", scored)
+    dataset_back = spark.read.parquet(f"{out}/dataset")
+    features = models["operational"].stages[-1].coefficients.size
+    exported_rows = scored.where(F.col("operational_risk_score") > CFG.high_threshold).count()
+    found = {
+        "metrics_differ_from_run": int(document != result.metrics),
+        "importance_without_a_feature": abs(models["importance"].count() - features),
+        "models_differ_in_size": abs(models["calibrated"].stages[-1].coefficients.size - features),
+        "listed_numeric_features": len(models["numerical_features"]),
+        "dataset_and_scored_differ": abs(dataset_back.count() - scored.count()),
+        "export_rows_missing": abs(exported.count() - exported_rows),
+        "dataset_rows": dataset_back.count(),
+        "dataset_churned": dataset_back.where("churn = 1").count(),
+    }
+    found |= {f"metrics_{k}": int(v) for k, v in document["test_counts"].items()}
+    # Bounds on the metrics themselves belong to the shop's data and are left to the tests.
+    own = audits_back.where(F.col("check_name").isin(*RUN_CHECKS))
+    return own.unionByName(spark.createDataFrame(list(found.items()), audits_back.schema)).select(
+        "check_name", F.col("violations").cast("long").alias("value")
+    )
+
+
 def q_leakage_audit(spark: SparkSession, sf: str) -> DataFrame:
     t = star_tables(spark, sf)
     made = stored(features.finish_features(base(spark, sf, False), CFG), work_folder(spark), "made")
@@ -420,6 +480,8 @@ QUERIES: dict[str, Query] = {
         tiers.risk_tiers(scored_dataset(s, d), CFG), CFG
     ),
     # audits
+    "repeated_orders": q_repeated_orders,
+    "run_audits": q_run_audits,
     "key_audit": on_tables(audits.key_audit),
     "leakage_audit": q_leakage_audit,
     "target_audit": q_target_audit,

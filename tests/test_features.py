@@ -272,3 +272,25 @@ def test_two_step_form_equals_one_query(spark):
     one = snapshot_features(t, STAR_CONFIG, with_label=True).collect()
     assert sorted(one) == sorted(two)
     assert all(not math.isnan(r.avg_review_score) for r in one)
+
+
+def test_an_order_listed_more_than_once_counts_once(spark):
+    orders = [
+        order("o1", "a", days_ago(30), arrived=days_ago(20)),
+        order("o1", "a", days_ago(40), arrived=days_ago(20)),
+        order("o2", "b", days_ago(5)),
+        order("o3", "a", SNAP + DAY),
+        order("o3", "a", SNAP + DAY),
+        order("o3", "a", SNAP + 2 * DAY),
+    ]
+    t = shop(
+        spark,
+        orders=orders,
+        customers=[("a", "u", "SP", None), ("b", "u", "SP", None)],
+        items=[item("o1", price=10.0), item("o2", price=5.0), item("o3")],
+    )
+    row = snapshot_features(t, CFG, 4.0, with_label=True).first()
+    assert (row.frequency_orders, row.target_orders_count) == (2, 1)
+    assert row.first_purchase == days_ago(40) and row.delivered_count == 2
+    # Amounts count once per listed row, as a join of items and orders gives them.
+    assert (row.frequency_items, row.total_spend, row.avg_order_value) == (3, 25.0, 12.5)

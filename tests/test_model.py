@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.operators import preprocess
 from tidemark.operators.features import NUMERIC_FEATURES
 from tidemark.operators.preprocess import (
     class_weights,
@@ -176,3 +177,22 @@ def test_saved_models_score_the_same(spark, train, models, tmp_path):
         before = getattr(models, name).transform(df).select("probability").collect()
         assert loaded[name].transform(df).select("probability").collect() == before
     assert VECTOR in loaded["operational"].transform(df).columns
+
+
+def test_one_pass_gives_all_that_precedes_the_fits(spark, monkeypatch):
+    rows = [(k % 2, ["SP", "RJ", "MG"][k % 3], 1e9 + k, None if k % 5 else float(k)) for k in range(60)]
+    df = spark.createDataFrame(rows, "churn int, customer_state string, total_spend double, recency_days double")
+    summary = preprocess.fit_summary(df.repartition(5))
+    spend = np.array([r[2] for r in rows])
+    recency = np.array([r[3] for r in rows if r[3] is not None])
+    for name, values in (("total_spend", spend), ("recency_days", recency)):
+        moments = summary.moments()[name]
+        assert moments.n == len(values) and abs(moments.mean - values.mean()) < 1e-6
+        assert abs(moments.squares / moments.n - values.var()) < 1e-6
+    assert summary.levels() == {"MG": 20, "RJ": 20, "SP": 20} and summary.classes() == {0: 30, 1: 30}
+    assert summary.weights() == {0: 1.0, 1: 1.0}
+    monkeypatch.setattr(preprocess, "MAX_CELLS", 5)
+    with pytest.raises(ValueError, match="not a category"):
+        preprocess.fit_summary(df)
+    empty = preprocess.fit_summary(df.where("false"))
+    assert empty.weights() == {} and preprocess.preprocessor_of(empty).state_levels == ()

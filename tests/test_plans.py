@@ -40,10 +40,10 @@ def test_no_customer_sized_input_goes_to_one_task(spark, conf):
     assert "SinglePartition" not in plan_of(cohort_labels(star_tables(spark, SF), STAR_CONFIG))
     groups = spark.range(1000).selectExpr("id / 1000D AS v", "1L AS n")
     plan = plan_of(ordered_prefix(groups, "v", ["n"]))
-    # The one unpartitioned window reads rows already folded per coarse cell.
+    # The one unpartitioned window reads rows already folded per cell.
     below = plan.split("Exchange SinglePartition")[1:]
     assert len(below) == 1
-    assert below[0].split("HashAggregate(keys=[")[1].startswith("_coarse")
+    assert below[0].split("HashAggregate(keys=[")[1].startswith("_cell")
 
 
 def test_joins_stay_correct_without_any_broadcast(spark, conf):

@@ -68,12 +68,12 @@ def test_metric_bounds():
     ]
 
 
-def test_repeated_keys_stop_the_run(spark, tmp_path):
+def test_repeated_customers_stop_the_run(spark, tmp_path):
     t = shop(
         spark,
         orders=[order("o1", "a", days_ago(3))] * 2,
-        customers=[("a", "u", None, None)],
+        customers=[("a", "u", None, None)] * 2,
         items=[item("o1")],
     )
-    with pytest.raises(ValueError, match="duplicate_order_id"):
+    with pytest.raises(ValueError, match="duplicate_customer_id"):
         run(spark, t, str(tmp_path / "out"))

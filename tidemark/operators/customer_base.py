@@ -4,13 +4,17 @@ Shape of the plan, chosen so that no single key can overload a task:
 
 1. items, reviews and payments are folded to one row per order (map-side
    combine absorbs an order with very many lines);
-2. those rows join the orders on ``order_id``, one row per key on both sides;
-3. order rows fold to one row per ``customer_id`` before customers are joined,
+2. those rows join the orders on ``order_id``;
+3. order rows fold to one row per (order, account), which moves nothing, as they already lie
+   by order: an order that is listed more than once counts as one order, while its amounts
+   count once per row, as a join gives them;
+4. these fold to one row per ``customer_id`` before customers are joined,
    so an account with very many orders is a single row in that join;
-4. the result folds to one row per ``customer_unique_id``.
+5. the result folds to one row per ``customer_unique_id``.
 
-Every measure is a min, max or sum, so each step is a partial aggregation. Order
-keys and customer keys must be unique; ``audits.key_audit`` checks that.
+Every measure is a min, max or sum, so each step is a partial aggregation. Customer
+keys must be unique; ``audits.key_audit`` checks that. One order id under two accounts
+of one person counts for each account.
 """
 
 from __future__ import annotations
@@ -62,11 +66,15 @@ PART_FOLDS = {
 
 @dataclass(frozen=True)
 class Measure:
-    """One running total: its name, how it folds, and its value on an order row."""
+    """One running total: its name, how it folds, and its value on an order row.
+
+    ``within`` is how it folds over the rows of one order, if otherwise.
+    """
 
     name: str
     fold: str
     value: str
+    within: str | None = None
 
 
 def customer_base(
@@ -84,8 +92,11 @@ def customer_base(
     until = cfg.target_end if with_label else cfg.snapshot
     facts = _order_facts(tables, cfg, until, parts)
     measures = _measures(cfg, parts, with_label)
-    by_account = facts.groupBy("customer_id").agg(
-        *[F.expr(f"{m.fold}({m.value}) AS {m.name}") for m in measures]
+    by_order = facts.groupBy("order_id", "customer_id").agg(
+        *[F.expr(f"{m.within or m.fold}({m.value}) AS {m.name}") for m in measures]
+    )
+    by_account = by_order.groupBy("customer_id").agg(
+        *[F.expr(f"{m.fold}({m.name}) AS {m.name}") for m in measures]
     )
     place = [_first_known("customer_state"), _first_known("customer_city")] if with_place else []
     base = (
@@ -217,13 +228,13 @@ def _measures(cfg: SnapshotConfig, parts: Collection[str], with_label: bool) ->
         """Only historical orders contribute; without a label all of them are."""
         return f"if({placed} <= {snapshot}, {value}, NULL)" if with_label else value
 
-    def tally(name: str, predicate: str) -> Measure:
-        return Measure(name, "sum", f"bigint(coalesce({past(predicate)}, false))")
+    def tally(name: str, predicate: str, within: str | None = None) -> Measure:
+        return Measure(name, "sum", f"bigint(coalesce({past(predicate)}, false))", within)
 
     measures = [
         Measure("first_purchase", "min", past(placed)),
         Measure("last_purchase", "max", past(placed)),
-        tally("frequency_orders", "true"),
+        tally("frequency_orders", "true", within="max"),
         tally("delivered_count", by_snapshot),
         tally("late_count", f"{by_snapshot} AND {delay} > 0"),
         tally("delay_count", f"{by_snapshot} AND {delay} IS NOT NULL"),
@@ -233,7 +244,7 @@ def _measures(cfg: SnapshotConfig, parts: Collection[str], with_label: bool) ->
     ]
     if with_label:
         measures.append(
-            Measure("target_orders_count", "sum", f"bigint({placed} > {snapshot})")
+            Measure("target_orders_count", "sum", f"bigint({placed} > {snapshot})", "max")
         )
     for part in parts:
         measures += [Measure(name, fold, past(name)) for name, fold in PART_FOLDS[part].items()]

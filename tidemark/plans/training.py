@@ -16,8 +16,8 @@ from tidemark.operators.features import NUMERIC_FEATURES
 from tidemark.operators.preprocess import (
     STATE,
     Preprocessor,
-    class_weights,
-    fit_preprocessor,
+    fit_summary,
+    preprocessor_of,
 )
 from tidemark.operators.scorecard import NumericTerm, Scorecard, score
 
@@ -44,11 +44,11 @@ class TrainedModels:
 def train_models(train: DataFrame) -> TrainedModels:
     """Fit both models on a labelled feature frame.
 
-    The two fits share one cached frame of vectors. It is cached, not
+    One pass over the rows gives all that precedes the fits. These share one cached frame of vectors. It is cached, not
     checkpointed: a lost block is recomputed from the stored features.
     """
-    prep = fit_preprocessor(train)
-    weights = {r["churn"]: r["weight"] for r in class_weights(train).collect()}  # two rows
+    summary = fit_summary(train)
+    prep, weights = preprocessor_of(summary), summary.weights()
     weight = F.when(F.col("churn") == 1, F.lit(weights.get(1))).otherwise(F.lit(weights.get(0)))
     stages = preprocessing_stages(prep)
     frame = PipelineModel(stages).transform(train)
@@ -57,7 +57,7 @@ def train_models(train: DataFrame) -> TrainedModels:
     ).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         # Balanced weights add up to the row count, so both penalties are 1 / (C * n).
-        penalty = 1.0 / (INVERSE_PENALTY * frame.count())
+        penalty = 1.0 / (INVERSE_PENALTY * sum(summary.classes().values()))
         fits = [_logistic(penalty, weighted).fit(frame) for weighted in (True, False)]
     finally:
         frame.unpersist()
@@ -128,7 +128,7 @@ def fitted_moments(train: DataFrame, models: TrainedModels) -> DataFrame:
     Both sides come out over the number of rows. Two passes over ``train``, which should be stored.
     """
     prep = models.preprocessor
-    weights = {r["churn"]: r["weight"] for r in class_weights(train).collect()}  # two rows
+    weights = fit_summary(train.select("churn")).weights()
     balanced = F.when(F.col("churn") == 1, F.lit(weights.get(1))).otherwise(F.lit(weights.get(0)))
     projection = preprocessing_stages(prep)[0]
     scored = score(projection.transform(train), *models.scorecards())
