@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.chunks import size_slices
-from tidemark.llm.common import stored, text_of
+from tidemark.llm.common import text_of
 
 TOP = 10
 # Constants of the score.
@@ -47,8 +47,9 @@ UNIT = 1_000_000_000
 LEVELS = (1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64, 96, 128, 256, 1024)
 HASHES = 4
 BITS_PER_KEY = 8  # at least, for the largest document of a block
-BLOCK_DOCS = 2048
-BLOCK_BYTES = 8 << 20
+BLOCK_DOCS = 1024
+BLOCK_BYTES = 2 << 20
+ROW_GROUP_BYTES = 16 << 20  # of the stored index, so that its writer and readers hold little at a time
 BOUND_CELLS = 1 << 24  # terms times documents whose bounds are held at a time
 EXACT_CELLS = 1 << 18
 TERM_STEP = 256
@@ -62,10 +63,29 @@ FOLD[0x80:] = np.arange(0x80, 0x100)
 for _code in (*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B)):
     FOLD[_code] = ord(chr(_code).lower())
 
-INDEX = (
-    "n_docs int, n_terms long, width long, doc_ids array<long>, sizes array<long>, slices binary,"
-    " terms array<string>, frequencies array<int>, starts array<int>, codes array<int>, counts array<int>"
-)
+# ``words`` and ``postings`` are packed arrays: (terms, frequencies) and (doc_ids, sizes, starts, codes, counts).
+INDEX = "n_docs int, n_terms long, width long, slices binary, words binary, postings binary"
+PACKING = pa.ipc.IpcWriteOptions(compression="zstd")
+
+
+def packed(**arrays: pa.Array | np.ndarray) -> bytes:
+    """Arrays of any lengths in one compressed value: Spark moves it as it is."""
+    lists = {}
+    for name, values in arrays.items():
+        values = values if isinstance(values, pa.Array) else pa.array(values)
+        offsets = pa.array([0, len(values)], pa.int32())
+        lists[name] = pa.ListArray.from_arrays(offsets, values)
+    row = pa.RecordBatch.from_pydict(lists)
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, row.schema, options=PACKING) as stream:
+        stream.write_batch(row)
+    return sink.getvalue().to_pybytes()
+
+
+def unpacked(value: pa.Scalar) -> dict[str, pa.Array]:
+    with pa.ipc.open_stream(value.as_buffer()) as stream:
+        row = stream.read_next_batch()
+    return {name: row.column(name)[0].values for name in row.schema.names}
 
 
 def folded(texts: pa.Array) -> pa.Array:
@@ -103,7 +123,10 @@ def bit_rows(hashes: np.ndarray, level: int, width: int) -> np.ndarray:
 def build_index(docs: DataFrame, folder: str) -> DataFrame:
     """Blocks of (doc_id, text) rows, stored in ``folder``."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of("text").alias("text"))
-    return stored(rows.mapInArrow(_index_batches, INDEX), folder, "signatures")
+    path = f"{folder}/signatures"
+    blocks = rows.mapInArrow(_index_batches, INDEX)
+    blocks.write.mode("overwrite").option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
+    return docs.sparkSession.read.parquet(path)
 
 
 def _index_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,23 +173,27 @@ def _block(rows: pa.RecordBatch) -> pa.RecordBatch | None:
 
     ids = rows.column("doc_id").filter(pa.array(held))
 
-    def one(values: pa.Array | np.ndarray, kind: pa.DataType) -> pa.Array:
-        values = values if isinstance(values, pa.Array) else pa.array(values)
-        return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values.cast(kind))
-
+    frequencies = np.bincount(codes, minlength=len(vocabulary)).astype(np.int32)
+    starts = np.searchsorted(docs, np.arange(n_docs + 1)).astype(np.int32)
     return pa.RecordBatch.from_pydict(
         {
             "n_docs": pa.array([n_docs], pa.int32()),
             "n_terms": pa.array([len(owner)], pa.int64()),
             "width": pa.array([width], pa.int64()),
-            "doc_ids": one(ids, pa.int64()),
-            "sizes": one(sizes, pa.int64()),
             "slices": pa.array([np.packbits(bits, axis=1).tobytes()], pa.binary()),
-            "terms": one(vocabulary, pa.string()),
-            "frequencies": one(np.bincount(codes, minlength=len(vocabulary)), pa.int32()),
-            "starts": one(np.searchsorted(docs, np.arange(n_docs + 1)), pa.int32()),
-            "codes": one(codes, pa.int32()),
-            "counts": one(counts, pa.int32()),
+            "words": pa.array([packed(terms=vocabulary.cast(pa.string()), frequencies=frequencies)], pa.binary()),
+            "postings": pa.array(
+                [
+                    packed(
+                        doc_ids=ids.cast(pa.int64()),
+                        sizes=sizes.astype(np.int64),
+                        starts=starts,
+                        codes=codes.astype(np.int32),
+                        counts=counts.astype(np.int32),
+                    )
+                ],
+                pa.binary(),
+            ),
         }
     )
 
@@ -227,14 +254,15 @@ def _weights(index: DataFrame, queries: Queries) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms, sums = pa.array(queries.terms, pa.string()), np.zeros(len(queries.terms), dtype=np.int64)
         for batch in batches:
-            for own, frequencies in zip(batch.column("terms"), batch.column("frequencies")):
-                where = pc.index_in(terms, value_set=own.values)
+            for value in batch.column("words"):
+                words = unpacked(value)
+                where = pc.index_in(terms, value_set=words["terms"])
                 known = where.is_valid().to_numpy(zero_copy_only=False)
-                sums[known] += frequencies.values.to_numpy()[where.drop_null().to_numpy()]
+                sums[known] += words["frequencies"].to_numpy()[where.drop_null().to_numpy()]
         places = np.flatnonzero(sums)
         yield pa.RecordBatch.from_pydict({"term": pa.array(places, pa.int32()), "n": pa.array(sums[places], pa.int64())})
 
-    counted = index.select("terms", "frequencies").mapInArrow(count, "term int, n long")
+    counted = index.select("words").mapInArrow(count, "term int, n long")
     frequency = {r.term: r.n for r in counted.groupBy("term").agg(F.sum("n").alias("n")).collect()}
     n = queries.n_docs
     return np.array(
@@ -281,10 +309,12 @@ class Block:
     """Bounds and exact scores of a block's documents for the terms of a group."""
 
     def __init__(self, row: pa.RecordBatch, queries: Queries, hashes: np.ndarray, terms: pa.Array):
+        postings = unpacked(row.column("postings")[0])
+
         def values(name: str) -> np.ndarray:
-            return row.column(name)[0].values.to_numpy(zero_copy_only=False)
+            return postings[name].to_numpy(zero_copy_only=False)
 
-        ids = row.column("doc_ids")[0].values
+        ids = postings["doc_ids"]
         self.nulls = ids.is_null().to_numpy(zero_copy_only=False)
         self.ids = ids.fill_null(0).to_numpy()
         share = 100 - B_SHARE
@@ -292,7 +322,7 @@ class Block:
             [share + B_SHARE * n * queries.n_docs // queries.n_terms for n in values("sizes").tolist()], dtype=np.int64
         )
         codes, self.counts, starts = values("codes"), values("counts"), values("starts")
-        vocabulary = row.column("terms")[0].values
+        vocabulary = unpacked(row.column("words")[0])["terms"]
         self.stride = len(vocabulary)
         self.keys = np.repeat(np.arange(len(self.ids)), np.diff(starts)) * self.stride + codes
         self.codes = pc.index_in(terms, value_set=vocabulary).fill_null(-1).to_numpy()
