@@ -1,5 +1,6 @@
 import re
 import html
+import time
 from pathlib import Path
 
 import pytest
@@ -93,3 +94,17 @@ def test_stray_quotes_in_a_tag_open_no_value():
     assert main_text("<img alt=5\" src=x> whole article text.</p><p class=\"y\">more</p>") == "whole article text. more"
     assert main_text("<p title = 'a>b' lang=\"c>d\">one</p><p a=x?q=\"y>two</p><p \">three</p><p a=\"four>five</p>") == "one two three five"
     assert main_text("<p class=x'y id='sidebar'>side</p><p>text</p>") == "text"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<div>" * 50_000 + "</section>" * 50_000,
+        "<center>" * 100_000,
+        "<ul>" * 20_000 + "<p>" * 40_000 + "</td>" * 40_000,
+    ],
+)
+def test_unmatched_tags_take_linear_time(page):
+    start = time.process_time()
+    assert main_text(page + "<article><p>The text of the page is here.</p></article>") == "The text of the page is here."
+    assert time.process_time() - start < 10

@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -137,6 +138,7 @@ class _Page:
     blocks: list[_Block] = field(default_factory=list)
     wrappers: list[_Wrapper] = field(default_factory=list)
     open: list[_Open] = field(default_factory=list)
+    count: Counter[str] = field(default_factory=Counter)  # open elements by tag
     parts: dict[int, list[str]] = field(default_factory=dict)
     linked: dict[int, int] = field(default_factory=dict)
     in_link: bool = False
@@ -193,6 +195,7 @@ class _Page:
             elif wrapper >= 0 and not outer.dropped and not dropped:
                 self.wrappers[wrapper].article |= main
                 self.wrappers[wrapper].heading |= tag == "h1" and (outer.main or not outer.header)
+            self.count[tag] += 1
             self.open.append(
                 _Open(tag, outer.dropped or dropped, outer.main or main, outer.header or tag in HEADER, wrapper)
             )
@@ -203,20 +206,29 @@ class _Page:
         if tag in BLOCK:
             self.finish()
             self.heading = False
+        if not self.count[tag]:
+            return
         for place in range(len(self.open) - 1, -1, -1):
             if self.open[place].tag == tag:
-                del self.open[place:]
+                self._close_from(place)
                 return
             if tag not in BLOCK and self.open[place].tag in BLOCK:
                 return
 
+    def _close_from(self, place: int) -> None:
+        for element in self.open[place:]:
+            self.count[element.tag] -= 1
+        del self.open[place:]
+
     def _close_implied(self, tag: str) -> None:
         if self.open and self.open[-1].tag == "p":
-            self.open.pop()
+            self._close_from(len(self.open) - 1)
         ends = ENDS_ITSELF.get(tag, frozenset())
+        if not any(self.count[t] for t in ends):
+            return
         for place in range(len(self.open) - 1, -1, -1):
             if self.open[place].tag in ends:
-                del self.open[place:]
+                self._close_from(place)
                 return
             if self.open[place].tag in SCOPES:
                 return
