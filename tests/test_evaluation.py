@@ -235,3 +235,18 @@ def test_all_curves_come_from_one_pass_over_the_scores(spark, monkeypatch):
     points = ev.curve_samples(ranked)
     assert set(r.curve for r in points.collect()) == set(ev.CURVES) and len(calls) == 1
     assert "Window" not in points._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("bad", [None, float("nan"), 1.2, -0.1])
+def test_each_metric_refuses_what_is_no_probability(spark, bad):
+    df = spark.createDataFrame([("a", 1, 0.5, 0.5), ("b", 0, bad, 0.5)], SCHEMA)
+    for metric in (cls.confusion_matrix, cal.calibration, dec.decile_counts):
+        with pytest.raises(Exception, match="null, NaN or outside 0 to 1"):
+            metric(df).collect()
+
+
+def test_each_metric_refuses_unknown_labels(spark):
+    df = spark.createDataFrame([("a", 1, 0.5, 0.5), ("b", None, 0.4, 0.5)], SCHEMA)
+    for metric in (cls.confusion_matrix, cal.calibration, dec.decile_counts):
+        with pytest.raises(Exception, match="neither 0 nor 1"):
+            metric(df).collect()

@@ -109,3 +109,11 @@ def test_scoring_audit_counts_what_is_wrong(spark):
     }
     bad = {r.check_name: r.violations for r in scoring_audit(wrong, high_risk_customers(wrong, CFG).limit(0), CFG).collect()}
     assert bad["tier_disagrees"] == 2 and bad["export_empty"] == 1
+
+
+def test_scores_outside_the_range_have_no_percentile(spark):
+    from tidemark.operators.tiers import risk_percentile
+
+    rows = [("a", 0.2), ("b", 1.2), ("c", None), ("d", float("nan")), ("e", 0.4), ("f", -3.0e9)]
+    found = risk_percentile(spark.createDataFrame(rows, "customer_unique_id string, operational_risk_score double"))
+    assert {r.customer_unique_id: r.risk_percentile for r in found.collect()} == {"a": 50.0, "e": 100.0, "b": None, "c": None, "d": None, "f": None}

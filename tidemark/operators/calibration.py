@@ -1,4 +1,7 @@
-"""Calibration metrics: Brier score, expected calibration error, mean scores."""
+"""Calibration metrics: Brier score, expected calibration error, mean scores.
+
+Scores that are no probabilities and unknown labels end in an error.
+"""
 
 from __future__ import annotations
 
@@ -7,6 +10,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.score_check import checked_label, checked_score
+
 SCORES = ("calibrated_prob", "operational_score")
 
 
@@ -58,8 +63,9 @@ def calibration(df: DataFrame, n_bins: int = 10) -> DataFrame:
 
 def _binned(df: DataFrame, n_bins: int) -> DataFrame:
     """Sums per score and bin; at most ``n_bins`` rows per score."""
+    known = df.select(checked_label().alias("churn"), *[checked_score(s).alias(s) for s in SCORES])
     both = ", ".join(f"named_struct('score_name', '{s}', 'score', {s})" for s in SCORES)
-    long = df.select("churn", F.expr(f"inline(array({both}))"))
+    long = known.select("churn", F.expr(f"inline(array({both}))"))
     return long.groupBy("score_name", bin_of(F.col("score"), n_bins).alias("bin")).agg(
         F.expr("count(*) AS rows"),
         F.expr("sum(churn) AS labels"),

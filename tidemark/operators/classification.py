@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.score_check import checked_label, checked_score
+
 # Report row names, in report order.
 ACTIVE_CLASS = "Active (0)"
 CHURN_CLASS = "Churn (1)"
@@ -13,10 +15,10 @@ CHURN_CLASS = "Churn (1)"
 def confusion_matrix(df: DataFrame, threshold: float = 0.50) -> DataFrame:
     """One row tn, fp, fn, tp; a score equal to the threshold predicts churn.
 
-    Spark sorts NaN above all numbers; ``evaluate`` refuses such scores beforehand.
+    Every row counts in one cell: scores that are no probabilities and unknown labels end in an error.
     """
-    predicted = F.col("operational_score") >= F.lit(threshold)
-    actual = F.col("churn") == 1
+    predicted = checked_score("operational_score") >= F.lit(threshold)
+    actual = checked_label() == 1
     return df.agg(
         F.count_if(~actual & ~predicted).alias("tn"),
         F.count_if(~actual & predicted).alias("fp"),

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.prefix import ordered_prefix
+from tidemark.operators.score_check import checked_label, checked_score
 
 EPSILON = 1e-9
 # The columns of the report's decile table, in their published order.
@@ -30,8 +31,8 @@ def decile_counts(df: DataFrame, score: str = "operational_score", n_deciles: in
     """
     rows = df.select(
         F.col("customer_unique_id"),
-        (F.lit(1.0) - F.col(score)).alias("propensity"),
-        (1 - F.col("churn")).cast("long").alias("active"),
+        (F.lit(1.0) - checked_score(score)).alias("propensity"),
+        (1 - checked_label()).cast("long").alias("active"),
     )
     ties = rows.groupBy("propensity").agg(
         F.count("*").alias("customers"), F.sum("active").alias("active_count")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SCORES = ("operational_score", "calibrated_prob")
@@ -24,3 +24,13 @@ def require_scores(df: DataFrame, names: Sequence[str] = SCORES) -> None:
     found = {name: count for name, count in bad_scores(df, names).items() if count}
     if found:
         raise ValueError(f"scores that are null, NaN or outside 0 to 1: {found}")
+
+
+def checked_score(name: str) -> Column:
+    """The score; one that is null, NaN or outside 0 to 1 ends the query, without a pass of its own."""
+    return F.expr(f"if({name} >= 0 AND {name} <= 1, {name}, raise_error('a {name} is null, NaN or outside 0 to 1'))")
+
+
+def checked_label(name: str = "churn") -> Column:
+    """The label; one that is neither 0 nor 1 ends the query."""
+    return F.expr(f"if({name} IN (0, 1), {name}, raise_error('a {name} is neither 0 nor 1'))")

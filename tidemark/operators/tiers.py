@@ -46,11 +46,12 @@ def risk_percentile(tiered: DataFrame) -> DataFrame:
     """Add risk_percentile: the average rank of the rounded score, as a percentage.
 
     A rounded probability takes at most 10,001 values, so the ranks come from a
-    table of that size and are joined back by broadcast: no global sort.
+    table of that size and are joined back by broadcast: no global sort. A score that is null,
+    NaN or outside 0 to 1 has no percentile and does not count, so the table keeps its bound.
     """
     ticks = F.rint(F.col("operational_risk_score") * float(10**SCORE_DIGITS)).cast("int")
     ticked = tiered.withColumn(
-        "_tick", F.when(~F.isnan("operational_risk_score"), ticks)
+        "_tick", F.when(F.col("operational_risk_score").between(0.0, 1.0), ticks)
     )
     counts = ticked.where(F.col("_tick").isNotNull()).groupBy("_tick").agg(F.count("*").alias("_n"))
     upto = Window.orderBy("_tick").rowsBetween(Window.unboundedPreceding, 0)
