@@ -78,7 +78,25 @@ def test_repeated_and_missing_ids(spark):
     docs = spark.createDataFrame([(*r, 1, "y") for r in rows], SCHEMA)
     kept = drop_near_duplicates(docs)
     assert kept.columns == docs.columns
-    assert sorted(str(r.doc_id) for r in kept.collect()) == ["3", "9", "None", "None"]
+    texts = {(r.doc_id, r.text) for r in kept.collect()}
+    assert kept.count() == 4 and texts == {(3, a), (5, b), (9, c), (None, None)}
+
+
+def test_no_text_is_lost_with_its_id(spark):
+    a, b, c = (" ".join(f"{k}{i}" for i in range(40)) for k in "abc")
+    rows = [(1, a), (1, b), (None, c), (None, c), (2, ""), (2, ""), (3, None), (None, " "), (None, " ")]
+    left = [(1, a), (1, b), (2, ""), (3, None), (None, " "), (None, " "), (None, c)]
+    for parts in (1, 3):
+        docs = spark.createDataFrame([(*r, 1, "y") for r in rows], SCHEMA).repartition(parts)
+        found_rows = [(r.doc_id, r.text) for r in drop_near_duplicates(docs).collect()]
+        assert sorted(map(str, found_rows)) == sorted(map(str, left))
+
+
+def test_rows_that_tie_leave_the_same_one(spark):
+    a = " ".join(f"a{i}" for i in range(40))
+    docs = spark.createDataFrame([(1, a, k, "y") for k in range(20)], SCHEMA)
+    runs = [drop_near_duplicates(docs.repartition(n)).collect() for n in (1, 4)]
+    assert len(runs[0]) == 1 and runs[0] == runs[1]
 
 
 def test_empty_tables_and_long_texts(spark):

@@ -43,7 +43,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import stored, text_of, work_folder
+from tidemark.llm.common import packed, stored, text_of, work_folder
 from tidemark.llm.components import component_labels
 
 SHINGLE_WORDS = 5
@@ -462,12 +462,28 @@ def near_duplicates(docs: DataFrame, threshold: Threshold = Threshold()) -> Data
 
 
 def drop_near_duplicates(docs: DataFrame, threshold: Threshold = Threshold()) -> DataFrame:
-    """``docs`` with one document of each class: the one with the least id.
+    """``docs`` with one row of each class of linked texts: the one with the least id.
 
-    Rows that repeat an id count as one document and leave one row; rows without an id stay.
+    Classes are of texts, whatever ids the rows carry: no text is lost because another one
+    has its id, and copies without an id leave one row, an identified one where there is
+    one. Rows that tie are told apart by the md5 of the whole row, so reruns agree. Texts without words are
+    linked with nothing: they stay, but rows that repeat both such a text and an id leave one.
     """
-    classes = near_duplicates(docs.select("doc_id", "text"), threshold)
-    gone = classes.where("NOT kept").select("doc_id").distinct()
-    known = docs.where("doc_id IS NOT NULL").join(gone, "doc_id", "left_anti")
-    unknown = docs.where("doc_id IS NULL")
-    return known.dropDuplicates(["doc_id"]).select(*docs.columns).unionByName(unknown)
+    folder = work_folder(docs.sparkSession)
+    # Row numbers are only fixed once they are stored.
+    numbered = stored(docs.select(packed(docs), F.monotonically_increasing_id().alias("_no")), folder, "numbered")
+    classes = near_duplicates(
+        numbered.select(F.col("_no").alias("doc_id"), F.col("_row.text").alias("text")), threshold
+    ).select(F.col("doc_id").alias("_no"), "n_shingles", "component_id")
+    ids = numbered.select("_no", F.col("_row.doc_id").alias("_id"), F.md5(F.to_json("_row")).alias("_tie"))
+    least = (
+        classes.join(ids, "_no")
+        .groupBy(
+            F.expr("CASE WHEN n_shingles > 0 THEN 'class' WHEN _id IS NULL THEN 'row' ELSE 'id' END").alias("_kind"),
+            F.expr("CASE WHEN n_shingles > 0 THEN component_id WHEN _id IS NULL THEN _no END").alias("_class"),
+            F.expr("IF(n_shingles > 0, NULL, _id)").alias("_wordless"),
+        )
+        .agg(F.min(F.struct(F.col("_id").isNull(), "_id", "_tie", "_no")).alias("_least"))
+        .select("_least._no")
+    )
+    return numbered.join(least, "_no", "left_semi").select("_row.*")
