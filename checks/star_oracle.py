@@ -761,3 +761,46 @@ UNION ALL SELECT 'metrics_total_test', count(*) FROM test
 UNION ALL SELECT 'metrics_churn_count', count(*) FROM test WHERE churn = 1
 UNION ALL SELECT 'metrics_active_count', count(*) FROM test WHERE churn = 0"""
 )
+
+
+def _changed(sql: str, *changes: tuple[str, str]) -> str:
+    """The SQL with each text, which must be there, replaced once."""
+    for old, new in changes:
+        assert old in sql, old
+        sql = sql.replace(old, new, 1)
+    return sql
+
+
+# Rows that the CSV shop spoils (star_queries.UNSOUND), by the text each table's definition ends in.
+ORACLE_SQL["snapshot_features_sound"] = _changed(
+    ORACLE_SQL["snapshot_features"],
+    ("d.l_orderkey = o.o_orderkey)", "d.l_orderkey = o.o_orderkey WHERE o.o_orderkey % 13 <> 0)"),
+    ("AS freight_value\n  FROM lineitem)", "AS freight_value\n  FROM lineitem WHERE NOT (l_orderkey % 17 = 0 AND l_linenumber = 2))"),
+    ("AS payment_value\n  FROM lineitem)", "AS payment_value\n  FROM lineitem WHERE NOT (l_orderkey % 19 = 0 AND l_linenumber = 1))"),
+    ("WHERE l_linenumber = 1)", "WHERE l_linenumber = 1 AND l_orderkey % 23 <> 0)"),
+)
+SPOILT = """
+spoilt AS (
+  SELECT 'orders' AS table_name, o_orderkey % 13 = 0 AS bad FROM orders
+  UNION ALL SELECT 'customers', false FROM customer
+  UNION ALL SELECT 'order_items', l_orderkey % 17 = 0 AND l_linenumber = 2 FROM lineitem
+  UNION ALL SELECT 'payments', l_orderkey % 19 = 0 AND l_linenumber = 1 FROM lineitem
+  UNION ALL SELECT 'reviews', l_orderkey % 23 = 0 FROM lineitem WHERE l_linenumber = 1
+  UNION ALL SELECT 'products', false FROM part
+  UNION ALL SELECT 'sellers', false FROM supplier)"""
+ORACLE_SQL["intake_counts"] = f"""WITH {SPOILT}
+SELECT table_name, count(*) AS rows_read, count(*) FILTER (NOT bad) AS rows_kept,
+       count(*) FILTER (bad) AS rows_rejected
+FROM spoilt GROUP BY table_name"""
+ORACLE_SQL["intake_records"] = f"""WITH {SPOILT}
+SELECT table_name, count(*) AS records, count(*) AS whole_records
+FROM spoilt WHERE bad GROUP BY table_name"""
+# Customers lie in their file by key.
+ORACLE_SQL["decile_lift_in_order"] = _changed(
+    ORACLE_SQL["decile_lift"],
+    (
+        "operational_score DESC,\n           md5(customer_unique_id), customer_unique_id)",
+        "round_even(operational_score * 10, 0) / 10.0::DOUBLE DESC, c_custkey)",
+    ),
+    ("AS n FROM test)", "AS n FROM test JOIN customer ON c_name = customer_unique_id)"),
+)

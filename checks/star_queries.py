@@ -6,7 +6,7 @@ folder; everything else is one lazy plan.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,7 +23,9 @@ from tidemark.plans import audits, evaluation, reports, training
 from tidemark.plans.run import run
 from tidemark.plans.work import stored, work_folder
 from tidemark.sinks import writers
+from tidemark.sources.positions import POSITION, with_position
 from tidemark.sources.readers import load_models, load_tables, read_high_risk_csv, read_metrics, read_scored
+from tidemark.sources.rejects import Intake, by_table, load_sound
 from tidemark.sources.schemas import TABLE_COLUMNS
 from tidemark.sources.star_schema import STAR_CONFIG as CFG
 from tidemark.sources.star_schema import star_tables
@@ -37,6 +39,14 @@ AMOUNT_DIGITS = 4
 MOMENT_TOLERANCE = 1e-5
 REPEATED_COLUMNS = (KEY, "target_orders_count", "churn", "frequency_orders", "frequency_items", "distinct_categories", "review_count", "delivered_count")
 
+# Where records of the CSV shop are made unsound, and by what text.
+UNSOUND = {
+    ("orders", "order_purchase_timestamp"): ("order_id % 13 = 0", "some day"),
+    ("order_items", "price"): ("order_id % 17 = 0 AND order_item_id = 2", "12,50 or so"),
+    ("payments", "payment_value"): ("order_id % 19 = 0 AND payment_installments = 1", 'about "9"'),
+    ("reviews", "review_score"): ("order_id % 23 = 0", "five\nof five"),
+}
+
 RUN_CHECKS = (
     "negative_recency",
     "tenure_below_recency",
@@ -67,8 +77,11 @@ def base(spark: SparkSession, sf: str, with_label: bool = True) -> DataFrame:
     return stored(totals, work_folder(spark), "base")
 
 
-def csv_tables(spark: SparkSession, sf: str) -> Tables:
-    """The whole shop written as CSV files and read again; parts and suppliers as side tables."""
+def csv_folder(spark: SparkSession, sf: str, unsound: Mapping[tuple[str, str], tuple[str, str]] = {}) -> str:
+    """The whole shop written as CSV files; parts and suppliers as side tables.
+
+    ``unsound`` maps (table, column) to a condition and the text that stands there instead.
+    """
     shop, folder = star_tables(spark, sf), work_folder(spark)
     sides = {"products": "part", "sellers": "supplier"}
     for table, columns in TABLE_COLUMNS.items():
@@ -80,8 +93,20 @@ def csv_tables(spark: SparkSession, sf: str) -> Tables:
             continue
         unknown = {c: F.lit(None).cast(t) for c, t in columns.items() if c not in frame.columns}
         frame = frame.withColumns(unknown) if unknown else frame
+        for (spoilt, column), (where, text) in unsound.items():
+            if spoilt == table:
+                frame = frame.withColumn(column, F.when(F.expr(where), text).otherwise(F.col(column).cast("string")))
         frame.write.option("header", True).csv(f"{folder}/{table}.csv")
-    return load_tables(spark, folder, "csv")
+    return folder
+
+
+def csv_tables(spark: SparkSession, sf: str) -> Tables:
+    return load_tables(spark, csv_folder(spark, sf), "csv")
+
+
+def unsound_intake(spark: SparkSession, sf: str) -> Intake:
+    """The shop as CSV files with planted records that do not parse, taken in."""
+    return load_sound(spark, csv_folder(spark, sf, UNSOUND), work_folder(spark))
 
 
 def dataset(spark: SparkSession, sf: str) -> DataFrame:
@@ -244,6 +269,15 @@ def q_decile_lift(spark: SparkSession, sf: str) -> DataFrame:
     return deciles.decile_lift(deciles.decile_counts(stored_test_scores(spark, sf)))
 
 
+def q_decile_lift_in_order(spark: SparkSession, sf: str) -> DataFrame:
+    """Scores of one digit, so that borders cut ties: these follow the customers' place in their file."""
+    placed = with_position(spark.read.parquet(f"{sf}/customer.parquet"))
+    test = test_scores(spark, sf).join(placed.select(F.col("c_name").alias(KEY), POSITION), KEY)
+    coarse = test.withColumn("operational_score", round_half_even(F.col("operational_score"), 1))
+    counts = deciles.decile_counts(stored(coarse, work_folder(spark), "placed_scores"), tie_order=POSITION)
+    return deciles.decile_lift(counts)
+
+
 def q_decile_table(spark: SparkSession, sf: str) -> DataFrame:
     return deciles.decile_table(q_decile_lift(spark, sf))
 
@@ -413,6 +447,12 @@ QUERIES: dict[str, Query] = {
     "payment_features": on_tables(features.payment_features, CFG),
     "snapshot_features": lambda s, d: features.finish_features(base(s, d, False), CFG),
     "snapshot_features_csv": lambda s, d: features.snapshot_features(csv_tables(s, d), CFG),
+    "intake_counts": lambda s, d: by_table(unsound_intake(s, d).counts),
+    "intake_records": lambda s, d: unsound_intake(s, d).rejected.groupBy("table_name").agg(
+        F.count("*").alias("records"),
+        F.count_if(F.expr("record RLIKE 'some day|12,50 or so|about|(?s)five.of five'")).alias("whole_records"),
+    ),
+    "snapshot_features_sound": lambda s, d: features.snapshot_features(unsound_intake(s, d).tables, CFG),
     # dataset, split, preprocessing
     "modeling_dataset": dataset,
     "split_quotas": lambda s, d: class_quotas(cohort(s, d), CFG),
@@ -455,6 +495,7 @@ QUERIES: dict[str, Query] = {
     "pr_curve_active": pr_query("pr_active"),
     "curve_downsample": lambda s, d: evaluation.downsampled_curves(stored_test_scores(s, d)),
     "decile_lift": q_decile_lift,
+    "decile_lift_in_order": q_decile_lift_in_order,
     "decile_table": q_decile_table,
     "metrics_tidy": q_metrics_tidy,
     # risk scoring

@@ -27,6 +27,8 @@ class SnapshotConfig:
     test_fraction: float = 0.20
     seed: int = 42
     review_fallback: float = 4.0
+    # A numeric column of orders, such as positions.with_position adds: "first" state and city then follow it.
+    order_position: str | None = None
 
     @property
     def target_end(self) -> datetime:

@@ -92,13 +92,17 @@ def customer_base(
     until = cfg.target_end if with_label else cfg.snapshot
     facts = _order_facts(tables, cfg, until, parts)
     measures = _measures(cfg, parts, with_label)
+    if with_place and cfg.order_position:
+        past = f"order_purchase_timestamp <= {ntz_text(cfg.snapshot)}"
+        measures.append(Measure("first_place", "min", f"if({past}, `{cfg.order_position}`, NULL)"))
     by_order = facts.groupBy("order_id", "customer_id").agg(
         *[F.expr(f"{m.within or m.fold}({m.value}) AS {m.name}") for m in measures]
     )
     by_account = by_order.groupBy("customer_id").agg(
         *[F.expr(f"{m.fold}({m.name}) AS {m.name}") for m in measures]
     )
-    place = [_first_known("customer_state"), _first_known("customer_city")] if with_place else []
+    first = "first_place" if cfg.order_position else "first_purchase"
+    place = [_first_known(c, first) for c in ("customer_state", "customer_city")] if with_place else []
     base = (
         by_account.join(_owners(tables, with_place), "customer_id")
         .groupBy("customer_unique_id")
@@ -168,6 +172,7 @@ def _order_facts(
         "order_purchase_timestamp",
         "order_delivered_customer_date",
         "order_estimated_delivery_date",
+        *([F.col(f"`{cfg.order_position}`")] if cfg.order_position else []),
     )
     facts = orders.join(_items_by_order(tables, ITEMS in parts), "order_id")
     if REVIEWS in parts:
@@ -211,10 +216,10 @@ def _owners(tables: Tables, with_place: bool) -> DataFrame:
     )
 
 
-def _first_known(column: str) -> Column:
-    """The value at the customer's earliest account that has one."""
-    known = f"{column} IS NOT NULL AND first_purchase IS NOT NULL"
-    order = f"if({known}, struct(first_purchase, customer_id), NULL)"
+def _first_known(column: str, first: str) -> Column:
+    """The value at the customer's account of the least ``first`` that has one."""
+    known = f"{column} IS NOT NULL AND {first} IS NOT NULL"
+    order = f"if({known}, struct({first}, customer_id), NULL)"
     return F.expr(f"min_by({column}, {order}) AS {column}")
 
 

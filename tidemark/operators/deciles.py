@@ -22,15 +22,21 @@ REPORT_COLUMNS = (
 TIE_HEX = 3  # a tie is split in up to 4,096 parts by the hash of the id
 
 
-def decile_counts(df: DataFrame, score: str = "operational_score", n_deciles: int = 10) -> DataFrame:
+def decile_counts(
+    df: DataFrame,
+    score: str = "operational_score",
+    n_deciles: int = 10,
+    tie_order: str | None = None,
+) -> DataFrame:
     """Customers and active customers per decile; decile 1 is the most active-looking.
 
     Distinct scores are placed by prefix totals. A tie that lies within one
     decile is counted as a whole. Only ties cut by a decile border, at most
-    ``n_deciles - 1`` of them, are ordered row by row, by md5 of the id.
+    ``n_deciles - 1`` of them, are ordered row by row: by ``tie_order``, a numeric column with
+    another value in every row, such as a position in the input, or else by md5 of the id.
     """
     rows = df.select(
-        F.col("customer_unique_id"),
+        F.col("customer_unique_id") if tie_order is None else F.col(tie_order).alias("_place"),
         (F.lit(1.0) - checked_score(score)).alias("propensity"),
         (1 - checked_label()).cast("long").alias("active"),
     )
@@ -52,7 +58,8 @@ def decile_counts(df: DataFrame, score: str = "operational_score", n_deciles: in
     whole = placed.where(~cut).select(
         F.col("first_decile").alias("decile_no"), "customers", "active_count"
     )
-    split = _split_ties(rows, placed.where(cut), n_deciles)
+    splitter = _split_ties if tie_order is None else _split_ties_in_order
+    split = splitter(rows, placed.where(cut), n_deciles)
     return (
         whole.unionByName(split)
         .groupBy("decile_no")
@@ -125,3 +132,18 @@ def _split_ties(rows: DataFrame, cut: DataFrame, n_deciles: int) -> DataFrame:
         ranked.groupBy(_decile(F.col("_rank"), F.col("customers_total"), n_deciles).alias("decile_no"))
         .agg(F.count("*").alias("customers"), F.sum("active").alias("active_count"))
     )
+
+
+def _split_ties_in_order(rows: DataFrame, cut: DataFrame, n_deciles: int) -> DataFrame:
+    """Decile counts of the ties that a border cuts, ordered by ``_place``.
+
+    Places run through prefix totals, one order per tie, so a tie of any size is spread.
+    """
+    few = cut.select("propensity", "ahead", "customers_total")
+    # At most n_deciles - 1 ties contain a border.
+    tied = rows.join(F.broadcast(few), "propensity").withColumn("_one", F.lit(1).cast("long"))
+    within = ordered_prefix(tied, "_place", ["_one"], by=["propensity"])
+    rank = F.col("ahead") + F.col("_one_before") + 1
+    return within.groupBy(_decile(rank, F.col("customers_total"), n_deciles).alias("decile_no")).agg(
+        F.count("*").alias("customers"), F.sum("active").alias("active_count")
+    )

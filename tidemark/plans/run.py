@@ -104,7 +104,7 @@ def _run(
         test.unpersist()
 
     scored_path = f"{out_dir}/scored_customers"
-    writers.write_table(scored_customers(scored_raw, cfg), scored_path)
+    writers.write_lookup_table(scored_customers(scored_raw, cfg), scored_path, KEY)
     scored = spark.read.parquet(scored_path)
     high_risk = high_risk_customers(scored, cfg)
     writers.write_high_risk_csv(high_risk, f"{out_dir}/high_risk_customers")

@@ -15,6 +15,20 @@ def write_table(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
 
+def write_lookup_table(df: DataFrame, path: str, key: str, row_group_bytes: int | None = None) -> None:
+    """A result table that is looked up by ``key``, as Parquet, replacing an earlier run.
+
+    Rows are sorted within their partitions, which moves none, so that row groups cover narrow
+    ranges of keys; a Bloom filter in each tells the others apart. A lookup of one key then reads
+    about one row group, however many files there are.
+    """
+    writer = df.sortWithinPartitions(key).write.mode("overwrite")
+    writer = writer.option(f"parquet.bloom.filter.enabled#{key}", True)
+    if row_group_bytes is not None:
+        writer = writer.option("parquet.block.size", row_group_bytes)
+    writer.parquet(path)
+
+
 def write_high_risk_csv(high_risk: DataFrame, path: str, single_file: bool = False) -> None:
     """The sorted list as CSV with a header; part files follow the sort order.
 

@@ -100,7 +100,22 @@ def load_results(spark: SparkSession, out_dir: str) -> tuple[dict, DataFrame, Da
     )
 
 
-def _read_csv(spark: SparkSession, table: str, path: str, columns: Mapping[str, str]) -> DataFrame:
+def read_permissive(spark: SparkSession, table: str, path: str, rejected: str) -> DataFrame:
+    """A CSV table with the text of each record that does not parse in ``rejected``, null elsewhere.
+
+    Read all columns together, as by writing them: a record only counts as unsound by the columns read.
+    """
+    columns = TABLE_COLUMNS[table]
+    frame = _read_csv(spark, table, path, columns, rejected)
+    missing = [c for c in columns if c not in frame.columns]
+    if missing:
+        raise ValueError(f"table {table!r} at {path} lacks columns {missing}")
+    return frame
+
+
+def _read_csv(
+    spark: SparkSession, table: str, path: str, columns: Mapping[str, str], rejected: str | None = None
+) -> DataFrame:
     reader = (
         spark.read.option("header", True)
         .option("quote", '"')
@@ -109,9 +124,10 @@ def _read_csv(spark: SparkSession, table: str, path: str, columns: Mapping[str,
     )
     header = reader.csv(path).columns
     schema = ", ".join(f"`{c}` {columns.get(c, 'string')}" for c in header)
-    return (
-        reader.schema(schema)
-        .option("enforceSchema", False)
-        .option("mode", "FAILFAST")
-        .csv(path)
-    )
+    reader = reader.option("enforceSchema", False)
+    if rejected is None:
+        return reader.schema(schema).option("mode", "FAILFAST").csv(path)
+    if rejected in header:
+        raise ValueError(f"table {table!r} at {path} has a column {rejected!r} of its own")
+    reader = reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", rejected)
+    return reader.schema(f"{schema}, `{rejected}` string").csv(path)
