@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pytest
 
+from tidemark.llm import near_dedup
 from tidemark.llm.near_dedup import Threshold, drop_near_duplicates, likely_similarity, near_duplicates, shingle_sets, sketches
 
 SCHEMA = "doc_id long, text string, component_id long, _digest string"
@@ -124,3 +125,35 @@ def test_registers_merge_and_estimate_similarity():
         r = sketches([np.sort(x ^ salt), np.sort(y ^ salt)])
         errors.append(likely_similarity(r[:1], r[1:], np.array([len(x)]), np.array([len(y)]))[0] - true)
     assert abs(np.mean(errors)) < 0.02 and np.max(np.abs(errors)) < 0.12
+
+
+def test_what_other_leaders_connect_meets_no_more(spark):
+    """A group whose nodes are connected by links to several leaders is not paired again."""
+    linked = [(0, k, k, 0.1, True) for k in range(2, 302)] + [(1, k, k, 0.1, True) for k in range(301, 602)]
+    apart = [(0, k, k, 0.4, False) for k in range(302, 602)]
+    lone = [(0, 700, 700, 0.5, False)]
+    types = "leader long, node long, part long, distance double, linked boolean"
+    for rows, most in ((linked + apart, 0), (linked + apart + lone, 700)):
+        stars = spark.createDataFrame(rows, types)
+        labels = spark.createDataFrame([(k, 0) for k in range(602)], "node long, label long")
+        met = near_dedup._meetings(stars, labels)
+        assert met.count() <= most
+        assert {r.node for r in met.collect()} == (set(range(2, 602)) | {700} if most else set())
+
+
+def near_copies(seed, n):
+    """Copies of one text with up to 30 of 150 words changed, so that many are linked only by others."""
+    rng = random.Random(seed)
+    base = [f"w{rng.randrange(3000)}" for _ in range(150)]
+    rows = []
+    for doc_id in rng.sample(range(10_000), n):
+        start, edits = rng.randrange(150), rng.randrange(31)
+        copy = [f"v{rng.randrange(3000)}" if (k - start) % 150 < edits else w for k, w in enumerate(base)]
+        rows.append((doc_id, " ".join(copy)))
+    return rows
+
+
+@pytest.mark.parametrize(("seed", "over"), [(3, 85), (4, 80)])
+def test_large_group_of_near_copies_equals_brute_force(spark, seed, over):
+    rows = near_copies(seed, 300)
+    assert found(spark, rows, over) == brute(rows, over)

@@ -13,14 +13,15 @@ the sets are similar.
 2. Runs of registers make band keys. Each bucket elects its least node as leader, so
    a bucket of n nodes gives n - 1 rows, never all pairs. Two nodes of one bucket share
    its leader: all candidate pairs lie within the leaders' groups.
-3. Each set is compared with its leader's, in blocks. What is linked to the leader is
-   connected; a node that is not must still meet all others of the group. Blocks of
-   such nodes meet each other and the blocks of linked ones, two at a time in a task of
+3. Each set is compared with its leader's, in blocks. The links so found, of all leaders,
+   give classes; what they connect needs no further look. In a group of several classes the
+   nodes outside its largest one, the free ones, must still meet all others: their blocks meet
+   each other and the blocks of the largest class, two at a time in a task of
    bounded size. A pair is verified on its full sets unless it is already connected, its
    sizes or its distances to the leader (Jaccard distance is a metric) exclude a link, or
    the joint likelihood of the registers puts the similarity ``MARGIN`` below the
    threshold. A task returns links only, at most one less than its rows.
-4. Connected components of the links.
+4. Connected components of the classes by these links.
 
 No candidate is capped. A link at the threshold itself is missed by all bands with a
 chance of at most ``MAX_MISS``; more similar ones with less.
@@ -318,26 +319,36 @@ def leader_distances(groups: DataFrame, sets: DataFrame, threshold: Threshold) -
     )
 
 
-def _meetings(stars: DataFrame) -> DataFrame:
-    """(leader, kind, i, j, side, node, part, distance): blocks of which each two meet once.
+def _classed(nodes: DataFrame, labels: DataFrame, node: str, name: str) -> DataFrame:
+    """``nodes`` with the class of ``node``: its label, or itself where no link holds it."""
+    known = labels.select(F.col("node").alias(node), F.col("label").alias(name))
+    return nodes.join(known, node, "left").withColumn(name, F.coalesce(name, node))
 
-    Kind 0: two blocks of nodes without a link to the leader; kind 1: one of them (side 0)
-    and one of linked nodes (side 1). A lone node has nothing to meet.
+
+def _meetings(stars: DataFrame, labels: DataFrame) -> DataFrame:
+    """(leader, kind, i, j, side, node, part, distance, class): blocks of which each two meet once.
+
+    Free nodes are those outside the group's largest class. Kind 0: two blocks of free nodes;
+    kind 1: one of them (side 0) and one of the largest class (side 1). A group of one class
+    has nothing to meet.
     """
-    free_count = F.count_if(~F.col("linked"))
-    counts = stars.groupBy("leader").agg(free_count.alias("_free"), F.count("*").alias("_all"))
-    blocks = counts.where("_free > 0 AND _all > 1").select(
-        "leader", _blocks(F.col("_free")).alias("_f"), _blocks(F.col("_all") - F.col("_free")).alias("_l")
+    classed = _classed(stars.drop("linked"), labels, "node", "class")
+    sizes = classed.groupBy("leader", "class").agg(F.count("*").alias("_n"))
+    largest = sizes.groupBy("leader").agg(F.max(F.struct("_n", "class")).alias("_top"), F.sum("_n").alias("_all"))
+    blocks = largest.where("_top._n < _all").select(
+        "leader",
+        F.col("_top.class").alias("_top"),
+        _blocks(F.col("_all") - F.col("_top._n")).alias("_f"),
+        _blocks(F.col("_top._n")).alias("_l"),
     )
-    sized = stars.join(blocks, "leader")
-    free = sized.where("NOT linked").withColumn("own", _block(F.col("_f")))
-    tied = sized.where("linked").withColumn("own", _block(F.col("_l")))
+    sized = classed.join(blocks, "leader")
+    free = sized.where("class <> _top").withColumn("own", _block(F.col("_f")))
+    tied = sized.where("class = _top").withColumn("own", _block(F.col("_l")))
 
     def meet(rows: DataFrame, kind: int, others: str, i: F.Column, j: F.Column, side: F.Column) -> DataFrame:
-        every = F.explode(F.when(F.col(others) > 0, F.sequence(F.lit(0), F.col(others) - 1)))
-        return rows.withColumn("_o", every).select(
-            "leader", F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"), side.alias("side"), "node", "part", "distance"
-        )
+        every = F.explode(F.sequence(F.lit(0), F.col(others) - 1))
+        meeting = [F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"), side.alias("side")]
+        return rows.withColumn("_o", every).select("leader", *meeting, "node", "part", "distance", "class")
 
     own, other = F.col("own"), F.col("_o")
     among = meet(free, 0, "_f", F.least(own, other), F.greatest(own, other), own)
@@ -371,7 +382,7 @@ def _common(a: np.ndarray, b: np.ndarray) -> int:
 
 
 def meeting_links(
-    kind: int,
+    classes: list[int],
     sides: np.ndarray,
     sets: list[np.ndarray],
     registers: np.ndarray,
@@ -382,10 +393,9 @@ def meeting_links(
     sizes = np.array([len(s) for s in sets], dtype=float)
     blocks = np.unique(sides)
     forest, links = _Forest(len(sets)), []
-    if kind:  # nodes linked to the leader are connected already
-        tied = np.flatnonzero(sides == 1).tolist()
-        for k in tied[1:]:
-            forest.union(tied[0], k)
+    first_of: dict[int, int] = {}
+    for k, own in enumerate(classes):  # nodes of one class are connected already
+        forest.union(first_of.setdefault(own, k), k)
     first, second = np.flatnonzero(sides == blocks[0]), np.flatnonzero(sides == blocks[-1])
     x, y = (part.ravel() for part in np.meshgrid(first, second, indexing="ij"))
     close = np.minimum(sizes[x], sizes[y]) >= (threshold.value - 1e-9) * np.maximum(sizes[x], sizes[y])
@@ -407,22 +417,24 @@ def meeting_links(
     return links
 
 
-def _met(stars: DataFrame, sets: DataFrame, threshold: Threshold) -> DataFrame:
+def _met(stars: DataFrame, labels: DataFrame, sets: DataFrame, threshold: Threshold) -> DataFrame:
+    """(a, b): classes that the links found in meetings connect."""
+
     def verify(table: pa.Table) -> pa.Table:
-        nodes = table.column("node").to_pylist()
+        classes = table.column("class").to_pylist()
         registers = np.frombuffer(b"".join(table.column("sketch").to_pylist()), dtype=np.uint8)
         links = meeting_links(
-            table.column("kind")[0].as_py(),
+            classes,
             table.column("side").to_numpy(),
             _sets_in(table.column("shingles")),
             registers.reshape(-1, SLOTS),
             np.array([np.nan if d is None else d for d in table.column("distance").to_pylist()]),
             threshold,
         )
-        ends = ([nodes[x] for x, _ in links], [nodes[y] for _, y in links])
+        ends = ([classes[x] for x, _ in links], [classes[y] for _, y in links])
         return pa.table([pa.array(e, pa.int64()) for e in ends], names=["a", "b"])
 
-    met = _meetings(stars).join(sets, ["node", "part"])
+    met = _meetings(stars, labels).join(sets, ["node", "part"])
     return met.groupBy("leader", "kind", "i", "j").applyInArrow(verify, "a long, b long")
 
 
@@ -439,15 +451,14 @@ def near_duplicates(docs: DataFrame, threshold: Threshold = Threshold()) -> Data
     sets = stored(_fetched(docs, groups), folder, "sets")
     stars = stored(leader_distances(groups, sets, threshold), folder, "stars")
     edges = stars.where("linked").select(F.col("leader").alias("a"), F.col("node").alias("b"))
-    edges = edges.union(_met(stars, sets, threshold))
     # Equal ids are one document: the nodes of all its texts are linked.
     held = filled.select("doc_id", "digest").join(named, "digest").select("doc_id", "node").distinct()
     several = held.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("_last")).where("a < _last")
     same = held.join(several, "doc_id").select("a", F.col("node").alias("b"))
-    labels = component_labels(edges.union(same), folder)
-    classes = named.join(labels, "node", "left").select(
-        "digest", F.coalesce("label", "node").alias("component_id")
-    )
+    labels = component_labels(edges.union(same), f"{folder}/by-leader")
+    joined = component_labels(_met(stars, labels, sets, threshold), f"{folder}/by-meeting")
+    classes = _classed(_classed(named, labels, "node", "class"), joined, "class", "component_id")
+    classes = classes.select("digest", "component_id")
     result = sketched.withColumn("_digest", F.expr("IF(n_shingles > 0 AND doc_id IS NOT NULL, digest, NULL)"))
     return (
         result.select("doc_id", "n_shingles", "_digest")
