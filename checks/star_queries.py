@@ -446,13 +446,15 @@ QUERIES: dict[str, Query] = {
     "logistics_features": on_tables(features.logistics_features, CFG),
     "payment_features": on_tables(features.payment_features, CFG),
     "snapshot_features": lambda s, d: features.finish_features(base(s, d, False), CFG),
-    "snapshot_features_csv": lambda s, d: features.snapshot_features(csv_tables(s, d), CFG),
+    "snapshot_features_csv": lambda s, d: features.snapshot_features(csv_tables(s, d), CFG, folder=work_folder(s)),
     "intake_counts": lambda s, d: by_table(unsound_intake(s, d).counts),
     "intake_records": lambda s, d: unsound_intake(s, d).rejected.groupBy("table_name").agg(
         F.count("*").alias("records"),
         F.count_if(F.expr("record RLIKE 'some day|12,50 or so|about|(?s)five.of five'")).alias("whole_records"),
     ),
-    "snapshot_features_sound": lambda s, d: features.snapshot_features(unsound_intake(s, d).tables, CFG),
+    "snapshot_features_sound": lambda s, d: features.snapshot_features(
+        unsound_intake(s, d).tables, CFG, folder=work_folder(s)
+    ),
     # dataset, split, preprocessing
     "modeling_dataset": dataset,
     "split_quotas": lambda s, d: class_quotas(cohort(s, d), CFG),

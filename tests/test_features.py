@@ -20,6 +20,27 @@ from tidemark.operators.features import feature_base
 from tidemark.sources.star_schema import STAR_CONFIG, star_tables
 
 
+def stored_shop(spark, rows=40):
+    """A small shop in files, so that plans tell what they read."""
+    t = shop(
+        spark,
+        orders=[order(f"o{k}", f"c{k}", days_ago(k + 1)) for k in range(rows)],
+        customers=[(f"c{k}", f"u{k % 30}", "SP", "x") for k in range(rows)],
+        items=[item(f"o{k}", product=f"p{k % 7}") for k in range(rows)],
+        reviews=[(f"o{k}", 1 + k % 5, days_ago(1)) for k in range(0, rows, 3)],
+    )
+    folder = work_folder(spark)
+    names = ("orders", "customers", "order_items", "payments", "reviews")
+    return replace(t, **{n: stored(getattr(t, n), folder, n) for n in names})
+
+
+def test_features_and_median_read_the_tables_once(spark):
+    t, folder = stored_shop(spark), work_folder(spark)
+    made = snapshot_features(t, CFG, folder=folder)
+    assert made.inputFiles() and all(f"{folder}/feature_base" in f for f in made.inputFiles())
+    assert sorted(map(repr, made.collect())) == sorted(map(repr, snapshot_features(t, CFG).collect()))
+
+
 def one_order(spark, **tables):
     base = {
         "orders": [order("o1", "c1", days_ago(10))],

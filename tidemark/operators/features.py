@@ -16,6 +16,7 @@ from tidemark.operators.customer_base import (
     customer_base,
     distinct_products,
 )
+from tidemark.plans.work import stored
 from tidemark.sources.tables import Tables
 
 # The model inputs, in their published order.
@@ -81,15 +82,18 @@ def snapshot_features(
     cfg: SnapshotConfig,
     review_median: float | None = None,
     with_label: bool = False,
+    folder: str | None = None,
 ) -> DataFrame:
     """The full feature table, one row per eligible customer.
 
     ``review_median`` fills missing review averages; by default the exact median
-    of all customers' averages is computed in the same query.
+    of all customers' averages is computed in the same query, by a second pass over the
+    tables. With a shared ``folder`` the totals are stored there once, and both read them.
     """
-    return finish_features(
-        feature_base(tables, cfg, with_label), cfg, review_median, _review_base(tables, cfg)
-    )
+    base = feature_base(tables, cfg, with_label)
+    if folder is not None and review_median is None:
+        return finish_features(stored(base, folder, "feature_base"), cfg)
+    return finish_features(base, cfg, review_median, _review_base(tables, cfg))
 
 
 def feature_base(tables: Tables, cfg: SnapshotConfig, with_label: bool = False) -> DataFrame:
