@@ -420,7 +420,7 @@ def q_run_audits(spark: SparkSession, sf: str) -> DataFrame:
 def q_leakage_audit(spark: SparkSession, sf: str) -> DataFrame:
     t = star_tables(spark, sf)
     made = stored(features.finish_features(base(spark, sf, False), CFG), work_folder(spark), "made")
-    return audits.leakage_audit(t, made, CFG)
+    return audits.leakage_audit(t, made, CFG, folder=work_folder(spark))
 
 
 def q_target_audit(spark: SparkSession, sf: str) -> DataFrame:

@@ -1,3 +1,4 @@
+from dataclasses import replace
 from datetime import timedelta
 
 from pyspark.sql import functions as F
@@ -6,6 +7,7 @@ from shop import CFG, SNAP, days_ago, item, order, shop
 from tidemark.operators.features import snapshot_features
 from tidemark.operators.labels import cohort_labels
 from tidemark.plans.audits import as_of, leakage_audit, target_audit
+from tidemark.plans.work import stored, work_folder
 
 
 def tables(spark):
@@ -33,6 +35,14 @@ def test_sound_features_break_nothing(spark):
     assert as_of(t, CFG).orders.count() == 2 and as_of(t, CFG).reviews.count() == 1
 
 
+def test_tables_as_of_the_snapshot_are_read_once(spark):
+    t, folder = tables(spark), work_folder(spark)
+    kept = replace(t, reviews=stored(t.reviews, f"{folder}/shop", "reviews"))
+    audit = leakage_audit(kept, snapshot_features(t, CFG), CFG, folder=folder)
+    read = audit.inputFiles()
+    assert read and all(f"{folder}/as_of/feature_base" in f for f in read) and found(audit) == {}
+
+
 def test_each_leak_is_found(spark):
     t = tables(spark)
     good = snapshot_features(t, CFG)

@@ -38,14 +38,16 @@ def leakage_audit(
     features: DataFrame,
     cfg: SnapshotConfig,
     review_median: float | None = None,
+    folder: str | None = None,
 ) -> DataFrame:
     """Nothing after the snapshot reaches the features.
 
     The feature table (stored; any columns of ``snapshot_features``, with
     ``frequency_orders`` and ``review_count``) is held against the one that the tables as of the
-    snapshot give. Pass the ``review_median`` it was made with, if any.
+    snapshot give. Pass the ``review_median`` it was made with, if any. With a shared
+    ``folder`` their totals are stored there, so that the tables are read once.
     """
-    expected = snapshot_features(as_of(tables, cfg), cfg, review_median)
+    expected = snapshot_features(as_of(tables, cfg), cfg, review_median, folder=folder and f"{folder}/as_of")
     shared = [c for c in expected.columns if c in features.columns and c != KEY]
     made = features.select(KEY, F.struct(*shared).alias("made"))
     both = made.join(expected.select(KEY, F.struct(*shared).alias("expected")), KEY, "full")

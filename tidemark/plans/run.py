@@ -125,7 +125,7 @@ def _audits(
     """Every check of the run's own results, written and read back."""
     broken = [(name, 1) for name in metric_checks(document)]
     checks = (
-        leakage_audit(tables, dataset, cfg)
+        leakage_audit(tables, dataset, cfg, folder=folder)
         .unionByName(target_audit(cohort_labels(tables, cfg), dataset))
         .unionByName(scoring_audit(scored, high_risk, cfg))
         .unionByName(spark.createDataFrame(broken, "check_name string, violations long"))
