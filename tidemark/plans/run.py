@@ -108,7 +108,7 @@ def _run(
     scored = spark.read.parquet(scored_path)
     high_risk = high_risk_customers(scored, cfg)
     writers.write_high_risk_csv(high_risk, f"{out_dir}/high_risk_customers")
-    audits = _audits(spark, tables, dataset, scored, high_risk, document, out_dir, cfg) if audit else None
+    audits = _audits(spark, tables, dataset, scored, high_risk, document, out_dir, cfg, folder) if audit else None
     return RunResult(dataset, scored, tier_summary(scored), document, audits)
 
 
@@ -121,6 +121,7 @@ def _audits(
     document: dict,
     out_dir: str,
     cfg: SnapshotConfig,
+    folder: str,
 ) -> DataFrame:
     """Every check of the run's own results, written and read back."""
     broken = [(name, 1) for name in metric_checks(document)]
