@@ -157,3 +157,36 @@ def near_copies(seed, n):
 def test_large_group_of_near_copies_equals_brute_force(spark, seed, over):
     rows = near_copies(seed, 300)
     assert found(spark, rows, over) == brute(rows, over)
+
+
+def test_what_meets_under_a_smaller_leader_meets_once(spark):
+    """Unlinked nodes that several leaders share meet in the group of the least one only."""
+    rows = [(leader, k, k, 0.4, False) for leader in (0, 1, 2) for k in range(3, 303)] + [(2, 400, 400, 0.4, False)]
+    stars = spark.createDataFrame(rows, "leader long, node long, part long, distance double, linked boolean")
+    met = near_dedup._meetings(stars, spark.createDataFrame([], "node long, label long")).collect()
+    assert {r.node for r in met if r.leader == 0} == set(range(3, 303))
+    assert not [r for r in met if r.leader == 1]
+    across = [r for r in met if r.leader == 2 and r.kind == 1]
+    assert {r.node for r in across if r.side == 0} == {400} and {r.node for r in across if r.side == 1} == set(range(3, 303))
+    assert len(met) <= 3 * 303
+
+
+def test_blocks_of_a_meeting_hold_few_shingles(spark):
+    rows = [(0, k, k, 0.4, False, near_dedup.MEETING_SHINGLES // 8) for k in range(1, 41)]
+    types = "leader long, node long, part long, distance double, linked boolean, n_shingles long"
+    none = spark.createDataFrame([], "node long, label long")
+    met = near_dedup._meetings(spark.createDataFrame(rows, types), none, "n_shingles").collect()
+    held = {}
+    for r in met:
+        held.setdefault((r.kind, r.i, r.j, r.side), set()).add(r.node)
+    assert len({r.side for r in met if r.kind == 0}) >= 4 and max(map(len, held.values())) <= 20
+    together = {frozenset((a, b)) for r in held for t in held if r[:3] == t[:3] for a in held[r] for b in held[t] if a != b}
+    assert len(together) == 40 * 39 // 2
+
+
+@pytest.mark.parametrize("nodes", [7, 512])
+def test_blocks_of_any_size_give_the_same_classes(spark, monkeypatch, nodes):
+    monkeypatch.setattr(near_dedup, "MEETING_NODES", nodes)
+    monkeypatch.setattr(near_dedup, "PAIRS_AT_ONCE", 50)
+    rows = near_copies(5, 250)
+    assert found(spark, rows, 80) == brute(rows, 80)

@@ -14,9 +14,10 @@ the sets are similar.
    a bucket of n nodes gives n - 1 rows, never all pairs. Two nodes of one bucket share
    its leader: all candidate pairs lie within the leaders' groups.
 3. Each set is compared with its leader's, in blocks. The links so found, of all leaders,
-   give classes; what they connect needs no further look. In a group of several classes the
-   nodes outside its largest one, the free ones, must still meet all others: their blocks meet
-   each other and the blocks of the largest class, two at a time in a task of
+   give classes; what they connect needs no further look, nor do nodes that meet in the group
+   of a smaller leader already. The largest part of a group that is settled in one of these
+   ways stays apart; the nodes outside it, the free ones, must still meet all others: their
+   blocks meet each other and the blocks of that part, two at a time in a task of
    bounded size. A pair is verified on its full sets unless it is already connected, its
    sizes or its distances to the leader (Jaccard distance is a metric) exclude a link, or
    the joint likelihood of the registers puts the similarity ``MARGIN`` below the
@@ -56,6 +57,9 @@ MAX_MISS = 2e-6
 MARGIN = 0.12
 SLICE_BYTES = 1 << 22
 BLOCK_NODES = 64
+MEETING_NODES = 512  # of one block
+MEETING_SHINGLES = 1 << 19  # of one block, 8 bytes each
+PAIRS_AT_ONCE = 1 << 14
 BROADCAST_IDS = 1 << 21
 
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -276,6 +280,10 @@ def _blocks(count: F.Column) -> F.Column:
     return F.ceil(count / BLOCK_NODES).cast("int")
 
 
+def _meeting_blocks(count: F.Column, shingles: F.Column) -> F.Column:
+    return F.ceil(F.greatest(count / MEETING_NODES, shingles / MEETING_SHINGLES)).cast("int")
+
+
 def _block(blocks: F.Column) -> F.Column:
     return F.pmod(F.xxhash64("node", "part"), blocks).cast("int")
 
@@ -285,7 +293,7 @@ def _sets_in(column: pa.ChunkedArray) -> list[np.ndarray]:
 
 
 def leader_distances(groups: DataFrame, sets: DataFrame, threshold: Threshold) -> DataFrame:
-    """(leader, node, part, distance, linked): each set against its leader's, in blocks.
+    """(leader, node, part, distance, linked, n_shingles): each set against its leader's, in blocks.
 
     A leader with several sets has no distance of its own: it is null, and the link the best.
     """
@@ -307,15 +315,16 @@ def leader_distances(groups: DataFrame, sets: DataFrame, threshold: Threshold) -
                 commons = [(_common(h, found[k]), len(h), len(found[k])) for h in heads]
                 common, x, y = commons[0]
                 distance = 1 - common / (x + y - common) if len(heads) == 1 else None
-                rows.append((leader, node, keys[k], distance, any(threshold.links(*c) for c in commons)))
-        types = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.bool_())
-        columns = zip(*rows) if rows else ([],) * 5
+                rows.append((leader, node, keys[k], distance, any(threshold.links(*c) for c in commons), y))
+        types = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.bool_(), pa.int64())
+        columns = zip(*rows) if rows else ([],) * 6
         return pa.table(
-            [pa.array(c, t) for c, t in zip(columns, types)], names=["leader", "node", "part", "distance", "linked"]
+            [pa.array(c, t) for c, t in zip(columns, types)],
+            names=["leader", "node", "part", "distance", "linked", "n_shingles"],
         )
 
     return rows.groupBy("leader", "block").applyInArrow(
-        compare, "leader long, node long, part long, distance double, linked boolean"
+        compare, "leader long, node long, part long, distance double, linked boolean, n_shingles long"
     )
 
 
@@ -325,25 +334,40 @@ def _classed(nodes: DataFrame, labels: DataFrame, node: str, name: str) -> DataF
     return nodes.join(known, node, "left").withColumn(name, F.coalesce(name, node))
 
 
-def _meetings(stars: DataFrame, labels: DataFrame) -> DataFrame:
+def _meetings(stars: DataFrame, labels: DataFrame, size: str = "0") -> DataFrame:
     """(leader, kind, i, j, side, node, part, distance, class): blocks of which each two meet once.
 
-    Free nodes are those outside the group's largest class. Kind 0: two blocks of free nodes;
-    kind 1: one of them (side 0) and one of the largest class (side 1). A group of one class
-    has nothing to meet.
+    A node's home is its least leader. Nodes of one class are connected, and nodes of one home
+    below the leader meet there, if anywhere. Free nodes are those outside the largest class or home of the group.
+    Kind 0: two blocks of free nodes; kind 1: one of them (side 0) and one of the others (side 1). A
+    group of one class or home has nothing to meet. ``size`` is the number of a node's shingles.
     """
-    classed = _classed(stars.drop("linked"), labels, "node", "class")
-    sizes = classed.groupBy("leader", "class").agg(F.count("*").alias("_n"))
-    largest = sizes.groupBy("leader").agg(F.max(F.struct("_n", "class")).alias("_top"), F.sum("_n").alias("_all"))
+    homes = stars.groupBy("node").agg(F.min("leader").alias("_home"))
+    classed = _classed(stars.drop("linked"), labels, "node", "class").withColumn("_size", F.expr(size))
+    classed = classed.join(homes, "node").withColumn("_home", F.expr("IF(_home < leader, _home, NULL)"))
+    settled = [
+        classed.where(f"{of} IS NOT NULL")
+        .groupBy("leader", F.lit(by).alias("_by"), F.col(of).alias("_of"))
+        .agg(F.count("*").alias("_n"), F.sum("_size").alias("_held"))
+        for by, of in (("class", "class"), ("home", "_home"))
+    ]
+    largest = settled[0].unionByName(settled[1]).groupBy("leader").agg(
+        F.max(F.struct("_n", "_by", "_of", "_held")).alias("_top"),
+        F.sum(F.expr("IF(_by = 'class', _n, 0)")).alias("_all"),
+        F.sum(F.expr("IF(_by = 'class', _held, 0)")).alias("_whole"),
+    )
     blocks = largest.where("_top._n < _all").select(
         "leader",
-        F.col("_top.class").alias("_top"),
-        _blocks(F.col("_all") - F.col("_top._n")).alias("_f"),
-        _blocks(F.col("_top._n")).alias("_l"),
+        F.col("_top._by").alias("_by"),
+        F.col("_top._of").alias("_of"),
+        _meeting_blocks(F.col("_all") - F.col("_top._n"), F.col("_whole") - F.col("_top._held")).alias("_f"),
+        _meeting_blocks(F.col("_top._n"), F.col("_top._held")).alias("_l"),
     )
-    sized = classed.join(blocks, "leader")
-    free = sized.where("class <> _top").withColumn("own", _block(F.col("_f")))
-    tied = sized.where("class = _top").withColumn("own", _block(F.col("_l")))
+    sized = classed.join(blocks, "leader").withColumn(
+        "_tied", F.expr("coalesce(IF(_by = 'class', class, _home) = _of, false)")
+    )
+    free = sized.where("NOT _tied").withColumn("own", _block(F.col("_f")))
+    tied = sized.where("_tied").withColumn("own", _block(F.col("_l")))
 
     def meet(rows: DataFrame, kind: int, others: str, i: F.Column, j: F.Column, side: F.Column) -> DataFrame:
         every = F.explode(F.sequence(F.lit(0), F.col(others) - 1))
@@ -404,10 +428,13 @@ def meeting_links(
     x, y = x[close], y[close]
     if not len(x):
         return links
-    likely = likely_similarity(registers[x], registers[y], sizes[x], sizes[y])
+    runs = [slice(k, k + PAIRS_AT_ONCE) for k in range(0, len(x), PAIRS_AT_ONCE)]
+    likely = np.concatenate(
+        [likely_similarity(registers[x[r]], registers[y[r]], sizes[x[r]], sizes[y[r]]) for r in runs]
+    )
+    near = likely >= threshold.value - MARGIN
+    x, y, likely = x[near], y[near], likely[near]
     for k in np.argsort(-likely, kind="stable").tolist():
-        if likely[k] < threshold.value - MARGIN:
-            break
         a, b = int(x[k]), int(y[k])
         if forest.find(a) != forest.find(b):
             common = _common(sets[a], sets[b])
@@ -434,7 +461,7 @@ def _met(stars: DataFrame, labels: DataFrame, sets: DataFrame, threshold: Thresh
         ends = ([classes[x] for x, _ in links], [classes[y] for _, y in links])
         return pa.table([pa.array(e, pa.int64()) for e in ends], names=["a", "b"])
 
-    met = _meetings(stars, labels).join(sets, ["node", "part"])
+    met = _meetings(stars, labels, "n_shingles").join(sets, ["node", "part"])
     return met.groupBy("leader", "kind", "i", "j").applyInArrow(verify, "a long, b long")
 
 
