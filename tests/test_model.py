@@ -1,3 +1,4 @@
+import threading
 from dataclasses import replace
 
 import numpy as np
@@ -14,6 +15,7 @@ from tidemark.operators.preprocess import (
     state_levels,
 )
 from tidemark.operators.scorecard import score
+from tidemark.plans import training
 from tidemark.plans.training import (
     VECTOR,
     by_odds_ratio,
@@ -196,3 +198,25 @@ def test_one_pass_gives_all_that_precedes_the_fits(spark, monkeypatch):
         preprocess.fit_summary(df)
     empty = preprocess.fit_summary(df.where("false"))
     assert empty.weights() == {} and preprocess.preprocessor_of(empty).state_levels == ()
+
+
+@pytest.mark.parametrize(("rows", "partitions"), [(100_000, 1), (100, 6)])
+def test_fits_run_side_by_side_over_partitions_that_follow_the_rows(train, models, monkeypatch, rows, partitions):
+    seen, both, real = [], threading.Barrier(2, timeout=120), training._logistic
+
+    class Watched:
+        def __init__(self, *args):
+            self.estimator = real(*args)
+
+        def fit(self, frame):
+            seen.append(frame.rdd.getNumPartitions())
+            both.wait()
+            return self.estimator.fit(frame)
+
+    monkeypatch.setattr(training, "FIT_ROWS", rows, raising=False)
+    monkeypatch.setattr(training, "_logistic", Watched)
+    again = train_models(train[0].repartition(8))
+    assert seen == [partitions] * 2
+    for name in ("operational", "calibrated"):
+        was, now = (getattr(m, name).stages[-1].coefficients.toArray() for m in (models, again))
+        np.testing.assert_allclose(now, was, atol=2e-5)

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from multiprocessing.pool import ThreadPool
 
-from pyspark import StorageLevel
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
@@ -25,6 +26,7 @@ INVERSE_PENALTY = 1.0  # the C of the usual "C * loss + |b|^2 / 2" objective
 MAX_ITERATIONS = 1000
 TOLERANCE = 1e-8
 VECTOR = "model_vector"
+FIT_ROWS = 100_000  # of a task of the fits, about 20 MB of vectors
 
 
 @dataclass(frozen=True)
@@ -45,20 +47,27 @@ def train_models(train: DataFrame) -> TrainedModels:
     """Fit both models on a labelled feature frame.
 
     One pass over the rows gives all that precedes the fits. These share one cached frame of vectors. It is cached, not
-    checkpointed: a lost block is recomputed from the stored features.
+    checkpointed: a lost block is recomputed from the stored features. The fits run side by side: each is a chain of
+    short jobs, and the cores that one leaves idle between its jobs serve the other. Every iteration is a job over all
+    partitions, so that their number follows the rows, not the files.
     """
     summary = fit_summary(train)
     prep, weights = preprocessor_of(summary), summary.weights()
     weight = F.when(F.col("churn") == 1, F.lit(weights.get(1))).otherwise(F.lit(weights.get(0)))
     stages = preprocessing_stages(prep)
     frame = PipelineModel(stages).transform(train)
-    frame = frame.select(
-        F.col("churn").cast("double").alias("label"), weight.alias("weight"), VECTOR
-    ).persist(StorageLevel.MEMORY_AND_DISK)
+    rows = sum(summary.classes().values())
+    frame = (
+        frame.select(F.col("churn").cast("double").alias("label"), weight.alias("weight"), VECTOR)
+        .coalesce(max(1, math.ceil(rows / FIT_ROWS)))
+        .persist(StorageLevel.MEMORY_AND_DISK)
+    )
     try:
         # Balanced weights add up to the row count, so both penalties are 1 / (C * n).
-        penalty = 1.0 / (INVERSE_PENALTY * sum(summary.classes().values()))
-        fits = [_logistic(penalty, weighted).fit(frame) for weighted in (True, False)]
+        penalty = 1.0 / (INVERSE_PENALTY * rows)
+        fit = inheritable_thread_target(train.sparkSession)(lambda weighted: _logistic(penalty, weighted).fit(frame))
+        with ThreadPool(2) as pool:
+            fits = pool.map(fit, (True, False), chunksize=1)
     finally:
         frame.unpersist()
     operational, calibrated = (PipelineModel([*stages, fit]) for fit in fits)
